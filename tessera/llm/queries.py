@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash, wavelet
+from . import packing, simhash, wavelet
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": simhash.op1_simhash,
+        "op3_packing": packing.op3_packing,
         "op6_wavelet_ids": wavelet.op6_wavelet_ids,
     }
 
