@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, simhash, wavelet
+from . import packing, quality, simhash, wavelet
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": simhash.op1_simhash,
         "op3_packing": packing.op3_packing,
+        "op4_quality_rules": quality.op4_quality_rules,
         "op6_wavelet_ids": wavelet.op6_wavelet_ids,
     }
 
