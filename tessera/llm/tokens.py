@@ -11,12 +11,21 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
 
-#: Pieces that a Python worker remembers; later ones are encoded again each time.
-REMEMBERED = 700_000
+#: Pieces, and words of pieces, that a Python worker remembers; later ones are encoded again each time.
+REMEMBERED = 500_000
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level BPE writes bytes as: printable Latin-1 ones stand for
+    themselves, the others for U+0100 onwards in their order."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
 
 
 class BpeEncoder:
@@ -24,11 +33,16 @@ class BpeEncoder:
 
     Two kinds of file are known, by their pre-tokenizer: byte-level BPE with the usual
     pattern, where a space before a character that isn't white space always begins a new
-    piece, and BPE over matches of a pattern that white space never belongs to.  Any other
-    kind, and any text that holds ``<|`` (it may name a special token), is encoded whole.
+    piece, and BPE over matches of a pattern that white space never belongs to.  The
+    library's BPE model encodes each word of a piece.  Any other kind of file, a text that
+    holds ``<|`` (it may name a special token) and a piece with letters beyond Latin (where
+    two regex libraries may disagree) go to the library whole.
     """
 
+    CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -37,42 +51,47 @@ class BpeEncoder:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         parts = pre.get("pretokenizers", [])
-        self.kind = "whole"
+        self.kind, self.lead = "whole", ""
+        words = self.CONTRACTIONS + r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
         if spec["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
             self.kind = "bytes"
-            self.unsure = re.compile(r"\s\s|\s\Z|\A\s|<\|").search
-        elif parts and parts[0].get("type") == "Split" and parts[0].get("behavior") == "Removed" and parts[0].get("invert"):
+            self.find = regex.compile(self.CONTRACTIONS + r"| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
+            self.lead = " "
+        elif parts and parts[0].get("type") == "Split" and parts[0].get("pattern") == {"Regex": words} and parts[0].get("behavior") == "Removed" and parts[0].get("invert"):
             self.kind = "words"
-            self.unsure = re.compile(r"<\|").search
+            self.find = regex.compile(words).findall
+        self.letters = _byte_letters()
+        self.spaces = re.compile(r" \s").search
         self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
-    def _chunks(self, text: str) -> list[str]:
-        if self.kind == "words":
-            return text.replace("\n", " ").split(" ")
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
-
-    def _learn(self, new: set[str]) -> dict[str, bytes]:
-        """Ids of chunks not seen before.  The library encodes many of them as one text, in
-        which each begins a piece of its own; a token's offset tells the chunk it is of."""
-        lead = " " if self.kind == "words" else ""
-        found: dict[str, bytes] = {}
-        spaced = [x for x in new if self.kind == "words" or x[:1] == " "]
-        for one in new.difference(spaced):  # a text's first word, which no space precedes
-            found[one] = self._encode([one])[0]
-        groups = [spaced[i : i + 1000] for i in range(0, len(spaced), 1000)]
-        for own, e in zip(groups, self.tok.encode_batch([lead.join(x) for x in groups], add_special_tokens=False), strict=True):
-            ids = np.asarray(e.ids, dtype="<u4")
-            at = np.fromiter((a for a, _ in e.offsets), dtype=np.int64, count=len(ids))
-            ends = np.cumsum([len(x) + len(lead) for x in own])
-            cut = np.searchsorted(at, ends) * 4
-            raw, begin = ids.tobytes(), 0
-            for x, end in zip(own, cut.tolist(), strict=True):
-                found[x] = raw[begin:end]
-                begin = end
+    def _unsure(self, text: str) -> bool:
+        """Whether a text has to be encoded whole."""
+        if self.kind == "whole" or not text or "<|" in text:
+            return True
+        return self.kind == "bytes" and (text[0].isspace() or text[-1] == " " or bool(self.spaces(text)))
+
+    def _word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            own = self.tok.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+            ids = array("I", [t.id for t in own]).tobytes()
+            if len(self.words) < REMEMBERED:
+                self.words[word] = ids
+        return ids
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of chunks not seen before (each with the space before it, where that counts)."""
+        odd = {x for x in new if x and max(x) > "\u024f"}
+        found = dict(zip(odd, self._encode(list(odd)), strict=True)) if odd else {}
+        word, find, lower = self._word, self.find, self.kind == "words"
+        for x in new:
+            if x not in found:
+                y = x if not lower else x.lower() if x.isascii() else self.tok.normalizer.normalize_str(x)
+                found[x] = b"".join([word(w) for w in find(y)])
         return found
 
     def encode(self, texts: Iterable[str | None], end: int | None = None) -> list[bytes]:
@@ -84,20 +103,23 @@ class BpeEncoder:
         known = self.chunks.get
         for k, text in enumerate(texts):
             text = text or ""
-            if self.kind == "whole" or not text or self.unsure(text):
+            if self._unsure(text):
                 whole.append((k, text))
                 out.append(None)
                 continue
-            own = self._chunks(text)
-            ids = [known(x) for x in own]
+            own = (text.replace("\n", " ") if self.kind == "words" else text).split(" ")
+            ids = list(map(known, own))
+            if self.lead:  # no space stands before the first
+                ids[0] = self._learn([own[0]])[own[0]]
             if None in ids:
-                gaps += [(k, i, own[i]) for i, x in enumerate(ids) if x is None]
+                gaps += [(k, i, self.lead + own[i]) for i, x in enumerate(ids) if x is None]
             out.append(ids)
-        fresh = self._learn({x for _, _, x in gaps}) if gaps else {}
+        fresh = self._learn([x for _, _, x in gaps]) if gaps else {}
         for k, i, x in gaps:
             out[k][i] = fresh[x]
         if len(self.chunks) < REMEMBERED:
-            self.chunks |= fresh
+            at = len(self.lead)
+            self.chunks.update((x[at:], v) for x, v in fresh.items())
         found = [tail if x is None else b"".join(x) + tail for x in out]
         for (k, _), ids in zip(whole, self._encode([x for _, x in whole]), strict=True):
             found[k] = ids + tail
