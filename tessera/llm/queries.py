@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, simhash, wavelet
+from . import mixing, packing, quality, simhash, wavelet
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,8 +15,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing": packing.op3_packing,
         "op4_quality_rules": quality.op4_quality_rules,
         "op6_wavelet_ids": wavelet.op6_wavelet_ids,
+        "op7_mixing": mixing.op7_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op7_mixing": mixing.OP7_SQL,
+    }
