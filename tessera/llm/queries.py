@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality, simhash, wavelet
+from . import mixing, packing, quality, simhash, sketch, wavelet
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_rules": quality.op4_quality_rules,
         "op6_wavelet_ids": wavelet.op6_wavelet_ids,
         "op7_mixing": mixing.op7_mixing,
+        "op8_bottom_k": sketch.op8_bottom_k,
     }
 
 
