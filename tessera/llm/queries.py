@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality, simhash, sketch, wavelet
+from . import language, mixing, packing, quality, simhash, sketch, wavelet
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_wavelet_ids": wavelet.op6_wavelet_ids,
         "op7_mixing": mixing.op7_mixing,
         "op8_bottom_k": sketch.op8_bottom_k,
+        "op9_language_id": language.op9_language_id,
     }
 
 
