@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, mixing, packing, quality, simhash, sketch, wavelet
+from . import language, license, mixing, packing, quality, simhash, sketch, wavelet
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": simhash.op1_simhash,
         "op3_packing": packing.op3_packing,
         "op4_quality_rules": quality.op4_quality_rules,
+        "op5_license_scan": license.op5_license_scan,
         "op6_wavelet_ids": wavelet.op6_wavelet_ids,
         "op7_mixing": mixing.op7_mixing,
         "op8_bottom_k": sketch.op8_bottom_k,
