@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, license, mixing, packing, quality, simhash, sketch, wavelet
+from . import language, license, lines, mixing, packing, quality, simhash, sketch, wavelet
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": simhash.op1_simhash,
+        "op2_line_dedup": lines.op2_line_dedup,
         "op3_packing": packing.op3_packing,
         "op4_quality_rules": quality.op4_quality_rules,
         "op5_license_scan": license.op5_license_scan,
