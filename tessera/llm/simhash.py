@@ -29,7 +29,7 @@ SEED = 42
 #: Fingerprints that the tree is fitted on, at most about; all are routed through it.
 SAMPLE = 32_768
 #: Fingerprints in a shard, about, up to ``SHARDS`` shards; beyond, shards grow.
-SHARD = 8_192
+SHARD = 32_768
 SHARDS = 4_096
 #: Below this many comparisons a part of a shard is compared outright.
 DIRECT = 1 << 18
