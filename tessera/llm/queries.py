@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, license, lines, mixing, packing, quality, simhash, sketch, wavelet
+from . import language, license, lines, mixing, packing, pii, quality, simhash, sketch, wavelet
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_mixing": mixing.op7_mixing,
         "op8_bottom_k": sketch.op8_bottom_k,
         "op9_language_id": language.op9_language_id,
+        "op10_pii_surrogates": pii.op10_pii_surrogates,
     }
 
 
