@@ -45,6 +45,18 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def boxed(docs: DataFrame, *open_: str) -> DataFrame:
+    """``docs`` with its columns in one, ``box``, but for those named: columns that an operator
+    adds can't clash with what a table has besides."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in open_]
+    return docs.select(F.struct(*rest).alias("box") if rest else F.struct(F.lit(0).alias("_")).alias("box"), *open_)
+
+
+def unboxed(df: DataFrame, columns: list[str], *open_: str) -> DataFrame:
+    """The columns as they were, those named from outside the box."""
+    return df.select(*[F.col(c) if c in open_ else F.col("box").getField(c).alias(c) for c in columns])
+
+
 #: Rows up to which a side is broadcast, after a count of it; beyond, it is shuffled.
 BROADCAST_ROWS = 200_000
 

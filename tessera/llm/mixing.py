@@ -122,10 +122,11 @@ def sampled(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEI
     """``docs`` with every row repeated as often as the mix takes it (0, 1 or more times).
 
     Rows are matched by doc_id and text hash; rows that share both are told apart by number."""
-    key = lambda df: df.withColumn("_h", F.xxhash64("text")).withColumn("_key", F.coalesce(F.col("doc_id"), F.col("_h")))
-    nth = F.row_number().over(Window.partitionBy("_key", "_h").orderBy("source"))
+    key = lambda df: df.withColumn("h", F.xxhash64("text")).withColumn("key", F.coalesce(F.col("doc_id"), F.col("h")))
+    nth = F.row_number().over(Window.partitionBy("key", "h").orderBy("source"))
     narrow = key(sized(docs.select("doc_id", "source", "text"))).drop("text")
     copies = mix(spark, narrow, weights, share, most)
-    copies = common.written(spark, copies.where("copies > 0").withColumn("_nth", nth).select("_key", "_h", "_nth", "copies"), "mix-copies")
-    rows = key(docs).withColumn("_nth", nth).join(copies, ["_key", "_h", "_nth"])
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*docs.columns)
+    copies = common.written(spark, copies.withColumn("nth", nth).where("copies > 0").select("key", "h", "nth", "copies"), "mix-copies")
+    own = ("doc_id", "source", "text")
+    rows = key(common.boxed(docs, *own)).withColumn("nth", nth).join(copies, ["key", "h", "nth"])
+    return common.unboxed(rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))), docs.columns, *own)

@@ -162,16 +162,19 @@ def pseudonymised(spark: SparkSession, docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with entities replaced, and n_entities.
 
     Null text: stays null, no entities.  Rows of equal doc_id and text (and null ids) are
-    treated alike.  Columns are those of ``docs`` and n_entities."""
+    treated alike.  Columns are those of ``docs`` and n_entities (which replaces one of that name)."""
     found = common.written(spark, entities(docs.select("doc_id", "text")).distinct(), "pii-entities")
     values = surrogates(spark, found, key)
     each = found.join(values, ["kind", "norm"]).select("doc_id", "h", "place", written_as(F.col("kind"), F.col("entity"), F.col("value")).alias("new"))
     own = each.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.array_sort(F.collect_list(F.struct("place", "new"))).alias("_new"))  # one text's entities
     own = common.written(spark, own.select("_id", "_h", F.transform("_new", lambda x: x["new"]).alias("_new")), "pii-new")
-    out = docs.join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left")
+    out = common.boxed(docs, "doc_id", "text").join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left")
     parts = F.split("text", ENTITY, -1)
     text = F.array_join(F.zip_with(parts, F.array_append("_new", F.lit("")), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    return out.withColumn("text", F.when(F.col("_new").isNull(), F.col("text")).otherwise(text)).withColumn("n_entities", F.coalesce(F.size("_new"), F.lit(0))).select(*docs.columns, "n_entities")
+    found_n = F.when(F.col("_new").isNull(), 0).otherwise(F.size("_new"))
+    out = out.withColumn("n", found_n).withColumn("text", F.when(F.col("_new").isNull(), F.col("text")).otherwise(text))
+    columns = [c for c in docs.columns if c != "n_entities"]
+    return out.select(*[F.col(c) if c in ("doc_id", "text") else F.col("box").getField(c).alias(c) for c in columns], F.col("n").alias("n_entities"))
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str, key: str = "tessera") -> DataFrame:

@@ -176,4 +176,5 @@ def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFr
     good = labels.where("quality = 1").select("doc_id").distinct()
     features = common.written(spark, measured(clean).drop("text"), "quality-measures") if not good.isEmpty() else measured(clean.limit(0)).drop("text")
     rules, pooled = learned_rules(features, labels)
-    return measured(docs).where(verdict(rules, pooled)).select(*docs.columns)
+    rows = measured(common.boxed(docs, "text", "lang")).where(verdict(rules, pooled))
+    return common.unboxed(rows, docs.columns, "text", "lang")

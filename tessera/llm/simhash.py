@@ -270,8 +270,9 @@ def drop_near(spark: SparkSession, docs: DataFrame, words: int = 5, reach: int =
     found = near_groups(spark, docs, words, reach)
     stay = found.where("doc_id = component_id").select("doc_id").distinct()
     one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    kept = docs.join(stay, "doc_id", "left_semi").withColumn("_nth", one).where("_nth = 1").drop("_nth")
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    rows = common.boxed(docs, "doc_id", "text")
+    kept = rows.join(stay, "doc_id", "left_semi").withColumn("nth", one).where("nth = 1")
+    return common.unboxed(kept, docs.columns, "doc_id", "text").unionByName(docs.where("doc_id is null"))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,7 +120,7 @@ def followed(spark: SparkSession, docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = 4 * common.tasks(spark)
     cuts = rows.select(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10_000).alias("q")).first()["q"]
-    cuts = sorted({float(x) for x in cuts or []})
+    cuts = sorted({float(x) for x in cuts or [0]})
     # A document is in the slice of the cuts at or below it; as floats, near ids share a slice, in order.
     rows = rows.withColumn("h", F.xxhash64("text")).withColumn("_x", F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf"))))
     rows = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_x", outputCol="_slice").transform(rows)
