@@ -169,6 +169,51 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.withColumn("kept", verdict(rules, pooled)).select(*BASE, "kept")
 
 
+OP4_SQL = r"""
+with d as (
+  select row_number() over () as rid, doc_id, lang, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l
+  from documents
+), g as (
+  select rid, i, array_to_string(w[i:i + 7], ' ') as g from (select rid, w, unnest(range(1, len(w) - 6)) as i from d where len(w) > 8)
+), c as (
+  select rid, count(distinct j) as covered from (select rid, unnest(range(i, i + 8)) as j from (select *, count(*) over (partition by rid, g) as n from g) where n > 1) group by rid
+), f as (
+  select d.rid, doc_id, lang, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, len(l) as n_lines,
+         coalesce(covered, 0)::bigint as n_repeat_words, length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) as n_upper, length(regexp_replace(text, '[^!?]', '', 'g')) as n_marks,
+         len(list_filter(w, lambda x: length(x) > 25)) as n_long
+  from d left join c on d.rid = c.rid
+), b as (
+  select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from f
+), v as (
+  select rid, doc_id, lang, base_failed, unnest([{'m': 'symbol_share', 'v': coalesce(1000.0::double * n_symbols / nullif(word_chars, 0), 0)}, {'m': 'upper_share', 'v': coalesce(1000.0::double * n_upper / nullif(word_chars, 0), 0)},
+    {'m': 'mark_share', 'v': coalesce(1000.0::double * n_marks / nullif(word_chars, 0), 0)}, {'m': 'dup_line_share', 'v': coalesce(1000.0::double * n_dup_lines / nullif(n_lines, 0), 0)},
+    {'m': 'repeat_share', 'v': coalesce(1000.0::double * n_repeat_words / nullif(n_words, 0), 0)}, {'m': 'long_word_share', 'v': coalesce(1000.0::double * n_long / nullif(n_words, 0), 0)}], recursive := true)
+  from b
+), good as (
+  select doc_id from labels where doc_id is not null group by 1 having min(quality) = 1
+), h as (
+  select coalesce(lang, chr(0)) as stratum, m, v from v where not base_failed and doc_id in (select doc_id from good)
+), cut as (
+  select unnest([5, 10, 20, 30, 50, 75, 100, 150, 200, 250, 300, 400, 500, 600, 700, 800, 900]) as c
+), seen as (
+  select stratum, m, c, count(*) as n, sum(case when v > c then 1 else 0 end)::bigint as k from h, cut group by all
+), tested as (
+  select *, 0.025::double / (6 * (select count(distinct stratum) from h)) as level from seen
+  union all select null, m, c, sum(n), sum(k), 0.025::double / 6 from seen group by m, c
+), tail as (
+  select *, case when k >= n then 1 else (select sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.003::double) + (n - i) * ln(1 - 0.003::double))) from (select unnest(range(0, k::bigint + 1)) as i)) end as p from tested
+), chosen as (
+  select stratum, m, min(case when c > worst then c end) as c from (select *, coalesce(max(case when p > level then c end) over (partition by stratum, m), -1) as worst from tail) group by 1, 2
+), judged as (
+  select v.rid, bool_or(coalesce(v.v > coalesce(o.c, a.c), false)) as rejected
+  from v left join chosen o on o.stratum = coalesce(v.lang, chr(0)) and o.m = v.m left join chosen a on a.stratum is null and a.m = v.m group by 1
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not rejected as kept from b join judged on b.rid = judged.rid
+"""
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their columns.  Measures are written for the
     labelled choice and computed again for the filter: rows need no key for it."""

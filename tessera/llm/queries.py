@@ -26,5 +26,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_quality_rules": quality.OP4_SQL,
         "op7_mixing": mixing.OP7_SQL,
     }
