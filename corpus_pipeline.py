@@ -24,8 +24,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (shingles of five words)."""
-    return simhash.drop_near(spark, docs, words=5, reach=3)
+    """One document of each group of near-duplicates (shingles of five words, 0.8)."""
+    return simhash.drop_near(spark, docs, words=5, reach=3, alike=0.8)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

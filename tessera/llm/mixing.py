@@ -128,5 +128,5 @@ def sampled(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEI
     copies = mix(spark, narrow, weights, share, most)
     copies = common.written(spark, copies.withColumn("nth", nth).where("copies > 0").select("key", "h", "nth", "copies"), "mix-copies")
     own = ("doc_id", "source", "text")
-    rows = key(common.boxed(docs, *own)).withColumn("nth", nth).join(copies, ["key", "h", "nth"])
+    rows = key(common.boxed(docs, *own)).withColumn("nth", nth).join(copies.hint("shuffle_hash"), ["key", "h", "nth"])
     return common.unboxed(rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))), docs.columns, *own)

@@ -260,18 +260,110 @@ def near_groups(spark: SparkSession, docs: DataFrame, words: int = 5, reach: int
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near(spark: SparkSession, docs: DataFrame, words: int = 5, reach: int = 3) -> DataFrame:
-    """The documents with one of each near-duplicate group: that of the smallest doc_id.
+#: One-permutation MinHash: bins of a document's shingles, the first of which make bands.
+BINS = 256
+BANDS, ROWS = 21, 6
+EMPTY = np.uint32(0xFFFFFFFF)
+
+
+def _minhash(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least hash in each of 256 ranges of hashes (the sorted set's first there), and keys
+    of 21 bands of 6 bins; for bands an empty bin borrows from the next full one."""
+    own = np.unique(hashes)
+    at = np.searchsorted(own, np.arange(BINS, dtype=np.uint64) << np.uint64(56))
+    full = np.diff(np.append(at, len(own))) > 0
+    sig = np.full(BINS, EMPTY)
+    sig[full] = (own[at[full]] >> np.uint64(24)).astype(np.uint32) & np.uint32(0x7FFFFFFF)
+    if not full.any():
+        return sig, np.zeros(0, np.uint64)
+    places = np.flatnonzero(full)
+    filled = sig[places[np.searchsorted(places, np.arange(BINS)) % len(places)]].astype(np.uint64)
+    part = filled[: BANDS * ROWS].reshape(BANDS, ROWS)
+    key = np.arange(BANDS, dtype=np.uint64) + np.uint64(1)
+    for k in range(ROWS):
+        key = (key ^ part[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return sig, key
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Estimated resemblance of two shingle sets: equal bins among those that either fills."""
+    either = (a != EMPTY) | (b != EMPTY)
+    return float(((a == b) & either).sum() / either.sum()) if either.any() else 1.0
+
+
+def similar_groups(spark: SparkSession, docs: DataFrame, words: int = 5, reach: int = 3, alike: float = 0.8) -> DataFrame:
+    """(doc_id, h, component_id) of every document, h standing for its sequence of words:
+    groups of documents whose fingerprints are within ``reach`` bits, or whose shingle sets
+    have an estimated resemblance of ``alike`` or more (less one standard error).
+
+    Three bits of 64 reach only the nearest of copies (see the README), and no bound of a
+    vantage-point tree prunes a search of the ten or so bits that a resemblance of 0.8 needs.
+    So banded MinHash keys add candidates: in each bucket every member is paired with the
+    bucket's least and greatest node, a number of pairs in proportion to its members, and
+    pairs are verified on the 256 bins.  Documents without words are alike."""
+    slack = (alike * (1 - alike) / BINS) ** 0.5
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = [x or "" for x in part["text"].to_pylist()]
+                found = [_hashes(x, words) for x in texts]
+                h = [xxhash.xxh64_intdigest(b" ".join(x.encode("utf-8", "surrogatepass").lower().split()), SEED) for x in texts]
+                marks = [_minhash(x) for x in found]
+                yield pa.RecordBatch.from_arrays(
+                    [part["doc_id"], pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(_majorities(found).view(np.int64)), pa.array([s.tobytes() for s, _ in marks]), pa.array([k.view(np.int64) for _, k in marks], pa.list_(pa.int64()))],
+                    names=["doc_id", "h", "fp", "sig", "bands"],
+                )
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    marks = common.written(spark, rows.mapInArrow(work, "doc_id long, h long, fp long, sig binary, bands array<long>"), "near-marks")
+    nodes = common.written(spark, marks.groupBy("h").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp")), "near-nodes")
+    chief = nodes.groupBy("fp").agg(F.min("h").alias("a"))
+    same = nodes.join(chief, "fp").where("h != a").select("a", F.col("h").alias("b"))
+    near = near_links(spark, chief.select("fp"), reach)
+    name = lambda fp, h: chief.select(F.col("fp").alias(fp), F.col("a").alias(h))
+    near = near.select(F.col("a").alias("fa"), F.col("b").alias("fb")).join(name("fa", "a"), "fa").join(name("fb", "b"), "fb").select("a", "b")
+
+    banded = marks.select("h", "bands").groupBy("h").agg(F.first("bands").alias("bands")).select("h", F.explode("bands").alias("key"))
+    banded = common.written(spark, banded, "near-bands")
+    ends = banded.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi")
+    pairs = banded.join(ends, "key").select("h", F.explode(F.array("lo", "hi")).alias("other")).where("h != other")
+    pairs = common.written(spark, pairs.select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b")).distinct(), "near-pairs")
+    asked = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
+    sigs = common.written(spark, marks.select("h", "sig").join(asked, "h", "left_semi").dropDuplicates(["h"]), "near-sigs")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint32).reshape(-1, BINS) for c in ("x", "y"))
+            either = (x != EMPTY) | (y != EMPTY)
+            ok = ((x == y) & either).sum(axis=1) >= (alike - slack) * either.sum(axis=1)
+            yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(ok)), batch["b"].filter(pa.array(ok))], names=["a", "b"])
+
+    both = pairs.join(sigs.select(F.col("h").alias("a"), F.col("sig").alias("x")), "a").join(sigs.select(F.col("h").alias("b"), F.col("sig").alias("y")), "b")
+    alike_links = both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    roots = components(spark, same.unionByName(near).unionByName(alike_links))
+    member = roots.union(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "h").join(nodes.select("h", "first"), "h")
+    linked = member.join(member.groupBy("root").agg(F.min("first").alias("group_first")), "root").select("h", "group_first")
+    named = nodes.join(linked, "h", "left").select("h", F.coalesce("group_first", "first").alias("component_id"))
+    return marks.select("doc_id", "h").join(named, "h")
+
+
+def drop_near(spark: SparkSession, docs: DataFrame, words: int = 5, reach: int = 3, alike: float = 0.8) -> DataFrame:
+    """The documents with one of each group of ``similar_groups``: that of the smallest doc_id.
 
     Repeated rows of one doc_id leave one.  Documents without doc_id stay, as no decision
     can name them.  Columns are those of ``docs``."""
     from pyspark.sql import Window
 
-    found = near_groups(spark, docs, words, reach)
+    found = similar_groups(spark, docs, words, reach, alike)
     stay = found.where("doc_id = component_id").select("doc_id").distinct()
     one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
     rows = common.boxed(docs, "doc_id", "text")
-    kept = rows.join(stay, "doc_id", "left_semi").withColumn("nth", one).where("nth = 1")
+    kept = rows.join(stay.hint("shuffle_hash"), "doc_id", "left_semi").withColumn("nth", one).where("nth = 1")
     return common.unboxed(kept, docs.columns, "doc_id", "text").unionByName(docs.where("doc_id is null"))
 
 
