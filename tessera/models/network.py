@@ -27,8 +27,12 @@ class MlpParams:
     schedule: str = "cosine"
     weight_decay: float = 1e-4
     positives_weight: float = 1.0
+    optimizer: str = "adamw"
     clip: float = 10.0
     patience: int = 5
+    aux: tuple[tuple[str, int], ...] = ()  # categorical targets and their numbers of categories
+    aux_weight: float = 0.1
+    soft_start: int | None = None  # the epoch from which soft labels are the target; None: never
     seed: int = 1
 
 
@@ -36,7 +40,7 @@ class MlpParams:
 class AeParams:
     hidden: tuple[int, ...] = (64,)
     latent: int = 16
-    loss: str = "mse"
+    loss: str = "mse"  # or "nb", "zinb": on counts, column ``t``
     classifier_weight: float = 1.0
     epochs: int = 20
     lr: float = 1e-2
@@ -61,6 +65,17 @@ class Dense:
             before = n
         return cls(w)
 
+    def with_heads(self, aux: tuple[tuple[str, int], ...], seed: int) -> Dense:
+        """Adds a softmax head on the last hidden layer for each categorical target."""
+        rng, n = np.random.default_rng(seed + 1), self.weights[f"w{depth_of(self.weights) - 1}"].shape[0]
+        for name, k in aux:
+            self.weights[f"wa:{name}"], self.weights[f"ba:{name}"] = rng.normal(0, math.sqrt(1 / n), (n, k)), np.zeros(k)
+        return self
+
+
+def depth_of(w: dict[str, np.ndarray]) -> int:
+    return sum(k[0] == "w" and k[1:].isdigit() for k in w)
+
 
 _erf = np.vectorize(math.erf, otypes=[float])
 
@@ -82,7 +97,7 @@ def layer_norm_back(g: np.ndarray, y: np.ndarray, sd: np.ndarray) -> np.ndarray:
 
 def forward(w: dict[str, np.ndarray], x: np.ndarray, keep: list | None = None) -> np.ndarray:
     """Logits of rows; ``keep`` takes what the backward pass needs."""
-    depth = len(w) // 2
+    depth = depth_of(w)
     h, sd = layer_norm(x)
     if keep is not None:
         keep.append((None, h, sd, None))
@@ -101,40 +116,67 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def gradient(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, pos: float) -> tuple[float, dict[str, np.ndarray]]:
-    """Summed weighted cross-entropy of rows and its gradient."""
+def softmax(x: np.ndarray) -> np.ndarray:
+    e = np.exp(x - x.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def gradient(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, pos: float, aux: dict[str, np.ndarray] | None = None, aux_weight: float = 0.1) -> tuple[float, dict[str, np.ndarray]]:
+    """Summed weighted cross-entropy of rows (labels may be soft), that of categorical targets
+    added, and its gradient.  A category of -1 is unknown and counts for nothing."""
     keep: list = []
     logit = forward(w, x, keep)
     loss = pos * y * np.logaddexp(0, -logit) + (1 - y) * np.logaddexp(0, logit)
     g = ((1 - y) * sigmoid(logit) - pos * y * sigmoid(-logit))[:, None]
-    depth, out = len(w) // 2, {}
+    depth, out = depth_of(w), {}
     h = keep[-1][0]
     out[f"w{depth - 1}"], out[f"b{depth - 1}"] = h.T @ g, g.sum(axis=0)
-    g = g @ w[f"w{depth - 1}"].T
+    g, total = g @ w[f"w{depth - 1}"].T, float(loss.sum())
+    for name, codes in (aux or {}).items():
+        known = np.flatnonzero(codes >= 0)
+        share = softmax(h @ w[f"wa:{name}"] + w[f"ba:{name}"])
+        total += aux_weight * float(-np.log(np.maximum(share[known, codes[known]], 1e-12)).sum())
+        ga = np.zeros_like(share)
+        ga[known] = share[known]
+        ga[known, codes[known]] -= 1
+        ga *= aux_weight
+        out[f"wa:{name}"], out[f"ba:{name}"] = h.T @ ga, ga.sum(axis=0)
+        g = g + ga @ w[f"wa:{name}"].T
     for k in range(depth - 2, -1, -1):
         h, z, sd, slope = keep[k + 1]
         g = layer_norm_back(g * slope, z, sd)
         out[f"w{k}"], out[f"b{k}"] = h.T @ g, g.sum(axis=0)
         g = g @ w[f"w{k}"].T
-    return float(loss.sum()), out
+    return total, out
 
 
-class AdamW:
-    """Adam with decoupled decay; biases don't decay."""
+OPTIMIZERS = ("adamw", "adam", "sgd")
 
-    def __init__(self, decay: float):
-        self.decay, self.t, self.m, self.v = decay, 0, {}, {}
+
+class Optimizer:
+    """AdamW (decoupled decay), Adam (decay in the gradient) or SGD with momentum, after a clip
+    of the whole gradient's norm; biases don't decay."""
+
+    def __init__(self, decay: float, kind: str = "adamw"):
+        if kind not in OPTIMIZERS:
+            raise ValueError(f"unknown optimizer {kind!r}; known: {OPTIMIZERS}")
+        self.decay, self.kind, self.t, self.m, self.v = decay, kind, 0, {}, {}
 
     def step(self, w: dict[str, np.ndarray], g: dict[str, np.ndarray], lr: float, clip: float) -> None:
         norm = math.sqrt(sum(float((x * x).sum()) for x in g.values()))
         scale = min(1.0, clip / (norm + 1e-12))
         self.t += 1
         for k, x in g.items():
-            x = x * scale
+            decay = 0 if k.startswith("b") else self.decay
+            x = x * scale + (0 if self.kind == "adamw" else decay * w[k])
+            if self.kind == "sgd":
+                self.m[k] = 0.9 * self.m.get(k, 0) + x
+                w[k] -= lr * self.m[k]
+                continue
             self.m[k] = 0.9 * self.m.get(k, 0) + 0.1 * x
             self.v[k] = 0.999 * self.v.get(k, 0) + 0.001 * x * x
             step = (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-8)
-            w[k] -= lr * (step + (0 if k.startswith("b") else self.decay) * w[k])
+            w[k] -= lr * (step + (decay * w[k] if self.kind == "adamw" else 0))
 
 
 def _matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -153,7 +195,7 @@ def predict(spark: SparkSession, rows: DataFrame, weights: dict[str, np.ndarray]
     return rows.select("cell_id", "x").mapInArrow(work, "cell_id long, p double")
 
 
-def _sums(spark: SparkSession, rows: DataFrame, weights: dict[str, np.ndarray], step) -> tuple[float, int, dict[str, np.ndarray]]:
+def _sums(spark: SparkSession, rows: DataFrame, weights: dict[str, np.ndarray], step, columns: tuple[str, ...] = ("x", "y")) -> tuple[float, int, dict[str, np.ndarray]]:
     """Loss, rows and gradient, summed over tasks: one small row from each."""
     sent = spark.sparkContext.broadcast(weights)
 
@@ -161,14 +203,14 @@ def _sums(spark: SparkSession, rows: DataFrame, weights: dict[str, np.ndarray],
         loss, n, total = 0.0, 0, {k: np.zeros_like(v) for k, v in sent.value.items()}
         for batch in batches:
             if batch.num_rows:
-                more, g = step(sent.value, _matrix(batch, "x"), np.array(batch["y"].to_pylist(), dtype=float))
+                more, g = step(sent.value, {c: _matrix(batch, c) for c in columns})
                 loss, n = loss + more, n + batch.num_rows
                 for k in total:
                     total[k] += g[k]
         flat = np.concatenate([total[k].ravel() for k in sorted(total)])
         yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([n], pa.int64()), pa.array([flat.tolist()], pa.list_(pa.float64()))], names=["loss", "n", "g"])
 
-    parts = rows.select("x", "y").mapInArrow(work, "loss double, n long, g array<double>")
+    parts = rows.select(*columns).mapInArrow(work, "loss double, n long, g array<double>")
     summed = parts.select("loss", "n", F.posexplode("g").alias("i", "g")).groupBy("i").agg(F.sum("g").alias("g"), F.sum("loss").alias("loss"), F.sum("n").alias("n"))
     got = summed.orderBy("i").collect()  # as many rows as the model has weights
     sent.unpersist()
@@ -181,13 +223,24 @@ def _sums(spark: SparkSession, rows: DataFrame, weights: dict[str, np.ndarray],
 
 
 def train_mlp(spark: SparkSession, rows: DataFrame, params: MlpParams = MlpParams()) -> tuple[dict[str, np.ndarray], list[float]]:
-    """Weights and the loss of each epoch, from rows (x array<double>, y)."""
+    """Weights and the loss of each epoch, from rows (x array<double>, y), and as parameters
+    say y_soft (the hard label where there is none) and ``<name>_code`` of each aux target."""
     n_in = len(rows.select("x").first()["x"])
-    net, opt, log = Dense.init(n_in, params.layers, params.seed), AdamW(params.weight_decay), []
+    net = Dense.init(n_in, params.layers, params.seed).with_heads(params.aux, params.seed)
+    opt, log = Optimizer(params.weight_decay, params.optimizer), []
+    codes = tuple(f"{name}_code" for name, _ in params.aux)
+    if params.soft_start is not None:
+        soft = F.coalesce("y_soft", F.col("y").cast("double")) if "y_soft" in rows.columns else F.col("y").cast("double")
+        rows = rows.withColumn("y_soft", soft)
     best, kept, wait = math.inf, None, 0
     for epoch in range(params.epochs):
-        step = lambda w, x, y: gradient(w, x, y, params.positives_weight)
-        loss, n, g = _sums(spark, rows, net.weights, step)
+        label = "y_soft" if params.soft_start is not None and epoch >= params.soft_start else "y"
+
+        def step(w: dict, c: dict, label: str = label) -> tuple:
+            aux = {name: c[f"{name}_code"][:, 0].astype(int) for name, _ in params.aux}
+            return gradient(w, c["x"], c[label][:, 0], params.positives_weight, aux, params.aux_weight)
+
+        loss, n, g = _sums(spark, rows, net.weights, step, ("x", label, *codes))
         log.append(loss / n)
         if log[-1] < best:
             best, kept, wait = log[-1], {k: v.copy() for k, v in net.weights.items()}, 0
@@ -202,6 +255,48 @@ def train_mlp(spark: SparkSession, rows: DataFrame, params: MlpParams = MlpParam
 # -- Autoencoder --------------------------------------------------------------------------
 
 
+LOSSES = ("mse", "nb", "zinb")
+
+
+def digamma(x: np.ndarray) -> np.ndarray:
+    """Derivative of log Gamma for positive x: recurrence up to 8, then the asymptotic series."""
+    out, x = np.zeros_like(x), x.astype(float).copy()
+    for _ in range(8):
+        out -= 1 / x
+        x = x + 1
+    return out + np.log(x) - 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6)
+
+
+_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def softplus(x: np.ndarray) -> np.ndarray:
+    return np.logaddexp(0, x)
+
+
+def count_loss(raw: np.ndarray, t: np.ndarray, theta_raw: np.ndarray, pi_raw: np.ndarray | None) -> tuple[float, np.ndarray, np.ndarray, np.ndarray | None]:
+    """Negative log-likelihood of counts, averaged over genes and summed over rows, and its
+    gradients by the raw mean, dispersion and dropout: negative binomial, zero-inflated if
+    there is a dropout."""
+    eps, n = 1e-8, t.shape[1]
+    mu, theta = softplus(raw) + eps, softplus(theta_raw) + 1e-4
+    both = theta + mu
+    ll = theta * np.log(theta / both) + t * np.log(mu / both) + _lgamma(t + theta) - _lgamma(theta) - _lgamma(t + 1)
+    d_mu = t / mu - (t + theta) / both
+    d_theta = np.log(theta / both) + 1 - (t + theta) / both + digamma(t + theta) - digamma(np.broadcast_to(theta, t.shape))
+    d_pi = None
+    if pi_raw is not None:
+        pi, zero = sigmoid(pi_raw), t == 0
+        nb0 = np.exp(np.minimum(ll, 0))
+        mix = pi + (1 - pi) * nb0 + eps
+        part = np.where(zero, (1 - pi) * nb0 / mix, 1.0)
+        d_pi = np.where(zero, (1 - nb0) / mix, -1 / (1 - pi + eps)) * pi * (1 - pi)
+        ll = np.where(zero, np.log(mix), np.log(1 - pi + eps) + ll)
+        d_mu, d_theta = d_mu * part, d_theta * part
+        d_pi = -d_pi.sum(axis=0) / n
+    return -float(ll.sum()) / n, -d_mu * sigmoid(raw) / n, -(d_theta * sigmoid(theta_raw)).sum(axis=0) / n, d_pi
+
+
 def ae_init(n_in: int, p: AeParams) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(p.seed)
     sizes = [n_in, *p.hidden, p.latent]
@@ -211,12 +306,18 @@ def ae_init(n_in: int, p: AeParams) -> dict[str, np.ndarray]:
     back = sizes[::-1]
     for k, (a, b) in enumerate(zip(back, back[1:], strict=False)):
         w[f"wd{k}"], w[f"bd{k}"] = rng.normal(0, math.sqrt(2 / a), (a, b)), np.zeros(b)
+    if p.loss not in LOSSES:
+        raise ValueError(f"unknown loss {p.loss!r}; known: {LOSSES}")
+    if p.loss != "mse":  # dispersion of each gene, and its chance of a dropout
+        w["btheta"] = np.ones(n_in)
+    if p.loss == "zinb":
+        w["bpi"] = np.full(n_in, -2.0)
     w["wc"], w["bc"] = rng.normal(0, math.sqrt(1 / p.latent), (p.latent, 1)), np.zeros(1)
     return w
 
 
 def _stack(w: dict[str, np.ndarray], h: np.ndarray, part: str, keep: list) -> np.ndarray:
-    depth = sum(k.startswith(f"w{part}") for k in w)
+    depth = sum(k.startswith(f"w{part}") and k[2:].isdigit() for k in w)
     for k in range(depth):
         z = h @ w[f"w{part}{k}"] + w[f"b{part}{k}"]
         out, slope = gelu(z) if k < depth - 1 else (z, np.ones_like(z))
@@ -240,15 +341,22 @@ def ae_forward(w: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.
     return z, _stack(w, z, "d", []), sigmoid((z @ w["wc"] + w["bc"])[:, 0])
 
 
-def ae_gradient(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, p: AeParams) -> tuple[float, dict[str, np.ndarray]]:
+def ae_gradient(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, p: AeParams, t: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
+    """Reconstruction loss (of x, or of counts ``t``) plus weighted cross-entropy, and gradient."""
     enc, dec, out = [], [], {}
     z = _stack(w, x, "e", enc)
     r = _stack(w, z, "d", dec)
     logit = (z @ w["wc"] + w["bc"])[:, 0]
-    pos, bce = p.positives_weight, 0.0
+    pos = p.positives_weight
     bce = (pos * y * np.logaddexp(0, -logit) + (1 - y) * np.logaddexp(0, logit)).sum()
-    loss = ((r - x) ** 2).mean(axis=1).sum() + p.classifier_weight * bce
-    gz = _stack_back(w, 2 * (r - x) / x.shape[1], "d", dec, out)
+    if p.loss == "mse":
+        recon, gr = ((r - x) ** 2).mean(axis=1).sum(), 2 * (r - x) / x.shape[1]
+    else:
+        recon, gr, out["btheta"], d_pi = count_loss(r, t, w["btheta"], w.get("bpi"))
+        if d_pi is not None:
+            out["bpi"] = d_pi
+    loss = recon + p.classifier_weight * bce
+    gz = _stack_back(w, gr, "d", dec, out)
     gc = p.classifier_weight * ((1 - y) * sigmoid(logit) - pos * y * sigmoid(-logit))[:, None]
     out["wc"], out["bc"] = z.T @ gc, gc.sum(axis=0)
     _stack_back(w, gz + gc @ w["wc"].T, "e", enc, out)
@@ -256,10 +364,12 @@ def ae_gradient(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, p: AePar
 
 
 def train_ae(spark: SparkSession, rows: DataFrame, params: AeParams = AeParams()) -> tuple[dict[str, np.ndarray], list[float]]:
+    """Weights and losses, from rows (x, y) and for count losses the counts ``t``."""
     w = ae_init(len(rows.select("x").first()["x"]), params)
-    opt, log = AdamW(params.weight_decay), []
+    opt, log = Optimizer(params.weight_decay), []
+    columns = ("x", "y") if params.loss == "mse" else ("x", "y", "t")
     for epoch in range(params.epochs):
-        loss, n, g = _sums(spark, rows, w, lambda a, x, y: ae_gradient(a, x, y, params))
+        loss, n, g = _sums(spark, rows, w, lambda a, c: ae_gradient(a, c["x"], c["y"][:, 0], params, c.get("t")), columns)
         log.append(loss / n)
         opt.step(w, {k: v / n for k, v in g.items()}, lr_schedule("cosine", epoch, params.epochs, params.lr), params.clip)
     return w, log

@@ -42,10 +42,17 @@ def gene_overlap(target: DataFrame, genes: DataFrame) -> DataFrame:
     return target.select("gene_id").intersect(genes.select("gene_id"))
 
 
-def require_genes(genes: DataFrame, names: list[str]) -> DataFrame:
-    """The genes of a subset by name; an empty subset or an unknown name is an error."""
+def require_genes(genes: DataFrame, names: list[str] | list[int]) -> DataFrame:
+    """The genes of a subset by name or by index; an empty subset, an unknown name and an index
+    out of range are errors."""
     if not names:
         raise ValueError("gene subset is empty")
+    if all(isinstance(x, int) for x in names):
+        found = genes.where(F.col("gene_idx").isin(names))
+        lost = sorted(set(names) - {r["gene_idx"] for r in found.select("gene_idx").collect()})
+        if lost:
+            raise ValueError(f"gene indices out of range: {lost}")
+        return found
     found = genes.where(F.col("gene_name").isin(names))
     unknown = sorted(set(names) - {r["gene_name"] for r in found.select("gene_name").collect()})
     if unknown:

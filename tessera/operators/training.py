@@ -44,6 +44,16 @@ def trial_summary(trials: DataFrame) -> DataFrame:
     return trials.groupBy("state").agg(F.count("*").alias("n"), F.max_by("trial", F.struct(score, -F.col("trial"))).alias("best_trial"), F.max(score).alias("best_score"))
 
 
+def plateau_lr(scores: list[float], lr: float, factor: float = 0.1, patience: int = 3, low: float = 1e-6) -> float:
+    """The rate after scores that should rise: cut each time none of ``patience`` epochs is better."""
+    best, wait = float("-inf"), 0
+    for s in scores:
+        best, wait = (s, 0) if s > best else (best, wait + 1)
+        if wait > patience:
+            lr, wait = max(low, lr * factor), 0
+    return lr
+
+
 def lr_schedule(kind: str, epoch: int, epochs: int, lr: float = 1e-3, low: float = 1e-6) -> float:
     """The learning rate of an epoch."""
     if kind in ("none", "constant"):
@@ -54,6 +64,8 @@ def lr_schedule(kind: str, epoch: int, epochs: int, lr: float = 1e-3, low: float
         return lr * 0.95**epoch
     if kind == "cosine":
         return low + (lr - low) * (1 + math.cos(math.pi * epoch / max(1, epochs))) / 2
+    if kind == "linear":
+        return lr + (low - lr) * epoch / max(1, epochs)
     if kind == "onecycle":
         up = max(1, int(0.3 * epochs))
         return lr * (0.04 + 0.96 * epoch / up) if epoch < up else low + (lr - low) * (1 + math.cos(math.pi * (epoch - up) / max(1, epochs - up))) / 2

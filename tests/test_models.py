@@ -40,6 +40,40 @@ def test_autoencoder_gradient():
         assert g[name][at] == pytest.approx(numeric_gradient(lambda a: network.ae_gradient(a, x, y, p)[0], w, name, at), rel=1e-4, abs=1e-7)
 
 
+def test_mlp_gradient_with_heads_and_soft_labels():
+    rng = np.random.default_rng(0)
+    x, y, aux = rng.normal(size=(5, 6)), np.array([0, 0.3, 1, 0.9, 0.5]), {"tissue": np.array([0, 2, -1, 1, 2])}
+    w = network.Dense.init(6, (4, 3), 1).with_heads((("tissue", 3),), 1).weights
+    f = lambda a: network.gradient(a, x, y, 2.0, aux, 0.5)[0]
+    _, g = network.gradient(w, x, y, 2.0, aux, 0.5)
+    for name, at in (("w0", (1, 2)), ("wa:tissue", (1, 2)), ("ba:tissue", (0,)), ("w1", (0, 1))):
+        assert g[name][at] == pytest.approx(numeric_gradient(f, w, name, at), rel=1e-4, abs=1e-7)
+
+
+@pytest.mark.parametrize("loss", ["nb", "zinb"])
+def test_count_loss_gradient(loss):
+    rng = np.random.default_rng(0)
+    p = network.AeParams(hidden=(4,), latent=2, loss=loss)
+    x, y, t = rng.normal(size=(5, 6)), np.array([0, 1, 1, 0, 1.0]), rng.poisson(1.0, (5, 6)).astype(float)
+    w = network.ae_init(6, p)
+    f = lambda a: network.ae_gradient(a, x, y, p, t)[0]
+    _, g = network.ae_gradient(w, x, y, p, t)
+    for name, at in (("we0", (1, 2)), ("wd1", (0, 1)), ("btheta", (3,)), *((("bpi", (2,)),) if loss == "zinb" else ()), ("bd1", (4,))):
+        assert g[name][at] == pytest.approx(numeric_gradient(f, w, name, at), rel=1e-3, abs=1e-6)
+
+
+def test_training_variants(spark):
+    rows = spark.createDataFrame([(i, [float(i % 2), 1.0, 0.5], i % 2, 0.9 * (i % 2), i % 3, [float(i % 2), 2.0, 0.0]) for i in range(30)], "cell_id long, x array<double>, y int, y_soft double, k_code long, t array<double>")
+    w, log = network.train_mlp(spark, rows, network.MlpParams(layers=(4,), epochs=4, aux=(("k", 3),), soft_start=2, optimizer="sgd", lr=1e-3))
+    assert len(log) == 4 and "wa:k" in w
+    _, log = network.train_ae(spark, rows, network.AeParams(hidden=(4,), latent=2, loss="zinb", epochs=6))
+    assert log[-1] < log[0]
+    with pytest.raises(ValueError, match="unknown loss"):
+        network.ae_init(3, network.AeParams(loss="nope"))
+    with pytest.raises(ValueError, match="unknown optimizer"):
+        network.Optimizer(0.1, "nope")
+
+
 def test_mlp_learns(spark):
     rows = spark.createDataFrame([(i, [float(i % 2), 1.0 - i % 2, 0.5], i % 2) for i in range(40)], "cell_id long, x array<double>, y int")
     w, log = network.train_mlp(spark, rows, network.MlpParams(layers=(8,), epochs=25, lr=0.05))

@@ -90,6 +90,9 @@ def test_gene_subset_errors(spark):
         M.require_genes(g, [])
     with pytest.raises(ValueError, match="unknown"):
         M.require_genes(g, ["g1", "nope"])
+    assert M.require_genes(g, [0, 2]).count() == 2
+    with pytest.raises(ValueError, match="out of range"):
+        M.require_genes(g, [0, 3])
 
 
 def test_labels(spark):
@@ -184,5 +187,6 @@ def test_training_control(spark):
     got = T.early_stopping(log, 2).orderBy("epoch").collect()
     assert [r["wait"] for r in got] == [0, 0, 1, 2, 3] and [r["stop"] for r in got] == [False, False, False, True, True]
     assert T.best_epoch(log).first()["epoch"] == 1
+    assert T.plateau_lr([0.5, 0.4, 0.4, 0.4, 0.4], 1.0) == pytest.approx(0.1)
     with pytest.raises(ValueError, match="unknown schedule"):
         T.lr_schedule("nope", 0, 10)
