@@ -17,24 +17,38 @@ SCORE_BUCKETS = 4096
 METRICS = ["AUROC", "accuracy", "error_rate", "F1", "precision", "recall", "FPR", "FNR", "RMSE", "positives_rate", "n"]
 
 
-def confusion(rows: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:
-    """tp, fp, tn, fn (a prediction is positive above the threshold), n, squared error, positives."""
+def score_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, p, y, w): rows of each distinct score and label.  Everything below works on this
+    table, so one aggregation of the rows (whose exchange Spark reuses) serves all metrics."""
+    return rows.groupBy(*keys, "p", "y").agg(F.count("*").alias("w"))
+
+
+def _confusion(at: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     pos, hit = F.col("y") == 1, F.col("p") > threshold
-    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    return rows.groupBy(*keys).agg(
+    count = lambda c: F.coalesce(F.sum(F.when(c, F.col("w")).otherwise(0)), F.lit(0))
+    return at.groupBy(*keys).agg(
         count(pos & hit).alias("tp"), count(~pos & hit).alias("fp"), count(~pos & ~hit).alias("tn"), count(pos & ~hit).alias("fn"),
-        F.count("*").alias("n"), F.sum(F.pow(F.col("y") - F.col("p"), F.lit(2.0))).alias("se"), F.sum("y").alias("positives"),
+        F.coalesce(F.sum("w"), F.lit(0)).alias("n"), F.sum(F.col("w") * F.pow(F.col("y") - F.col("p"), F.lit(2.0))).alias("se"), F.sum(F.col("w") * F.col("y")).alias("positives"),
     )
 
 
-def auroc(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, AUROC): the chance that a positive scores above a negative, ties half; null for one class."""
-    at = rows.groupBy(*keys, "p").agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("pos"), F.count("*").alias("n"))
+def confusion(rows: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:
+    """tp, fp, tn, fn (a prediction is positive above the threshold), n, squared error, positives."""
+    return _confusion(score_counts(rows, keys), keys, threshold)
+
+
+def _auroc(at: DataFrame, keys: list[str]) -> DataFrame:
+    at = at.groupBy(*keys, "p").agg(F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0)).alias("pos"), F.sum("w").alias("n"))
     at = P.running_sum(at.withColumn("neg", F.col("n") - F.col("pos")), keys, F.floor(F.col("p") * SCORE_BUCKETS), ["p"], "neg", "neg_below")
     wins = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0))
     return at.groupBy(*keys).agg(F.try_divide(wins, F.sum("pos") * F.sum("neg").cast("double")).alias("AUROC"))
 
 
+def auroc(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, AUROC): the chance that a positive scores above a negative, ties half; null for one class."""
+    return _auroc(score_counts(rows, keys), keys)
+
+
 def roc_points(rows: DataFrame) -> DataFrame:
     """(p, fpr, tpr) at each distinct score, highest first."""
     at = rows.groupBy("p").agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("pos"), F.count("*").alias("n"))
@@ -61,19 +75,27 @@ def rates(c: DataFrame) -> dict[str, Column]:
     }
 
 
-def metrics(rows: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:
-    """One row a group with all metrics."""
+def _metrics(at: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     if keys:
-        c = confusion(rows, keys, threshold).join(auroc(rows, keys), keys)
+        c = _confusion(at, keys, threshold).join(_auroc(at, keys), keys)
     else:
-        c = confusion(rows, [], threshold).crossJoin(auroc(rows, []))  # one row each
+        c = _confusion(at, [], threshold).crossJoin(_auroc(at, []))  # one row each
     return c.select(*keys, *[v.alias(k) for k, v in rates(c).items()], "AUROC", "n")
 
 
+def metrics(rows: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:
+    """One row a group with all metrics."""
+    return _metrics(score_counts(rows, keys), keys, threshold)
+
+
+def with_stratum(rows: DataFrame, keys: tuple[str, str] = ("imputed_labels", "tissue_type")) -> DataFrame:
+    """Adds ``stratum``, named ``<label>__<tissue>``."""
+    return rows.withColumn("stratum", F.concat_ws("__", *[F.coalesce(F.col(k).cast("string"), F.lit("nan")) for k in keys]))
+
+
 def by_stratum(rows: DataFrame, threshold: float = 0.5, keys: tuple[str, str] = ("imputed_labels", "tissue_type")) -> DataFrame:
-    """Metrics of each stratum, named ``<label>__<tissue>``."""
-    named = rows.withColumn("stratum", F.concat_ws("__", *[F.coalesce(F.col(k).cast("string"), F.lit("nan")) for k in keys]))
-    return metrics(named, ["stratum"], threshold)
+    """Metrics of each stratum."""
+    return metrics(with_stratum(rows, keys), ["stratum"], threshold)
 
 
 def tall(wide: DataFrame, scope: str, stratum: Column) -> DataFrame:
@@ -96,8 +118,10 @@ def harmonic_mean(strata_tall: DataFrame) -> DataFrame:
 
 def report(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The whole evaluation as (scope, stratum, metric, value): overall, strata, averages."""
-    overall = tall(metrics(rows, [], threshold), "overall", F.lit(""))
-    strata = tall(by_stratum(rows, threshold), "stratum", F.col("stratum"))
+    at = score_counts(with_stratum(rows), ["stratum"])
+    whole = at.groupBy("p", "y").agg(F.sum("w").alias("w"))
+    overall = tall(_metrics(whole, [], threshold), "overall", F.lit(""))
+    strata = tall(_metrics(at, ["stratum"], threshold), "stratum", F.col("stratum"))
     means = macro_average(strata.where("metric != 'n'")).select(F.lit("average").alias("scope"), F.lit("").alias("stratum"), "metric", "value")
     hmeans = harmonic_mean(strata.where("metric != 'n'")).select(F.lit("harmonic_avg").alias("scope"), F.lit("").alias("stratum"), "metric", "value")
     return overall.unionByName(strata).unionByName(means).unionByName(hmeans)
