@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources import artifacts
+
 from . import prefix as P
 
 #: Ids that share a bucket when rows are numbered in order of id.
@@ -45,6 +47,7 @@ def cycled(rows: DataFrame, stratum: str, slots: DataFrame, seed: int = 1) -> Da
 
 def balanced_labels(cells: DataFrame, size: int, seed: int = 1, label: str = "y") -> DataFrame:
     """Half of each batch positive (rounded down), the rest negative; ceil(n / size) batches."""
+    cells = artifacts.written(cells.select("cell_id", label), "labels")
     total = cells.agg(F.ceil(F.count("*") / size).cast("long").alias("batches"))
     slots = cells.select(label).distinct().withColumn("slots", F.when(F.col(label) == 1, size // 2).otherwise(size - size // 2).cast("long"))
     return cycled(cells, label, slots.crossJoin(F.broadcast(total)), seed)  # one row: the number of batches
@@ -71,8 +74,9 @@ def allocation(stratified: DataFrame, size: int) -> DataFrame:
 
 def balanced_types(cells: DataFrame, size: int, seed: int = 1, label: str = "y") -> DataFrame:
     """Batches with equal numbers from each stratum; a batch smaller than their number is an error."""
-    rows = strata(cells, label)
-    slots = allocation(rows, size)
+    cells = artifacts.written(cells.select("cell_id", label, "tissue_type", "imputed_labels"), "cells")
+    rows = artifacts.written(strata(cells, label).select("cell_id", "stratum"), "strata")
+    slots = artifacts.written(allocation(rows, size), "slots")
     kinds = slots.count()
     if size < kinds:
         raise ValueError(f"batch size {size} is below the number of strata, {kinds}")

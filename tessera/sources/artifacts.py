@@ -25,6 +25,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written in the shared folder and read back: what follows may use it many times
+    without its plan being repeated, and a lost executor costs a re-read."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @dataclass
 class Schema:
     """What is fitted on training data: gene statistics (gene_id, gene_idx, mu, sigma) and
