@@ -134,7 +134,7 @@ def line_key(x):
 
 def test_op2(spark, folder):
     t = sorted({(i, x) for i, x in table(folder)}, key=order)
-    norm = lambda x: re.sub(lines.BREAKS, " ", x.lower()).strip(" ")
+    norm = lambda x: tuple(y for y in re.split(lines.BREAKS, x.lower()) if y)
     places = [(i, x, p, y) for i, x in t for p, y in enumerate((x or "").split("\n")) if y.count(" ") >= lines.LEAST - 1]
     every = sorted({y for *_, y in places})
 
