@@ -458,3 +458,25 @@ def test_pipeline(spark):
     out = corpus_pipeline.STAGES[-1][1](spark, docs, d).collect()
     assert sum(r["length"] for r in out) == total and all(len(r["ids"]) == 4 * r["length"] for r in out)
     docs.unpersist()
+
+
+def test_similar_groups_find_near_copies_and_leave_others(spark):
+    r = random.Random(2)
+    words = [f"w{k}" for k in range(3000)]
+    base = [[r.choice(words) for _ in range(r.randint(150, 500))] for _ in range(60)]
+    rows, want = [], {}
+    for k, w in enumerate(base):
+        for copy in range(3 if k < 20 else 1):
+            own = list(w)
+            for at in r.sample(range(len(own)), copy * len(own) // 100):  # up to 2 % of the words: a resemblance of over 0.8
+                own[at] = "edited"
+            rows.append((len(rows), " ".join(own)))
+            want[rows[-1][0]] = k
+    rows.append((len(rows), None))
+    rows.append((len(rows), " "))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(spark, docs).collect()}
+    first = {}
+    for i, k in sorted(want.items()):
+        first.setdefault(k, i)
+    assert got == {i: first[k] for i, k in want.items()} | {rows[-2][0]: rows[-2][0], rows[-1][0]: rows[-2][0]}
