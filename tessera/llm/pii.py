@@ -168,7 +168,7 @@ def pseudonymised(spark: SparkSession, docs: DataFrame, key: str) -> DataFrame:
     each = found.join(values, ["kind", "norm"]).select("doc_id", "h", "place", written_as(F.col("kind"), F.col("entity"), F.col("value")).alias("new"))
     own = each.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.array_sort(F.collect_list(F.struct("place", "new"))).alias("_new"))  # one text's entities
     own = common.written(spark, own.select("_id", "_h", F.transform("_new", lambda x: x["new"]).alias("_new")), "pii-new")
-    out = common.boxed(docs, "doc_id", "text").join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left")
+    out = common.boxed(docs, "doc_id", "text").join(own.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left")
     parts = F.split("text", ENTITY, -1)
     text = F.array_join(F.zip_with(parts, F.array_append("_new", F.lit("")), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     found_n = F.when(F.col("_new").isNull(), 0).otherwise(F.size("_new"))
@@ -178,6 +178,9 @@ def pseudonymised(spark: SparkSession, docs: DataFrame, key: str) -> DataFrame:
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str, key: str = "tessera") -> DataFrame:
-    """All ``documents`` with surrogates in place of personal data: doc_id, text, n_entities."""
+    """All ``documents`` with surrogates in place of personal data: doc_id, text, n_entities.
+
+    Null text: null, 0.  A text without entities: unchanged.  Null doc_id and repeated rows:
+    each has its row, equal rows the same result.  Empty table: no rows.  Other columns: ignored."""
     docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return pseudonymised(spark, docs, key)

@@ -221,5 +221,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFr
     good = labels.where("quality = 1").select("doc_id").distinct()
     features = common.written(spark, measured(clean).drop("text"), "quality-measures") if not good.isEmpty() else measured(clean.limit(0)).drop("text")
     rules, pooled = learned_rules(features, labels)
-    rows = measured(common.boxed(docs, "text", "lang")).where(verdict(rules, pooled))
+    rows = measured(common.boxed(docs, "text", "lang"))
+    # Out of an array of one, so that the optimizer doesn't write each measure out again in every condition of the filter.
+    rows = rows.select("box", "text", "lang", F.explode(F.array(F.struct("base_failed", *MEASURES))).alias("m"))
+    rows = rows.select("box", "text", "lang", "m.*").where(verdict(rules, pooled))
     return common.unboxed(rows, docs.columns, "text", "lang")
