@@ -46,7 +46,7 @@ def words_of(text: Column) -> Column:
 def repeated_words(words: Column, window: int = 8) -> Column:
     """How many words stand in a window of words that occurs at least twice in the text.
 
-    Windows are compared by hash.  Most texts repeat none, which a set of the hashes shows;
+    Windows are compared by a hash of their words' hashes.  Most texts repeat none, which a set of the hashes shows;
     else hashes are sorted with their places, and the windows of repeated ones are laid
     over the words: the time is n log n in the number of words."""
 
@@ -65,27 +65,28 @@ def repeated_words(words: Column, window: int = 8) -> Column:
         return let(F.array_sort(placed), lambda s: let(repeated(s), laid))
 
     n = F.size(words)
-    hashes = F.transform(F.sequence(F.lit(1), n - window + 1), lambda i: F.xxhash64(F.slice(words, i, window)))
-    found = let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(h)))
+    own = F.transform(words, lambda w: F.xxhash64(w))
+    windows = lambda h: F.transform(F.sequence(F.lit(0), n - window), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(window)]))
+    found = let(let(own, windows), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(h)))
     return F.when(n > window, found).otherwise(F.lit(0).cast("long"))
 
 
 def measured(docs: DataFrame) -> DataFrame:
     """``docs`` with the base counts and the measures, all from the whole text (null: empty)."""
     text = F.coalesce("text", F.lit(""))
-    without = lambda chars: F.length(F.translate(text, chars, ""))
+    only = lambda pattern: F.length(F.regexp_replace(text, f"[^{pattern}]+", ""))
     share = lambda part, whole: F.coalesce(F.try_divide(1000 * part, whole), F.lit(0.0))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     out = docs.withColumn("_words", words_of(F.col("text"))).withColumn("_lines", lines)
     out = out.withColumns({
         "n_words": F.size("_words").cast("long"),
-        "word_chars": without(SPACE).cast("long"),
-        "n_symbols": (F.length(text) - without(SYMBOLS)).cast("long"),
+        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+        "n_symbols": only(SYMBOLS).cast("long"),
         "_n_lines": F.size("_lines").cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_repeat_words": repeated_words(F.col("_words")),
-        "_upper": F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")),
-        "_marks": F.length(text) - without("!?"),
+        "_upper": only(r"\p{Lu}"),
+        "_marks": only("!?"),
         "_long": F.size(F.filter("_words", lambda w: F.length(w) > 25)),
     })
     return out.withColumns({
