@@ -216,14 +216,10 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with their columns.  Measures are written for the
-    labelled choice and computed again for the filter: rows need no key for it."""
-    clean = docs.select("doc_id", "text", "lang")
-    good = labels.where("quality = 1").select("doc_id").distinct()
-    features = common.written(spark, measured(clean).drop("text"), "quality-measures") if not good.isEmpty() else measured(clean.limit(0)).drop("text")
-    rules, pooled = learned_rules(features, labels)
-    rows = measured(common.boxed(docs, "text", "lang"))
-    # Out of an array of one, so that the optimizer doesn't write each measure out again in every condition of the filter.
-    rows = rows.select("box", "text", "lang", F.explode(F.array(F.struct("base_failed", *MEASURES))).alias("m"))
-    rows = rows.select("box", "text", "lang", "m.*").where(verdict(rules, pooled))
-    return common.unboxed(rows, docs.columns, "text", "lang")
+    """The documents that the rules keep, with their columns.
+
+    Rows are measured once and written with their measures, from which the rules are learned
+    and which they then filter: writing costs far less than measuring, and rows need no key."""
+    rows = common.written(spark, measured(common.boxed(docs, "doc_id", "text", "lang")), "quality-measured")
+    rules, pooled = learned_rules(rows.select("doc_id", "lang", "base_failed", *MEASURES), labels)
+    return common.unboxed(rows.where(verdict(rules, pooled)), docs.columns, "doc_id", "text", "lang")
