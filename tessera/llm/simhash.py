@@ -12,7 +12,7 @@ search, pairs are checked exactly, and only a spanning star of each group leaves
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -292,16 +292,58 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float(((a == b) & either).sum() / either.sum()) if either.any() else 1.0
 
 
-def similar_groups(spark: SparkSession, docs: DataFrame, words: int = 5, reach: int = 3, alike: float = 0.8) -> DataFrame:
+def bucket_links(spark: SparkSession, banded: DataFrame, links: DataFrame, sure: Callable[[DataFrame, DataFrame], DataFrame], alike: float, direct: int | None = None) -> DataFrame:
+    """Roots (node, root) of the groups that ``links`` and all pairs of a bucket (key, h, n)
+    connect that ``sure`` confirms (given pairs (a, b) and the links so far).
+
+    No pair of a bucket is left out but those that are linked already and those whose
+    numbers of shingles n rule out ``alike``.  A round pairs representatives of each bucket
+    with all of its members and takes them out of it; members stay, linked or not, as others
+    may be like them only.  Buckets of one group are done.  Representatives are 1, 4, 16, ...
+    of a bucket, those with most links first: so the text that many differing copies were
+    made from comes second at the latest.  Once the pairs left are at most ``direct`` (a
+    number in proportion to the rows), one round takes all of them."""
+    links = common.written(spark, links, "near-links")
+    direct = max(1 << 20, banded.count()) if direct is None else direct
+    reps = 1
+    while True:
+        roots = components(spark, links)
+        banded = banded.select("key", "h", "n").join(roots.withColumnRenamed("node", "h"), "h", "left").select("key", "h", "n", F.coalesce("root", "h").alias("g"))
+        banded = common.written(spark, banded, "near-buckets")
+        mixed = banded.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("m")).where("lo < hi")
+        mixed = common.written(spark, mixed.select("key", "m"), "near-mixed")
+        left = mixed.agg(F.sum(F.col("m").cast("double") * (F.col("m") - 1) / 2)).first()[0]
+        if not left:
+            return roots
+        banded = common.written(spark, banded.join(mixed, "key", "left_semi"), "near-buckets")
+        chosen = banded
+        if left > direct:
+            ends = links.select(F.col("a").alias("h")).union(links.select("b")).groupBy("h").agg(F.count("*").alias("own"))
+            rank = F.struct(F.coalesce("own", F.lit(0)), F.bitwise_not("h"))
+            chosen = banded.join(ends, "h", "left").groupBy("key", F.pmod(F.xxhash64("h"), F.lit(reps)).alias("salt")).agg(F.max_by(F.struct("h", "g", "n"), rank).alias("one"))
+            chosen = common.written(spark, chosen.select("key", "one.*"), "near-chosen")
+        x, y = chosen.select("key", *[F.col(c).alias(f"{c}x") for c in "hgn"]), banded.select("key", *[F.col(c).alias(f"{c}y") for c in "hgn"])
+        could = (F.col("gx") != F.col("gy")) & (F.least("nx", "ny") >= F.greatest("nx", "ny") * alike - 1e-9)
+        if left <= direct:
+            could = could & (F.col("hx") < F.col("hy"))
+        pairs = x.join(y, "key").where(could).select(F.least("hx", "hy").alias("a"), F.greatest("hx", "hy").alias("b")).distinct()
+        found = sure(common.written(spark, pairs, "near-pairs"), links)
+        links = common.written(spark, links.unionByName(found), "near-links")
+        if left <= direct:
+            return components(spark, links)
+        banded = banded.join(chosen, ["key", "h"], "left_anti")
+        reps *= 4
+
+
+def similar_groups(spark: SparkSession, docs: DataFrame, words: int = 5, reach: int = 3, alike: float = 0.8, direct: int | None = None) -> DataFrame:
     """(doc_id, h, component_id) of every document, h standing for its sequence of words:
     groups of documents whose fingerprints are within ``reach`` bits, or whose shingle sets
     have an estimated resemblance of ``alike`` or more (less one standard error).
 
     Three bits of 64 reach only the nearest of copies (see the README), and no bound of a
     vantage-point tree prunes a search of the ten or so bits that a resemblance of 0.8 needs.
-    So banded MinHash keys add candidates: in each bucket every member is paired with the
-    bucket's least and greatest node, a number of pairs in proportion to its members, and
-    pairs are verified on the 256 bins.  Documents without words are alike."""
+    So banded MinHash keys add candidates: ``bucket_links`` settles all pairs of a bucket,
+    and pairs are verified on the 256 bins.  Documents without words are alike."""
     slack = (alike * (1 - alike) / BINS) ** 0.5
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,12 +357,12 @@ def similar_groups(spark: SparkSession, docs: DataFrame, words: int = 5, reach:
                 h = [xxhash.xxh64_intdigest(b" ".join(x.encode("utf-8", "surrogatepass").lower().split()), SEED) for x in texts]
                 marks = [_minhash(x) for x in found]
                 yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(_majorities(found).view(np.int64)), pa.array([s.tobytes() for s, _ in marks]), pa.array([k.view(np.int64) for _, k in marks], pa.list_(pa.int64()))],
-                    names=["doc_id", "h", "fp", "sig", "bands"],
+                    [part["doc_id"], pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(_majorities(found).view(np.int64)), pa.array([s.tobytes() for s, _ in marks]), pa.array([k.view(np.int64) for _, k in marks], pa.list_(pa.int64())), pa.array([len(np.unique(x)) for x in found], pa.int32())],
+                    names=["doc_id", "h", "fp", "sig", "bands", "n"],
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marks = common.written(spark, rows.mapInArrow(work, "doc_id long, h long, fp long, sig binary, bands array<long>"), "near-marks")
+    marks = common.written(spark, rows.mapInArrow(work, "doc_id long, h long, fp long, sig binary, bands array<long>, n int"), "near-marks")
     nodes = common.written(spark, marks.groupBy("h").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp")), "near-nodes")
     chief = nodes.groupBy("fp").agg(F.min("h").alias("a"))
     same = nodes.join(chief, "fp").where("h != a").select("a", F.col("h").alias("b"))
@@ -328,13 +370,11 @@ def similar_groups(spark: SparkSession, docs: DataFrame, words: int = 5, reach:
     name = lambda fp, h: chief.select(F.col("fp").alias(fp), F.col("a").alias(h))
     near = near.select(F.col("a").alias("fa"), F.col("b").alias("fb")).join(name("fa", "a"), "fa").join(name("fb", "b"), "fb").select("a", "b")
 
-    banded = marks.select("h", "bands").groupBy("h").agg(F.first("bands").alias("bands")).select("h", F.explode("bands").alias("key"))
+    banded = marks.groupBy("h").agg(F.first("bands").alias("bands"), F.first("n").alias("n")).select("h", "n", F.explode("bands").alias("key"))
     banded = common.written(spark, banded, "near-bands")
-    ends = banded.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi")
-    pairs = banded.join(ends, "key").select("h", F.explode(F.array("lo", "hi")).alias("other")).where("h != other")
-    pairs = common.written(spark, pairs.select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b")).distinct(), "near-pairs")
-    asked = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
-    sigs = common.written(spark, marks.select("h", "sig").join(asked, "h", "left_semi").dropDuplicates(["h"]), "near-sigs")
+    shared = banded.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("key")
+    banded = common.written(spark, banded.join(shared, "key", "left_semi"), "near-buckets")
+    sigs = common.written(spark, marks.select("h", "sig").join(banded.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"]), "near-sigs")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -343,9 +383,11 @@ def similar_groups(spark: SparkSession, docs: DataFrame, words: int = 5, reach:
             ok = ((x == y) & either).sum(axis=1) >= (alike - slack) * either.sum(axis=1)
             yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(ok)), batch["b"].filter(pa.array(ok))], names=["a", "b"])
 
-    both = pairs.join(sigs.select(F.col("h").alias("a"), F.col("sig").alias("x")), "a").join(sigs.select(F.col("h").alias("b"), F.col("sig").alias("y")), "b")
-    alike_links = both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
-    roots = components(spark, same.unionByName(near).unionByName(alike_links))
+    def sure(pairs: DataFrame, links: DataFrame) -> DataFrame:
+        both = pairs.join(sigs.select(F.col("h").alias("a"), F.col("sig").alias("x")), "a").join(sigs.select(F.col("h").alias("b"), F.col("sig").alias("y")), "b")
+        return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+
+    roots = bucket_links(spark, banded, same.unionByName(near), sure, alike, direct)
     member = roots.union(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "h").join(nodes.select("h", "first"), "h")
     linked = member.join(member.groupBy("root").agg(F.min("first").alias("group_first")), "root").select("h", "group_first")
     named = nodes.join(linked, "h", "left").select("h", F.coalesce("group_first", "first").alias("component_id"))

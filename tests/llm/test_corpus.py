@@ -480,3 +480,23 @@ def test_similar_groups_find_near_copies_and_leave_others(spark):
     for i, k in sorted(want.items()):
         first.setdefault(k, i)
     assert got == {i: first[k] for i, k in want.items()} | {rows[-2][0]: rows[-2][0], rows[-1][0]: rows[-2][0]}
+
+
+@pytest.mark.parametrize("direct", [None, 0])
+def test_star_of_copies_that_differ_from_each_other(spark, direct):
+    r = random.Random(3)
+    words = [f"w{k}" for k in range(5000)]
+    base = [r.choice(words) for _ in range(400)]
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    like = lambda a, b: len(a & b) / len(a | b)
+    rows = [(0, base)]
+    for _ in range(300):
+        own = list(base)
+        for at in r.sample(range(0, 396, 5), 7):  # 35 shingles of 396 differ: 0.838
+            own[at + 2] = r.choice(words) + "x"
+        rows.append((len(rows), own))
+    sets = [shingles(w) for _, w in rows]
+    assert min(like(sets[0], x) for x in sets[1:]) > 0.82 and sum(like(sets[1], x) < 0.75 for x in sets[2:]) > 250
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = [x["component_id"] for x in simhash.similar_groups(spark, docs, direct=direct).collect()]
+    assert sum(x != 0 for x in got) <= 3, "bands find 0.998 of the pairs of 0.8"
