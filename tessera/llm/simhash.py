@@ -264,6 +264,8 @@ def near_groups(spark: SparkSession, docs: DataFrame, words: int = 5, reach: int
 BINS = 256
 BANDS, ROWS = 21, 6
 EMPTY = np.uint32(0xFFFFFFFF)
+#: Likely pairs up to which all are counted at once.
+LIKELY = 20_000
 
 
 def _minhash(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -328,7 +330,7 @@ def bucket_links(spark: SparkSession, banded: DataFrame, links: DataFrame, sure:
             could = could & (F.col("hx") < F.col("hy"))
         pairs = x.join(y, "key").where(could).select(F.least("hx", "hy").alias("a"), F.greatest("hx", "hy").alias("b")).distinct()
         found = sure(common.written(spark, pairs, "near-pairs"), links)
-        links = common.written(spark, links.unionByName(found), "near-links")
+        links = common.written(spark, links.unionByName(found).distinct(), "near-links")
         if left <= direct:
             return components(spark, links)
         banded = banded.join(chosen, ["key", "h"], "left_anti")
@@ -337,15 +339,14 @@ def bucket_links(spark: SparkSession, banded: DataFrame, links: DataFrame, sure:
 
 def similar_groups(spark: SparkSession, docs: DataFrame, words: int = 5, reach: int = 3, alike: float = 0.8, direct: int | None = None) -> DataFrame:
     """(doc_id, h, component_id) of every document, h standing for its sequence of words:
-    groups of documents whose fingerprints are within ``reach`` bits, or whose shingle sets
-    have an estimated resemblance of ``alike`` or more (less one standard error).
+    groups of documents whose sets of shingles have a resemblance of ``alike`` or more, among
+    pairs that share a band or whose fingerprints are within ``reach`` bits.
 
     Three bits of 64 reach only the nearest of copies (see the README), and no bound of a
     vantage-point tree prunes a search of the ten or so bits that a resemblance of 0.8 needs.
     So banded MinHash keys add candidates: ``bucket_links`` settles all pairs of a bucket,
-    and pairs are verified on the 256 bins.  Documents without words are alike."""
-    slack = (alike * (1 - alike) / BINS) ** 0.5
-
+    the 256 bins rule out pairs far below (by four standard errors), and the resemblance of
+    the others is counted on their whole texts.  Documents without words are alike."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -357,13 +358,13 @@ def similar_groups(spark: SparkSession, docs: DataFrame, words: int = 5, reach:
                 h = [xxhash.xxh64_intdigest(b" ".join(x.encode("utf-8", "surrogatepass").lower().split()), SEED) for x in texts]
                 marks = [_minhash(x) for x in found]
                 yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(_majorities(found).view(np.int64)), pa.array([s.tobytes() for s, _ in marks]), pa.array([k.view(np.int64) for _, k in marks], pa.list_(pa.int64())), pa.array([len(np.unique(x)) for x in found], pa.int32())],
-                    names=["doc_id", "h", "fp", "sig", "bands", "n"],
+                    [part["doc_id"], part["t"], pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(_majorities(found).view(np.int64)), pa.array([s.tobytes() for s, _ in marks]), pa.array([k.view(np.int64) for _, k in marks], pa.list_(pa.int64())), pa.array([len(np.unique(x)) for x in found], pa.int32())],
+                    names=["doc_id", "t", "h", "fp", "sig", "bands", "n"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marks = common.written(spark, rows.mapInArrow(work, "doc_id long, h long, fp long, sig binary, bands array<long>, n int"), "near-marks")
-    nodes = common.written(spark, marks.groupBy("h").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp")), "near-nodes")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
+    marks = common.written(spark, rows.mapInArrow(work, "doc_id long, t long, h long, fp long, sig binary, bands array<long>, n int"), "near-marks")
+    nodes = common.written(spark, marks.groupBy("h").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.min("t").alias("t")), "near-nodes")
     chief = nodes.groupBy("fp").agg(F.min("h").alias("a"))
     same = nodes.join(chief, "fp").where("h != a").select("a", F.col("h").alias("b"))
     near = near_links(spark, chief.select("fp"), reach)
@@ -380,14 +381,56 @@ def similar_groups(spark: SparkSession, docs: DataFrame, words: int = 5, reach:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint32).reshape(-1, BINS) for c in ("x", "y"))
             either = (x != EMPTY) | (y != EMPTY)
-            ok = ((x == y) & either).sum(axis=1) >= (alike - slack) * either.sum(axis=1)
-            yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(ok)), batch["b"].filter(pa.array(ok))], names=["a", "b"])
+            size = either.sum(axis=1)
+            share = ((x == y) & either).sum(axis=1) / size
+            ok = pa.array(share >= alike - 4 * (alike * (1 - alike) / size) ** 0.5)
+            yield pa.RecordBatch.from_arrays([batch["a"].filter(ok), batch["b"].filter(ok), pa.array(share).filter(ok)], names=["a", "b", "share"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+
+        def own(h: int, text: str | None) -> np.ndarray:
+            if h not in held:
+                if len(held) >= 256:
+                    held.clear()
+                held[h] = np.unique(_hashes(text or "", words))
+            return held[h]
+
+        for batch in batches:
+            ok = []
+            for a, b, x, y in zip(*(batch[c].to_pylist() for c in ("a", "b", "x", "y")), strict=True):
+                x, y = own(a, x), own(b, y)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= alike * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(ok, pa.bool_())), batch["b"].filter(pa.array(ok, pa.bool_()))], names=["a", "b"])
+
+    def exact(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
+        asked = common.written(spark, nodes.join(asked, "h", "left_semi").select("h", "t"), "near-asked")
+        texts = rows.select("t", "text").join(common.small_side(asked), "t").dropDuplicates(["h"])
+        texts = common.written(spark, texts.select("h", "text"), "near-texts")
+        both = pairs.join(texts.select(F.col("h").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("text").alias("y")), "b")
+        return common.written(spark, both.select("a", "b", "x", "y").mapInArrow(count, "a long, b long"), "near-exact")
 
     def sure(pairs: DataFrame, links: DataFrame) -> DataFrame:
+        """Those of the pairs that reach ``alike``; where they are many, each node's likest pair is
+        counted first, and then the others that this leaves in different groups."""
         both = pairs.join(sigs.select(F.col("h").alias("a"), F.col("sig").alias("x")), "a").join(sigs.select(F.col("h").alias("b"), F.col("sig").alias("y")), "b")
-        return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+        likely = common.written(spark, both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long, share double"), "near-likely")
+        if likely.count() <= LIKELY:
+            return exact(likely.select("a", "b"))
+        rank = F.max_by(F.struct("a", "b"), F.struct("share", "a", "b")).alias("one")
+        best = likely.groupBy("a").agg(rank).select("one.*").union(likely.groupBy("b").agg(rank).select("one.*")).distinct()
+        best = common.written(spark, best, "near-best")
+        links = links.unionByName(exact(best))
+        roots = components(spark, links)
+        root = lambda h: roots.select(F.col("node").alias(h), F.col("root").alias(f"root_{h}"))
+        rest = likely.select("a", "b").join(best, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
+        rest = common.written(spark, rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "near-rest")
+        return links.unionByName(exact(rest))
 
-    roots = bucket_links(spark, banded, same.unionByName(near), sure, alike, direct)
+    links = exact(common.written(spark, same.unionByName(near).distinct(), "near-prints"))
+    roots = bucket_links(spark, banded, links, sure, alike, direct)
     member = roots.union(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "h").join(nodes.select("h", "first"), "h")
     linked = member.join(member.groupBy("root").agg(F.min("first").alias("group_first")), "root").select("h", "group_first")
     named = nodes.join(linked, "h", "left").select("h", F.coalesce("group_first", "first").alias("component_id"))

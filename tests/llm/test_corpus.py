@@ -500,3 +500,23 @@ def test_star_of_copies_that_differ_from_each_other(spark, direct):
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
     got = [x["component_id"] for x in simhash.similar_groups(spark, docs, direct=direct).collect()]
     assert sum(x != 0 for x in got) <= 3, "bands find 0.998 of the pairs of 0.8"
+
+
+@pytest.mark.parametrize("likely", [0, 20_000])
+def test_near_groups_are_decided_by_whole_texts(spark, monkeypatch, likely):
+    monkeypatch.setattr(simhash, "LIKELY", likely)
+    r = random.Random(4)
+    rows, want, close = [], {}, set()
+    for _ in range(150):  # pairs around 0.8
+        base = [f"w{r.randrange(10**6)}" for _ in range(300)]
+        own = list(base)
+        for at in r.sample(range(0, 296, 5), r.choice([6, 7])):
+            own[at + 2] = "edited"
+        x, y = ({tuple(w[i : i + 5]) for i in range(296)} for w in (base, own))
+        same = len(x & y) >= 0.8 * len(x | y)
+        close |= {same}
+        want |= {len(rows): len(rows), len(rows) + 1: len(rows) + (not same)}
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(own))]
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert close == {True, False} and sum(got[k] != want[k] for k in want) <= 1, "bands miss 0.002 of the pairs at 0.8"
+    assert all(got[k] == k for k in want if want[k] == k)
