@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: 4-grams that a language's model keeps, the most frequent ones (counts cover all texts);
-#: this bounds what is sent to the executors: about 40 bytes an entry and language.
-MODEL_GRAMS = 1 << 18
+#: 4-grams times languages up to which the model is fitted on the driver and sent to the
+#: executors whole; a larger one stays in tables and is joined.  Both give the same results.
+MODEL_CELLS = 1 << 22
 #: Training rows, at most about, on which temperature and cutoff are calibrated.
 CALIBRATION = 2_000
 #: Characters after which more text doesn't make the score surer.
@@ -199,44 +199,127 @@ def fit(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
     return Model(langs, codes, logs, contexts, backoff, floor)
 
 
-def train(spark: SparkSession, rows: DataFrame, model_grams: int = MODEL_GRAMS, reject: float = 0.01) -> Model:
+@dataclass
+class Tables:
+    """The same model in tables: counts of orders 1 to 4 (lang, gram, n), totals and kinds of
+    contexts of orders 2 to 4 (lang, context, total, kinds), and one row a language."""
+
+    own: dict[int, DataFrame]
+    contexts: dict[int, DataFrame]
+    langs: DataFrame
+    shape: Model
+
+    def log_probs(self, asked: DataFrame) -> DataFrame:
+        """(gram, lang, lp) of each of the distinct 4-grams asked for, in each language."""
+        now = asked.crossJoin(F.broadcast(self.langs))
+        p = F.lit(1.0) / F.col("size")
+        for k in range(1, 5):
+            part = F.col("gram").bitwiseAND(F.lit((1 << 16 * k) - 1 if k < 4 else -1))
+            counts = common.small_side(self.own[k].select(F.col("lang").alias("_lang"), F.col("gram").alias("_gram"), "n"))
+            now = now.withColumn("p", p).withColumn("_part", part).join(counts, (F.col("lang") == F.col("_lang")) & (F.col("_part") == F.col("_gram")), "left")
+            if k > 1:
+                context = common.small_side(self.contexts[k].select(F.col("lang").alias("_of"), "context", "total", "kinds"))
+                now = now.join(context, (F.col("lang") == F.col("_of")) & (F.shiftrightunsigned("_part", 16) == F.col("context")), "left")
+            else:
+                now = now.withColumn("total", F.col("total1")).withColumn("kinds", F.col("kinds1"))
+            cut = F.col(f"cut{k}")
+            seen = F.greatest(F.coalesce("n", F.lit(0.0)) - cut, F.lit(0.0)) / F.col("total") + cut * F.col("kinds") / F.col("total") * F.col("p")
+            now = now.withColumn("next", F.when(F.col("total").isNull(), F.col("p")).otherwise(seen)).select("gram", *self.langs.columns, F.col("next").alias("p"))
+            p = F.col("p")
+        return now.select("gram", "lang", F.log("p").alias("lp"))
+
+    def entropies(self, spark: SparkSession, docs: DataFrame) -> DataFrame:
+        """(t, found, chars) of each distinct text with letters, by its hash t: an array of
+        (cross-entropy per character, lang), and the number of characters."""
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for t, text in zip(batch["t"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                    g, n = np.unique(grams(letters(text)), return_counts=True)
+                    if len(g):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), t)), pa.array(g.view(np.int64)), pa.array(n)], names=["t", "gram", "n"])
+
+        own = docs.select(F.xxhash64("text").alias("t"), "text").mapInArrow(work, "t long, gram long, n long").dropDuplicates(["t", "gram"])
+        own = common.written(spark, own, "language-pieces")
+        probs = common.written(spark, self.log_probs(own.select("gram").distinct()), "language-probs")
+        sums = own.join(probs, "gram").groupBy("t", "lang").agg(F.sum(F.col("n") * F.col("lp")).alias("s"), F.sum("n").alias("chars"))
+        found = sums.groupBy("t").agg(F.sort_array(F.collect_list(F.struct((-F.col("s") / F.col("chars")).alias("h"), "lang"))).alias("found"), F.first("chars").alias("chars"))
+        return common.written(spark, found, "language-entropies")
+
+
+def tabled(spark: SparkSession, counts: DataFrame) -> Tables:
+    """Interpolated Kneser-Ney as ``fit`` has it, by aggregations over all n-grams."""
+    own = {4: counts.select("lang", "gram", F.col("n").cast("double").alias("n"))}
+    for k in (3, 2, 1):
+        short = F.col("gram").bitwiseAND(F.lit((1 << 16 * k) - 1))
+        own[k] = common.written(spark, own[k + 1].groupBy("lang", short.alias("gram")).agg(F.count("*").cast("double").alias("n")), "language-counts")
+    contexts = {k: common.written(spark, own[k].groupBy("lang", F.shiftrightunsigned("gram", 16).alias("context")).agg(F.sum("n").alias("total"), F.count("*").cast("double").alias("kinds")), "language-contexts") for k in (4, 3, 2)}
+    size = own[1].select("gram").distinct().count() + 1
+    langs = None
+    for k in range(1, 5):
+        ones, twos = (F.sum(F.when(F.col("n") == x, 1.0).otherwise(0.0)) for x in (1, 2))
+        cut = F.when(ones > 0, F.least(F.lit(0.95), F.greatest(F.lit(0.1), ones / F.greatest(ones + 2 * twos, F.lit(1.0))))).otherwise(0.5).alias(f"cut{k}")
+        more = [F.sum("n").alias("total1"), F.count("*").cast("double").alias("kinds1")] if k == 1 else []
+        row = own[k].groupBy("lang").agg(cut, *more)
+        langs = row if langs is None else langs.join(row, "lang")
+    langs = common.written(spark, langs.withColumn("size", F.lit(float(size))), "language-langs")
+    names = sorted(r["lang"] for r in langs.select("lang").collect())
+    return Tables(own, contexts, langs, Model(names, [], [], [], [], np.zeros(len(names))))
+
+
+def calibrate(model: Model, h: np.ndarray, size: np.ndarray, want: np.ndarray, reject: float) -> None:
+    """Sets temperature and cutoff by rows' entropies, numbers of characters and languages."""
+    best = np.inf
+    for t in 2.0 ** np.arange(-2, 9):
+        model.temperature, before = float(t), model.temperature
+        p = model.shares(h, size)[np.arange(len(want)), want]
+        loss = -np.log(np.maximum(p, 1e-12)).mean()
+        if loss < best:
+            best = loss
+        else:
+            model.temperature = before
+    p = model.shares(h, size)
+    right = p.argmax(axis=1) == want
+    model.cutoff = float(np.quantile(p.max(axis=1)[right], reject)) if right.any() else 0.0
+
+
+def train(spark: SparkSession, rows: DataFrame, cells: int = MODEL_CELLS, reject: float = 0.01) -> Model | Tables:
     """The model of rows with text and non-null lang, calibrated on some of them."""
-    from pyspark.sql import Window
-
     counts = common.written(spark, gram_counts(rows), "language-grams")
-    many = {r["lang"] for r in counts.groupBy("lang").count().where(F.col("count") > model_grams).collect()}
-    kept = counts.where(~F.col("lang").isin(list(many))) if many else counts
-    if many:  # the threshold of counts comes from a histogram, so that no task ranks all n-grams
-        for lang in sorted(many):
-            hist = counts.where(F.col("lang") == lang).groupBy("n").count()
-            least = hist.select("n", F.sum("count").over(Window.orderBy(F.col("n").desc())).alias("above")).where(F.col("above") <= model_grams).agg(F.min("n")).first()[0] or 1
-            kept = kept.union(counts.where((F.col("lang") == lang) & (F.col("n") >= least)))
-    table = kept.toArrow()
-    lang, gram, n = (table[c].to_numpy() for c in ("lang", "gram", "n"))
-    model = fit({x: (gram[lang == x].view(np.uint64), n[lang == x]) for x in sorted(set(lang.tolist()))})
-    if model.langs:
+    held = counts.count() * counts.select("lang").distinct().count() <= cells
+    if held:
+        table = counts.toArrow()
+        lang, gram, n = (table[c].to_numpy() for c in ("lang", "gram", "n"))
+        model = shape = fit({x: (gram[lang == x].view(np.uint64), n[lang == x]) for x in sorted(set(lang.tolist()))})
+    else:
+        model = tabled(spark, counts)
+        shape = model.shape
+    if shape.langs:
         total = rows.count()
         some = rows.where(F.pmod(F.xxhash64("text"), F.lit(max(1, total // CALIBRATION))) == 0).select("text", "lang").limit(2 * CALIBRATION)
-        found = [(*model.entropies(letters(r["text"])), model.langs.index(r["lang"])) for r in some.collect() if letters(r["text"]) and r["lang"] in model.langs]
+        if held:
+            found = [(*model.entropies(letters(r["text"])), shape.langs.index(r["lang"])) for r in some.collect() if letters(r["text"]) and r["lang"] in shape.langs]
+        else:
+            some = common.written(spark, some, "language-sample")
+            known = model.entropies(spark, some).join(some.select(F.xxhash64("text").alias("t"), "lang"), "t").collect()
+            found = [(np.array([x["h"] for x in sorted(r["found"], key=lambda x: shape.langs.index(x["lang"]))]), r["chars"], shape.langs.index(r["lang"])) for r in known if r["lang"] in shape.langs]
         if found:
-            h, size, want = np.stack([x[0] for x in found]), np.array([x[1] for x in found]), np.array([x[2] for x in found])
-            best = np.inf
-            for t in 2.0 ** np.arange(-2, 9):
-                model.temperature, before = float(t), model.temperature
-                p = model.shares(h, size)[np.arange(len(want)), want]
-                loss = -np.log(np.maximum(p, 1e-12)).mean()
-                if loss < best:
-                    best = loss
-                else:
-                    model.temperature = before
-            p = model.shares(h, size)
-            right = p.argmax(axis=1) == want
-            model.cutoff = float(np.quantile(p.max(axis=1)[right], reject)) if right.any() else 0.0
+            calibrate(shape, np.stack([x[0] for x in found]), np.array([x[1] for x in found]), np.array([x[2] for x in found]), reject)
     return model
 
 
-def identify(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
+def identify(spark: SparkSession, docs: DataFrame, model: Model | Tables) -> DataFrame:
     """(doc_id, lang_pred, score, accepted) of every whole text."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if isinstance(model, Tables):
+        m = model.shape
+        found = model.entropies(spark, rows).withColumnRenamed("t", "_t")
+        scale = F.least("chars", F.lit(SURE_CHARS)) / F.lit(m.temperature)
+        score = 1 / F.aggregate("found", F.lit(0.0), lambda total, x: total + F.exp((F.col("found")[0]["h"] - x["h"]) * scale))
+        found = found.select("_t", F.col("found")[0]["lang"].alias("lang_pred"), F.least(F.lit(1.0), score).alias("score"))
+        out = rows.select("doc_id", F.xxhash64("text").alias("t")).join(found, F.col("t") == F.col("_t"), "left")
+        out = out.select("doc_id", F.coalesce("lang_pred", F.lit("und")).alias("lang_pred"), F.coalesce("score", F.lit(0.0)).alias("score"))
+        return out.withColumn("accepted", F.col("score") >= max(m.cutoff, 1e-12))
     sent = spark.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +329,6 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
             score = np.array([s for _, s in found], float)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([x for x, _ in found], pa.string()), pa.array(score), pa.array(score >= max(m.cutoff, 1e-12))], names=["doc_id", "lang_pred", "score", "accepted"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(work, "doc_id long, lang_pred string, score double, accepted boolean")
 
 

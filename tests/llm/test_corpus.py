@@ -520,3 +520,20 @@ def test_near_groups_are_decided_by_whole_texts(spark, monkeypatch, likely):
     got = {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert close == {True, False} and sum(got[k] != want[k] for k in want) <= 1, "bands miss 0.002 of the pairs at 0.8"
     assert all(got[k] == k for k in want if want[k] == k)
+
+
+def test_language_model_in_tables_is_the_whole_model(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").limit(120)
+    docs = docs.unionByName(spark.createDataFrame([(900001, "", "en"), (None, None, None), (900002, "zq\u00df\u4e2d xx", None)], docs.schema)).localCheckpoint()
+    rows = docs.where("lang is not null")
+    held, tables = language.train(spark, rows), language.train(spark, rows, 0)
+    assert isinstance(held, language.Model) and isinstance(tables, language.Tables)
+    assert len(held.codes[0]) == tables.own[4].select("gram").distinct().count()
+    assert held.temperature == tables.shape.temperature and held.cutoff == pytest.approx(tables.shape.cutoff, rel=1e-6)
+    asked = np.unique(np.concatenate([held.codes[0][::97], language.grams(" zq\u00df\u4e2d xx ")]))
+    table = spark.createDataFrame(pd.DataFrame({"gram": asked.view(np.int64)}))
+    got = {(r["gram"], r["lang"]): r["lp"] for r in tables.log_probs(table).collect()}
+    want = held.log_probs(asked)
+    assert len(got) == want.size and all(got[int(g), x] == pytest.approx(want[i, k], abs=1e-9) for i, g in enumerate(asked.view(np.int64)) for k, x in enumerate(held.langs))
+    a, b = (sorted(map(tuple, language.identify(spark, docs, m).collect()), key=str) for m in (held, tables))
+    assert [(x[0], x[1]) for x in a] == [(x[0], x[1]) for x in b] and [x[2] for x in a] == pytest.approx([x[2] for x in b], abs=1e-9)
