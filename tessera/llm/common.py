@@ -67,6 +67,19 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def spread_join(rows: DataFrame, groups: DataFrame, key: str, own: str) -> DataFrame:
+    """``rows`` joined with their ``groups`` by ``key``; ``own`` is a group's number of rows.
+
+    A group that holds a thousandth of all these rows or more is broadcast (there are at
+    most a thousand of them), so that its rows stay where they are; the others are shuffled."""
+    total = groups.agg(F.sum(own)).first()[0] or 0
+    large = groups.where(F.col(own) * 1000 >= total)
+    if large.isEmpty():
+        return rows.join(groups, key)
+    rest = rows.join(F.broadcast(large.select(key)), key, "left_anti").join(groups.where(F.col(own) * 1000 < total), key)
+    return rows.join(F.broadcast(large), key).unionByName(rest)
+
+
 def ascii_lower(col):
     """Lower-cases A-Z only, as the contracts ask."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -1,156 +1,198 @@
 """Fuzzy line dedup, in SQL functions throughout.
 
-Each distinct line (by a 64-bit hash) gets a 64-bit SimHash of its normalised words (lower
-case, without ASCII punctuation).  Fingerprints within 3 bits agree on one of four 16-bit
-blocks, so a join on blocks finds them.  A candidate pair counts if the edit similarity of
-the normalised lines, in words, is at least 0.8.  Of each connected group of lines the first place (by
-doc_id, then line) stays, the others leave their texts.
-
-Lines with fewer than ``LEAST`` words between spaces are left alone.  Equal fingerprints are
-one node: a node's line of the smallest hash stands for it, its other lines are compared
-with that one, and lines of equal normal form are linked anyhow; so neither a very common
-line nor a crowd of near ones is paired with itself.
+One scan writes every line that has a word, with its place.  Each distinct line (by a 64-bit
+hash) gets a 64-bit SimHash of its normalised words (lower case, without punctuation).  Lines
+of equal normal form are one node.  Fingerprints within ``REACH`` bits agree on all but
+``REACH`` of any set of blocks, so a join on keys of the blocks left finds them (pigeonhole);
+a candidate pair counts if the edit similarity of the normalised lines, in words, is at least 0.8
+(so few bits apart, nearly all words are equal, and typos have made other words of the rest).  Of each connected group of lines the first place (by doc_id, then line) stays, the
+others leave their texts.
+
+All pairs of different normal forms within reach are verified: those of one fingerprint by
+rounds of representatives (``bucket_links``), those of two fingerprints outright.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .components import components
+from .components import bucket_links, components
 
-LEAST = 5
 REACH = 3
-BLOCKS = 4
 ALIKE = 0.8
+#: Fingerprints that share a key by chance, about, up to which keys of fewer blocks are taken.
+CROWD = 4
 
-
-#: ASCII but digits and letters; the lines are in lower case by then.
+#: What separates words: ASCII but digits and letters; the lines are in lower case by then.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Edit distances up to which a pair is tried before the next, costlier one.
 TRIES = (8, 32, 128, 512, 2048, 8192, 1 << 15, 1 << 20, 1 << 30)
+#: Words of a line whose counts share a sum, before those of a longer line are added up.
+CHUNK = 1 << 19
 
 
-def normalised(line: Column) -> Column:
-    """A line's words, each as one character (by a hash of it, among 53,248), so that an edit
-    distance of these strings is one in words."""
-    words = F.array_remove(F.split(F.lower(line), BREAKS), "")
-    places = F.transform(words, lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(0xD000))), 4, "0"))
-    return F.decode(F.unhex(F.array_join(places, "")), "UTF-16BE")
+def words_of(line: Column) -> Column:
+    return F.array_remove(F.split(F.lower(line), BREAKS), "")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, pos, k, line) of every line with enough words; h is the text's hash, k the line's."""
+    """(doc_id, h, pos, k, size, line) of every line with a visible character; h is the text's
+    hash, k the line's, size its bytes."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
-    rows = rows.where(F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "))) >= LEAST - 1)
-    return rows.select("doc_id", "h", "pos", F.xxhash64("line").alias("k"), "line")
+    return rows.where(F.btrim("line", F.lit(" \t\r\x0b\x0c")) != "").select("doc_id", "h", "pos", F.xxhash64("line").alias("k"), F.octet_length("line").alias("size"), "line")
 
 
-def simhash(words: DataFrame, key: str, word: str) -> DataFrame:
-    """(key, fp, n): bit by bit the majority of the words' hashes, and the number of words.
+def simhash(rows: DataFrame) -> DataFrame:
+    """(k, fp, n, form) of the distinct lines of rows (k, size, line): bit by bit the majority
+    of the words' hashes, the number of words, and a hash of the normal form (the words with
+    their places).
 
-    Three bits' counts share a sum (22 bits each), so 22 sums do for 64 bits; up to a
-    million words a line."""
-    h = F.xxhash64(word)
+    Three bits' counts share a sum (lanes of 22, 22 and 20 bits) for ``CHUNK`` words; only lines
+    that may be longer, if any, are summed up in parts whose lanes are then added up apart."""
+    h = F.xxhash64("word")
     lane = 1 | 1 << 22 | 1 << 44
     sums = [F.sum(F.shiftrightunsigned(h, j).bitwiseAND(F.lit(lane))).alias(f"s{j}") for j in range(22)]
-    counted = words.groupBy(key).agg(F.count("*").alias("n"), *sums)
-    bits = []
-    for j in range(22):
-        for k in range(3):
-            at = j + 22 * k
-            if at < 64:
-                count = F.shiftrightunsigned(F.col(f"s{j}"), 22 * k).bitwiseAND(F.lit((1 << 22) - 1))
-                value = (1 << at) - (1 << 64 if at == 63 else 0)
-                bits.append(F.when(2 * count > F.col("n"), F.lit(value)).otherwise(F.lit(0)).cast("long"))
-    return counted.select(key, reduce(lambda a, b: a.bitwiseOR(b), bits).alias("fp"), "n")
-
-
-def candidates(spark: SparkSession, prints: DataFrame) -> DataFrame:
-    """Pairs of keys (a, b) to verify: of each fingerprint's smallest key with its other
-    keys, and of the smallest keys of fingerprints within reach whose lines' lengths in words
-    allow the similarity (an edit changes the length by one at most)."""
-    nodes = common.written(spark, prints.groupBy("fp").agg(F.min("k").alias("k"), F.min_by("n", "k").alias("n"), F.count("*").alias("own")), "line-nodes")
-    same = prints.join(nodes.where("own > 1").select("fp", F.col("k").alias("a")), "fp").where("k != a").select("a", F.col("k").alias("b"))
-    width = 64 // BLOCKS
-    block = lambda fp, i: F.shiftrightunsigned(fp, width * i).bitwiseAND(F.lit((1 << width) - 1))
-    keys = F.explode(F.array(*[(F.lit(i << width) + block(F.col("fp"), i)).cast("int") for i in range(BLOCKS)]))
-    rows = nodes.select("fp", F.col("n").cast("int").alias("n"), keys.alias("block"))
-    left = rows.select("block", F.col("fp").alias("fa"), F.col("n").alias("na"))
-    right = rows.select("block", F.col("fp").alias("fb"), F.col("n").alias("nb"))
-    differ = F.col("fa").bitwiseXOR(F.col("fb"))
-    close = (F.col("fa") < F.col("fb")) & (F.bit_count(differ) <= REACH) & (F.abs(F.col("na") - F.col("nb")) <= F.greatest("na", "nb") * (1 - ALIKE) + 1e-9)
-    near = left.join(right, (left["block"] == right["block"]) & close).select("fa", "fb").distinct()
-    near = common.written(spark, near, "line-near")
-    name = lambda fp, k: nodes.select(F.col("fp").alias(fp), F.col("k").alias(k))
-    return same.unionByName(near.join(name("fa", "a"), "fa").join(name("fb", "b"), "fb").select("a", "b"))
-
-
-def line_groups(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The places of lines (doc_id, h, pos, k), and the roots (k, root) of lines that are
-    linked to others."""
-    docs = docs.select("doc_id", "text")
-    places = common.written(spark, lines_of(docs).drop("line"), "line-places")
-    distinct = lines_of(docs).select("k", "line").groupBy("k").agg(F.first("line").alias("line"))
-    words = distinct.select("k", F.explode(F.split(F.lower("line"), BREAKS)).alias("word")).where("word != ''")
-    prints = common.written(spark, simhash(words, "k", "word"), "line-prints")
-    pairs = common.written(spark, candidates(spark, prints), "line-pairs")
-    asked = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
-    # One place of each asked line, and only those documents' texts are read for it.
-    where = places.join(common.small_side(asked), "k").groupBy("k").agg(F.min(F.struct("doc_id", "h", "pos")).alias("at")).select("k", "at.*")
-    where = common.written(spark, where, "line-asked")
-    wanted = where.withColumnRenamed("doc_id", "_id").withColumnRenamed("h", "_h")
-    texts = docs.withColumn("h", F.xxhash64("text")).join(common.small_side(wanted), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")))
-    texts = texts.select("k", normalised(F.get(F.split("text", "\n"), F.col("pos"))).alias("norm")).dropDuplicates(["k"])
-    texts = common.written(spark, texts, "line-texts")
-    both = pairs.join(texts.select(F.col("k").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("k").alias("b"), F.col("norm").alias("y")), "b")
-    most = F.floor(F.greatest(F.length("x"), F.length("y")) * (1 - ALIKE) + 1e-9)
-    # A bounded distance costs the line's length times the bound: small bounds are tried first.
-    alike = F.lit(False)
+    form = F.bit_xor(F.xxhash64("word", "place")).alias("form")
+    count = lambda at: F.shiftrightunsigned(F.col(f"s{at % 22}"), at // 22 * 22).bitwiseAND(F.lit((1 << 22) - 1))
+
+    def words(some: DataFrame) -> DataFrame:
+        distinct = some.select("k", "line").groupBy("k").agg(F.first("line").alias("line"))
+        return distinct.select("k", F.posexplode(words_of(F.col("line"))).alias("place", "word"))
+
+    def majority(count, n: Column) -> Column:
+        bits = [F.when(2 * count(at) > n, F.lit((1 << at) - (1 << 64 if at == 63 else 0))).otherwise(F.lit(0)).cast("long") for at in range(64)]
+        return reduce(lambda a, b: a.bitwiseOR(b), bits).alias("fp")
+
+    short = words(rows.where(F.col("size") < 2 * CHUNK)).groupBy("k").agg(F.count("*").alias("n"), form, *sums)
+    parts = words(rows.where(F.col("size") >= 2 * CHUNK)).groupBy("k", F.floor(F.col("place") / CHUNK).alias("part")).agg(F.count("*").alias("n"), form, *sums)
+    long = parts.groupBy("k").agg(F.sum("n").alias("n"), F.bit_xor("form").alias("form"), *[F.sum(count(at)).alias(f"c{at}") for at in range(64)])
+    return short.select("k", majority(count, F.col("n")), "n", "form").unionByName(long.select("k", majority(lambda at: F.col(f"c{at}"), F.col("n")), "n", "form"))
+
+
+def block_keys(fp: Column, rows: int, reach: int = REACH, crowd: int = CROWD) -> Column:
+    """Keys of a fingerprint of which two within ``reach`` bits share one at least.
+
+    64 bits are cut in m blocks; ``reach`` bits touch as many blocks at most, so some choice
+    of m - reach blocks is equal.  m is the smallest for which about ``crowd`` of ``rows``
+    fingerprints share a key by chance: keys get longer as the table grows, and what they
+    find stays the same."""
+    m = reach + 1
+    while m < 2 * reach + 2 and rows > crowd << (64 * (m - reach) // m):
+        m += 1
+    edges = [64 * i // m for i in range(m + 1)]
+    keys = []
+    for number, chosen in enumerate(combinations(range(m), m - reach)):
+        mask = sum((1 << edges[i + 1]) - (1 << edges[i]) for i in chosen)
+        part = fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
+        keys.append(F.xxhash64(F.lit(number), part))
+    return F.array(*keys)
+
+
+def near_prints(prints: DataFrame, rows: int, reach: int = REACH) -> DataFrame:
+    """Pairs (fa, fb) of fingerprints 1 to ``reach`` bits apart, of rows (fp, lo, hi); lo and hi
+    are the least and greatest number of words, which an edit similarity bounds."""
+    keyed = prints.select("fp", "lo", "hi", F.explode(block_keys(F.col("fp"), rows, reach)).alias("key"))
+    left = keyed.hint("merge").select("key", F.col("fp").alias("fa"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
+    right = keyed.select("key", F.col("fp").alias("fb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
+    close = (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= reach) & (F.col("fa") < F.col("fb"))
+    return left.join(right, (left["key"] == right["key"]) & close).select("fa", "fb").distinct()
+
+
+def symbols(words: Column) -> Column:
+    """Each word as one character beyond the first 65,536, by a hash of it, so that an edit
+    distance of such strings is one in words: too small by about a millionth of the words that
+    differ, as there are 1,048,576 such characters."""
+    places = F.transform(words, lambda w: F.concat(F.lit("00"), F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(1 << 20)) + (1 << 16)), 6, "0")))
+    return F.decode(F.unhex(F.array_join(places, "")), "UTF-32")
+
+
+def similar(x: Column, y: Column, least: float = ALIKE) -> Column:
+    """Whether the edit similarity of two strings, 1 - distance / the longer one's length, is at
+    least ``least``.  A bounded distance costs the length times the bound: small bounds are tried first."""
+    most = F.floor(F.greatest(F.length(x), F.length(y)) * (1 - least) + 1e-9)
+    out = F.lit(False)
     for limit in reversed(TRIES):
-        far = F.levenshtein("x", "y", limit)
-        alike = F.when(far >= 0, far <= most).when(most <= limit, False).otherwise(alike)
-    links = both.where((F.abs(F.length("x") - F.length("y")) <= most) & ((F.col("x") == F.col("y")) | alike)).select("a", "b")
-    same = texts.groupBy(F.xxhash64("norm").alias("n")).agg(F.min("k").alias("a"), F.count("*").alias("own")).where("own > 1")
-    links = links.union(texts.withColumn("n", F.xxhash64("norm")).join(same, "n").where("k != a").select("a", F.col("k").alias("b")))
-    roots = components(spark, links)
-    roots = roots.union(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "k")
-    return places, roots
+        far = F.levenshtein(x, y, limit).bitwiseAND(F.lit(0x7FFFFFFF))  # -1, beyond the bound, becomes the greatest
+        out = F.when(far <= most, True).when(most <= limit, False).otherwise(out)
+    return (x == y) | ((F.abs(F.length(x) - F.length(y)) <= most) & out)
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated lines taken out of their texts.
-
-    Null text: stays null.  Empty and short lines stay.  Null doc_id: such documents come
-    first.  Rows of equal doc_id and text are one document, of which either row is kept
-    alike.  Columns are those of ``docs``."""
-    places, roots = line_groups(spark, docs)
+def line_groups(spark: SparkSession, docs: DataFrame, least: int = 1) -> tuple[DataFrame, DataFrame]:
+    """The places of lines (doc_id, h, pos, k), and the roots (k, root) of lines that are
+    linked to others; lines of fewer than ``least`` words have no part in it."""
+    rows = common.written(spark, lines_of(docs.select("doc_id", "text")), "lines")
+    prints = common.written(spark, simhash(rows).where(F.col("n") >= least), "line-prints")
+    # Lines of one normal form: a star around that of the smallest hash.
+    forms = common.written(spark, prints.groupBy("form").agg(F.min("k").alias("k"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.count("*").alias("own")), "line-forms")
+    same = prints.join(forms.where("own > 1").select("form", F.col("k").alias("a")), "form").where("k != a").select("a", F.col("k").alias("b"))
+    nodes = common.written(spark, forms.groupBy("fp").agg(F.min("k").alias("k"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("own")), "line-nodes")
+    near = common.written(spark, near_prints(nodes, nodes.count()), "line-near")
+    name = lambda fp, k: forms.select(F.col("fp").alias(fp), F.col("k").alias(k))
+    across = near.join(name("fa", "a"), "fa").join(name("fb", "b"), "fb").select("a", "b")
+    across = common.written(spark, across, "line-across")
+    crowded = forms.join(nodes.where("own > 1").select("fp"), "fp", "left_semi").select(F.col("fp").alias("key"), F.col("k").alias("h"), "n")
+    crowded = common.written(spark, crowded, "line-crowded")
+    # Normal forms of the lines asked for, and of no others.
+    asked = across.select(F.col("a").alias("k")).union(across.select("b")).union(crowded.select("h")).distinct()
+    asked = common.written(spark, asked, "line-asked")
+    texts = rows.select("k", "line").join(common.small_side(asked), "k", "left_semi").dropDuplicates(["k"])
+    texts = common.written(spark, texts.select("k", symbols(words_of(F.col("line"))).alias("marks")), "line-texts")
+
+    def sure(pairs: DataFrame, links: DataFrame) -> DataFrame:
+        both = pairs.join(texts.select(F.col("k").alias("a"), F.col("marks").alias("x")), "a").join(texts.select(F.col("k").alias("b"), F.col("marks").alias("y")), "b")
+        return both.where(similar(F.col("x"), F.col("y"))).select("a", "b")
+
+    links = same.unionByName(sure(across, same))
+    if crowded.isEmpty():
+        roots = components(spark, links)
+    else:
+        roots = bucket_links(spark, crowded, links, sure, 0.0)
+    roots = roots.union(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "k")
+    if least > 1:
+        rows = rows.join(prints.select("k"), "k", "left_semi")
+    return rows.select("doc_id", "h", "pos", "k"), roots
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, least: int = 1, removed: str | None = None) -> DataFrame:
+    """``docs`` with repeated lines taken out of their texts, and (if named) a column with
+    the number of lines taken out.
+
+    Null text: stays null.  Lines without a letter or digit stay, unless they are equal: then,
+    as any, all but the first go; blank lines always stay.  A line without blanks or
+    punctuation is one word, however long: it has no near copies but equal ones.  Null doc_id: such
+    documents come first.  Rows of equal doc_id and text are one document, of which either row
+    is kept alike.  Ties: of a text's lines the first stays.  Very long lines: compared whole.
+    Columns are those of ``docs``."""
+    places, roots = line_groups(spark, docs, least)
     grouped = places.join(common.small_side(roots), "k", "left").select("doc_id", "h", "pos", F.coalesce("root", "k").alias("g"))
     grouped = common.written(spark, grouped, "line-grouped")
     first = grouped.groupBy("g").agg(F.min(F.struct("doc_id", "h", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = grouped.join(first, "g").where(~F.struct("doc_id", "h", "pos").eqNullSafe(F.col("first")))
+    first = common.written(spark, first, "line-first")
+    later = common.spread_join(grouped, first, "g", "n").where(~F.struct("doc_id", "h", "pos").eqNullSafe(F.col("first")))
     gone = later.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.collect_set("pos").alias("_gone"))
     gone = common.written(spark, gone, "line-gone")
-    key = F.xxhash64("text")
     rows = common.boxed(docs, "doc_id", "text")
-    out = rows.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (key == F.col("_h")), "left")
+    out = rows.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left")
     lines = F.split("text", "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
     kept = F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i)), "\n")
     out = out.withColumn("_lines", F.when(F.col("_gone").isNotNull(), lines)).withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
-    return common.unboxed(out, docs.columns, "doc_id", "text")
+    if removed is None:
+        return common.unboxed(out, docs.columns, "doc_id", "text")
+    n = F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone"))
+    return out.select(*[F.col(c) if c in ("doc_id", "text") else F.col("box").getField(c).alias(c) for c in docs.columns if c != removed], n.alias(removed))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ``documents`` without repeated lines: doc_id, the text, and its number of lines
-    before and after.
+    """All ``documents`` without repeated lines: doc_id, the text, and the number of lines taken out.
 
-    Null text: null.  Empty text: one line, kept none.  Null doc_id: such documents come first.
+    Null text: null, 0.  Empty text: no lines.  Null doc_id: such documents come first.
     Repeated rows: one document, each row with the same result.  Ties: the lower line stays.
-    Empty table: no rows.  Other columns: ignored."""
-    docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("n_lines", F.size(F.split("text", "\n")))
-    out = dedup_lines(spark, docs)
-    return out.select("doc_id", "text", "n_lines", F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n"))).alias("n_kept"))
+    Very long texts and lines: taken whole.  Empty table: no rows.  Other columns: ignored."""
+    docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(spark, docs, removed="n_removed")

@@ -12,7 +12,7 @@ search, pairs are checked exactly, and only a spanning star of each group leaves
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .components import components
+from .components import bucket_links, components
 
 SEED = 42
 
@@ -294,49 +294,6 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float(((a == b) & either).sum() / either.sum()) if either.any() else 1.0
 
 
-def bucket_links(spark: SparkSession, banded: DataFrame, links: DataFrame, sure: Callable[[DataFrame, DataFrame], DataFrame], alike: float, direct: int | None = None) -> DataFrame:
-    """Roots (node, root) of the groups that ``links`` and all pairs of a bucket (key, h, n)
-    connect that ``sure`` confirms (given pairs (a, b) and the links so far).
-
-    No pair of a bucket is left out but those that are linked already and those whose
-    numbers of shingles n rule out ``alike``.  A round pairs representatives of each bucket
-    with all of its members and takes them out of it; members stay, linked or not, as others
-    may be like them only.  Buckets of one group are done.  Representatives are 1, 4, 16, ...
-    of a bucket, those with most links first: so the text that many differing copies were
-    made from comes second at the latest.  Once the pairs left are at most ``direct`` (a
-    number in proportion to the rows), one round takes all of them."""
-    links = common.written(spark, links, "near-links")
-    direct = max(1 << 20, banded.count()) if direct is None else direct
-    reps = 1
-    while True:
-        roots = components(spark, links)
-        banded = banded.select("key", "h", "n").join(roots.withColumnRenamed("node", "h"), "h", "left").select("key", "h", "n", F.coalesce("root", "h").alias("g"))
-        banded = common.written(spark, banded, "near-buckets")
-        mixed = banded.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("m")).where("lo < hi")
-        mixed = common.written(spark, mixed.select("key", "m"), "near-mixed")
-        left = mixed.agg(F.sum(F.col("m").cast("double") * (F.col("m") - 1) / 2)).first()[0]
-        if not left:
-            return roots
-        banded = common.written(spark, banded.join(mixed, "key", "left_semi"), "near-buckets")
-        chosen = banded
-        if left > direct:
-            ends = links.select(F.col("a").alias("h")).union(links.select("b")).groupBy("h").agg(F.count("*").alias("own"))
-            rank = F.struct(F.coalesce("own", F.lit(0)), F.bitwise_not("h"))
-            chosen = banded.join(ends, "h", "left").groupBy("key", F.pmod(F.xxhash64("h"), F.lit(reps)).alias("salt")).agg(F.max_by(F.struct("h", "g", "n"), rank).alias("one"))
-            chosen = common.written(spark, chosen.select("key", "one.*"), "near-chosen")
-        x, y = chosen.select("key", *[F.col(c).alias(f"{c}x") for c in "hgn"]), banded.select("key", *[F.col(c).alias(f"{c}y") for c in "hgn"])
-        could = (F.col("gx") != F.col("gy")) & (F.least("nx", "ny") >= F.greatest("nx", "ny") * alike - 1e-9)
-        if left <= direct:
-            could = could & (F.col("hx") < F.col("hy"))
-        pairs = x.join(y, "key").where(could).select(F.least("hx", "hy").alias("a"), F.greatest("hx", "hy").alias("b")).distinct()
-        found = sure(common.written(spark, pairs, "near-pairs"), links)
-        links = common.written(spark, links.unionByName(found).distinct(), "near-links")
-        if left <= direct:
-            return components(spark, links)
-        banded = banded.join(chosen, ["key", "h"], "left_anti")
-        reps *= 4
-
-
 def similar_groups(spark: SparkSession, docs: DataFrame, words: int = 5, reach: int = 3, alike: float = 0.8, direct: int | None = None) -> DataFrame:
     """(doc_id, h, component_id) of every document, h standing for its sequence of words:
     groups of documents whose sets of shingles have a resemblance of ``alike`` or more, among
