@@ -37,7 +37,7 @@ def components(spark: SparkSession, links: DataFrame, a: str = "a", b: str = "b"
         seen = state
 
 
-def bucket_links(spark: SparkSession, banded: DataFrame, links: DataFrame, sure: Callable[[DataFrame, DataFrame], DataFrame], alike: float, direct: int | None = None) -> DataFrame:
+def bucket_links(spark: SparkSession, banded: DataFrame, links: DataFrame, sure: Callable[[DataFrame, DataFrame], DataFrame], alike: float, direct: int | None = None, finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Roots (node, root) of the groups that ``links`` and all pairs of a bucket (key, h, n)
     connect that ``sure`` confirms (given pairs (a, b) and the links so far).
 
@@ -47,9 +47,16 @@ def bucket_links(spark: SparkSession, banded: DataFrame, links: DataFrame, sure:
     may be like them only.  Buckets of one group are done.  Representatives are 1, 4, 16, ...
     of a bucket, those with most links first: so the text that many differing copies were
     made from comes second at the latest.  Once the pairs left are at most ``direct`` (a
-    number in proportion to the rows), one round takes all of them."""
+    number in proportion to the rows), one round takes all of them.  With ``finish``, buckets
+    left after the first round are given to it, with their groups g, for the links of all their pairs."""
     links = common.written(spark, links, "near-links")
     direct = max(1 << 20, banded.count()) if direct is None else direct
+    size = F.sum(F.col("m").cast("double") * (F.col("m") - 1) / 2)
+    fits = lambda x, y: F.least(x, y) >= F.greatest(x, y) * alike - 1e-9
+    side = lambda df, x: df.select("key", *[F.col(c).alias(f"{c}{x}") for c in df.columns if c != "key"])
+    if finish is None and (banded.groupBy("key").agg(F.count("*").alias("m")).agg(size).first()[0] or 0) <= direct:
+        pairs = side(banded, "x").join(side(banded, "y"), "key").where((F.col("hx") < F.col("hy")) & fits("nx", "ny")).select(F.col("hx").alias("a"), F.col("hy").alias("b"))
+        return components(spark, links.unionByName(sure(common.written(spark, pairs.distinct(), "near-pairs"), links)))
     reps = 1
     while True:
         roots = components(spark, links)
@@ -57,24 +64,25 @@ def bucket_links(spark: SparkSession, banded: DataFrame, links: DataFrame, sure:
         banded = common.written(spark, banded, "near-buckets")
         mixed = banded.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("m")).where("lo < hi")
         mixed = common.written(spark, mixed.select("key", "m"), "near-mixed")
-        left = mixed.agg(F.sum(F.col("m").cast("double") * (F.col("m") - 1) / 2)).first()[0]
+        left = mixed.agg(size).first()[0]
         if not left:
             return roots
         banded = common.written(spark, banded.join(mixed, "key", "left_semi"), "near-buckets")
+        if finish is not None and reps > 1:
+            return components(spark, links.unionByName(finish(banded.join(mixed, "key"))))
         chosen = banded
-        if left > direct:
+        if left > direct or finish is not None:
             ends = links.select(F.col("a").alias("h")).union(links.select("b")).groupBy("h").agg(F.count("*").alias("own"))
             rank = F.struct(F.coalesce("own", F.lit(0)), F.bitwise_not("h"))
             chosen = banded.join(ends, "h", "left").groupBy("key", F.pmod(F.xxhash64("h"), F.lit(reps)).alias("salt")).agg(F.max_by(F.struct("h", "g", "n"), rank).alias("one"))
             chosen = common.written(spark, chosen.select("key", "one.*"), "near-chosen")
-        x, y = chosen.select("key", *[F.col(c).alias(f"{c}x") for c in "hgn"]), banded.select("key", *[F.col(c).alias(f"{c}y") for c in "hgn"])
-        could = (F.col("gx") != F.col("gy")) & (F.least("nx", "ny") >= F.greatest("nx", "ny") * alike - 1e-9)
-        if left <= direct:
+        could = (F.col("gx") != F.col("gy")) & fits("nx", "ny")
+        if chosen is banded:
             could = could & (F.col("hx") < F.col("hy"))
-        pairs = x.join(y, "key").where(could).select(F.least("hx", "hy").alias("a"), F.greatest("hx", "hy").alias("b")).distinct()
+        pairs = side(chosen, "x").join(side(banded, "y"), "key").where(could).select(F.least("hx", "hy").alias("a"), F.greatest("hx", "hy").alias("b")).distinct()
         found = sure(common.written(spark, pairs, "near-pairs"), links)
         links = common.written(spark, links.unionByName(found).distinct(), "near-links")
-        if left <= direct:
+        if chosen is banded:
             return components(spark, links)
-        banded = banded.join(chosen, ["key", "h"], "left_anti")
+        banded = banded.join(chosen, ["key", "h"], "left_anti") if finish is None else banded
         reps *= 4

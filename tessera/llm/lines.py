@@ -33,7 +33,7 @@ BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Edit distances up to which a pair is tried before the next, costlier one.
 TRIES = (8, 32, 128, 512, 2048, 8192, 1 << 15, 1 << 20, 1 << 30)
 #: Words of a line whose counts share a sum, before those of a longer line are added up.
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 
 
 def words_of(line: Column) -> Column:
@@ -58,20 +58,30 @@ def simhash(rows: DataFrame) -> DataFrame:
     lane = 1 | 1 << 22 | 1 << 44
     sums = [F.sum(F.shiftrightunsigned(h, j).bitwiseAND(F.lit(lane))).alias(f"s{j}") for j in range(22)]
     form = F.bit_xor(F.xxhash64("word", "place")).alias("form")
-    count = lambda at: F.shiftrightunsigned(F.col(f"s{at % 22}"), at // 22 * 22).bitwiseAND(F.lit((1 << 22) - 1))
-
     def words(some: DataFrame) -> DataFrame:
         distinct = some.select("k", "line").groupBy("k").agg(F.first("line").alias("line"))
         return distinct.select("k", F.posexplode(words_of(F.col("line"))).alias("place", "word"))
 
-    def majority(count, n: Column) -> Column:
-        bits = [F.when(2 * count(at) > n, F.lit((1 << at) - (1 << 64 if at == 63 else 0))).otherwise(F.lit(0)).cast("long") for at in range(64)]
-        return reduce(lambda a, b: a.bitwiseOR(b), bits).alias("fp")
+    # A lane of twice a sum, less n + 1, plus a bit above both: that bit stays if 2 * count > n.
+    above = 1 << 21 | 1 << 43 | 1 << 62
 
+    def three(j: int) -> Column:
+        v = F.col("above") + F.shiftleft(F.col(f"s{j}"), 1)
+        bits = F.shiftrightunsigned(v, 21).bitwiseAND(F.lit(1 | 1 << 22)).bitwiseOR(F.shiftleft(F.shiftrightunsigned(v, 62), 44))
+        return F.shiftleft(bits, j)
+
+    either = lambda a, b: a.bitwiseOR(b)
     short = words(rows.where(F.col("size") < 2 * CHUNK)).groupBy("k").agg(F.count("*").alias("n"), form, *sums)
-    parts = words(rows.where(F.col("size") >= 2 * CHUNK)).groupBy("k", F.floor(F.col("place") / CHUNK).alias("part")).agg(F.count("*").alias("n"), form, *sums)
+    short = short.withColumn("above", F.lit(above) - (F.col("n") + 1) * F.lit(lane))
+    short = short.select("k", reduce(either, [three(j) for j in range(22)]).alias("fp"), "n", "form")
+    big = rows.where(F.col("size") >= 2 * CHUNK)
+    if big.isEmpty():
+        return short
+    count = lambda at: F.shiftrightunsigned(F.col(f"s{at % 22}"), at // 22 * 22).bitwiseAND(F.lit((1 << 22) - 1))
+    parts = words(big).groupBy("k", F.floor(F.col("place") / CHUNK).alias("part")).agg(F.count("*").alias("n"), form, *sums)
     long = parts.groupBy("k").agg(F.sum("n").alias("n"), F.bit_xor("form").alias("form"), *[F.sum(count(at)).alias(f"c{at}") for at in range(64)])
-    return short.select("k", majority(count, F.col("n")), "n", "form").unionByName(long.select("k", majority(lambda at: F.col(f"c{at}"), F.col("n")), "n", "form"))
+    bits = [F.when(2 * F.col(f"c{at}") > F.col("n"), F.lit((1 << at) - (1 << 64 if at == 63 else 0))).otherwise(F.lit(0)).cast("long") for at in range(64)]
+    return short.unionByName(long.select("k", reduce(either, bits).alias("fp"), "n", "form"))
 
 
 def block_keys(fp: Column, rows: int, reach: int = REACH, crowd: int = CROWD) -> Column:

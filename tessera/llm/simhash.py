@@ -260,50 +260,70 @@ def near_groups(spark: SparkSession, docs: DataFrame, words: int = 5, reach: int
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-#: One-permutation MinHash: bins of a document's shingles, the first of which make bands.
-BINS = 256
+#: One-permutation MinHash: ranges of hashes whose least ones make bands.
 BANDS, ROWS = 21, 6
-EMPTY = np.uint32(0xFFFFFFFF)
-#: Likely pairs up to which all are counted at once.
-LIKELY = 20_000
+BINS = 256
+#: Members of a block of a bucket: two blocks at a time are compared in one task.
+BLOCK = 1024
 
 
-def _minhash(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The least hash in each of 256 ranges of hashes (the sorted set's first there), and keys
-    of 21 bands of 6 bins; for bands an empty bin borrows from the next full one."""
-    own = np.unique(hashes)
+def _bands(own: np.ndarray) -> np.ndarray:
+    """Keys of 21 bands of 6 bins of a sorted set: a bin holds the least hash in its range of
+    256, an empty one borrows from the next full one."""
     at = np.searchsorted(own, np.arange(BINS, dtype=np.uint64) << np.uint64(56))
     full = np.diff(np.append(at, len(own))) > 0
-    sig = np.full(BINS, EMPTY)
-    sig[full] = (own[at[full]] >> np.uint64(24)).astype(np.uint32) & np.uint32(0x7FFFFFFF)
     if not full.any():
-        return sig, np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64)
     places = np.flatnonzero(full)
-    filled = sig[places[np.searchsorted(places, np.arange(BINS)) % len(places)]].astype(np.uint64)
-    part = filled[: BANDS * ROWS].reshape(BANDS, ROWS)
+    least = own[at[places]]
+    part = least[np.searchsorted(places, np.arange(BANDS * ROWS)) % len(places)].reshape(BANDS, ROWS)
     key = np.arange(BANDS, dtype=np.uint64) + np.uint64(1)
     for k in range(ROWS):
         key = (key ^ part[:, k]) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(29)
-    return sig, key
-
-
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated resemblance of two shingle sets: equal bins among those that either fills."""
-    either = (a != EMPTY) | (b != EMPTY)
-    return float(((a == b) & either).sum() / either.sum()) if either.any() else 1.0
+    return key
+
+
+def block_links(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, group: np.ndarray, alike: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning star of each group that pairs (one of ``first``, one of ``second``) of sets
+    connect whose resemblance, counted exactly, is ``alike`` or more; pairs of one group are done.
+
+    Elements of two sets or more are the columns of a 0/1 matrix, in slices; its product with
+    itself holds the sizes of all intersections."""
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets])
+    ids, times = np.unique(np.concatenate(sets) if n else np.zeros(0, np.uint64), return_inverse=True, return_counts=True)[1:]
+    column = np.cumsum(times > 1) - 1
+    row, shared = np.repeat(np.arange(n), sizes), times[ids] > 1
+    row, column = row[shared], column[ids[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((n, n), np.float32)
+    step = 4096
+    for k in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        cut = slice(*np.searchsorted(column, [k, k + step]))
+        part = np.zeros((n, step), np.float32)
+        part[row[cut], column[cut] - k] = 1
+        both += part @ part.T
+    near = (both >= alike * (sizes[:, None] + sizes[None, :] - both) - 1e-6) & first[:, None] & second[None, :] & (group[:, None] != group[None, :])
+    a, b = np.nonzero(near)
+    label = spanning(n, a, b)
+    ends = np.flatnonzero(label != np.arange(n))
+    return ends, label[ends]
+
+
+def similar_nodes(spark: SparkSession, rows: DataFrame, words: int = 5, reach: int = 3, alike: float = 0.8) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of rows (uid, doc_id, text): marks (uid, doc_id, h), h standing for a text's sequence of words;
+    nodes (h, own, first), with the number of rows and the first one (known, doc_id, uid); and
+    roots (h, root) of the nodes that aren't their group's smallest.
+
+    A group is what links of a resemblance of ``alike`` or more connect, among pairs that share
+    a band or whose fingerprints are within ``reach`` bits.  Three bits of 64 reach only the nearest of copies (see
+    the README), and no bound of a vantage-point tree prunes a search of the ten or so bits that
+    a resemblance of 0.8 needs; so banded MinHash keys add candidates.  Every link is decided by the
+    whole sets of shingles: first of a bucket's members with one of them, then, where a bucket
+    still has several groups, of all its pairs, block by block.  Documents without words are alike."""
 
-
-def similar_groups(spark: SparkSession, docs: DataFrame, words: int = 5, reach: int = 3, alike: float = 0.8, direct: int | None = None) -> DataFrame:
-    """(doc_id, h, component_id) of every document, h standing for its sequence of words:
-    groups of documents whose sets of shingles have a resemblance of ``alike`` or more, among
-    pairs that share a band or whose fingerprints are within ``reach`` bits.
-
-    Three bits of 64 reach only the nearest of copies (see the README), and no bound of a
-    vantage-point tree prunes a search of the ten or so bits that a resemblance of 0.8 needs.
-    So banded MinHash keys add candidates: ``bucket_links`` settles all pairs of a bucket,
-    the 256 bins rule out pairs far below (by four standard errors), and the resemblance of
-    the others is counted on their whole texts.  Documents without words are alike."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -313,100 +333,111 @@ def similar_groups(spark: SparkSession, docs: DataFrame, words: int = 5, reach:
                 texts = [x or "" for x in part["text"].to_pylist()]
                 found = [_hashes(x, words) for x in texts]
                 h = [xxhash.xxh64_intdigest(b" ".join(x.encode("utf-8", "surrogatepass").lower().split()), SEED) for x in texts]
-                marks = [_minhash(x) for x in found]
+                sets = [np.unique(x) for x in found]
                 yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], part["t"], pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(_majorities(found).view(np.int64)), pa.array([s.tobytes() for s, _ in marks]), pa.array([k.view(np.int64) for _, k in marks], pa.list_(pa.int64())), pa.array([len(np.unique(x)) for x in found], pa.int32())],
-                    names=["doc_id", "t", "h", "fp", "sig", "bands", "n"],
+                    [part["uid"], part["doc_id"], pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(_majorities(found).view(np.int64)), pa.array([_bands(x).view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array([len(x) for x in sets], pa.int32())],
+                    names=["uid", "doc_id", "h", "fp", "bands", "n"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
-    marks = common.written(spark, rows.mapInArrow(work, "doc_id long, t long, h long, fp long, sig binary, bands array<long>, n int"), "near-marks")
-    nodes = common.written(spark, marks.groupBy("h").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.min("t").alias("t")), "near-nodes")
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([part["h"], pa.array([np.unique(_hashes(x or "", words)).tobytes() for x in part["text"].to_pylist()], pa.binary())], names=["h", "s"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= alike * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(ok, pa.bool_())), batch["b"].filter(pa.array(ok, pa.bool_()))], names=["a", "b"])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None  # members of the block pair that is being read
+
+        def settle() -> pa.RecordBatch:
+            h, g, b = (np.array([m[k] for m in held], np.int64) for k in range(3))
+            x, y = block_links([np.frombuffer(m[3], np.uint64) for m in held], b == now[1], b == now[2], g, alike)
+            return pa.RecordBatch.from_arrays([pa.array(h[x]), pa.array(h[y])], names=["a", "b"])
+
+        for batch in batches:
+            for key, lo, hi, h, g, b, s in zip(*(batch[c].to_pylist() for c in ("key", "lo", "hi", "h", "g", "b", "s")), strict=True):
+                if (key, lo, hi) != now:
+                    if len(held) > 1:
+                        yield settle()
+                    held, now = [], (key, lo, hi)
+                held.append((h, g, b, s))
+        if len(held) > 1:
+            yield settle()
+
+    marks = common.written(spark, rows.select("uid", "doc_id", "text").mapInArrow(work, "uid long, doc_id long, h long, fp long, bands array<long>, n int"), "near-marks")
+    first = F.min(F.struct(F.when(F.col("doc_id").isNull(), 1).otherwise(0).alias("known"), "doc_id", "uid")).alias("first")
+    nodes = common.written(spark, marks.groupBy("h").agg(first, F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("n").alias("n"), F.count("*").alias("own")), "near-nodes")
     chief = nodes.groupBy("fp").agg(F.min("h").alias("a"))
     same = nodes.join(chief, "fp").where("h != a").select("a", F.col("h").alias("b"))
     near = near_links(spark, chief.select("fp"), reach)
     name = lambda fp, h: chief.select(F.col("fp").alias(fp), F.col("a").alias(h))
     near = near.select(F.col("a").alias("fa"), F.col("b").alias("fb")).join(name("fa", "a"), "fa").join(name("fb", "b"), "fb").select("a", "b")
+    prints = common.written(spark, same.unionByName(near).distinct(), "near-prints")
 
-    banded = marks.groupBy("h").agg(F.first("bands").alias("bands"), F.first("n").alias("n")).select("h", "n", F.explode("bands").alias("key"))
-    banded = common.written(spark, banded, "near-bands")
+    banded = common.written(spark, nodes.select("h", "n", F.explode("bands").alias("key")), "near-bands")
     shared = banded.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("key")
     banded = common.written(spark, banded.join(shared, "key", "left_semi"), "near-buckets")
-    sigs = common.written(spark, marks.select("h", "sig").join(banded.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"]), "near-sigs")
+    asked = prints.select(F.col("a").alias("h")).union(prints.select("b")).union(banded.select("h")).distinct()
+    asked = common.written(spark, nodes.join(asked, "h", "left_semi").select("h", F.col("first.uid").alias("uid")), "near-asked")
+    sets = rows.select("uid", "text").join(common.small_side(asked), "uid").select("h", "text").mapInArrow(shingled, "h long, s binary")
+    sets = common.written(spark, sets, "near-sets")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint32).reshape(-1, BINS) for c in ("x", "y"))
-            either = (x != EMPTY) | (y != EMPTY)
-            size = either.sum(axis=1)
-            share = ((x == y) & either).sum(axis=1) / size
-            ok = pa.array(share >= alike - 4 * (alike * (1 - alike) / size) ** 0.5)
-            yield pa.RecordBatch.from_arrays([batch["a"].filter(ok), batch["b"].filter(ok), pa.array(share).filter(ok)], names=["a", "b", "share"])
+    def sure(pairs: DataFrame, links: DataFrame | None = None) -> DataFrame:
+        both = pairs.join(sets.select(F.col("h").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("h").alias("b"), F.col("s").alias("y")), "b")
+        return both.select("a", "b", "x", "y").mapInArrow(count, "a long, b long")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+    def finish(left: DataFrame) -> DataFrame:
+        n = F.ceil(F.col("m") / BLOCK).cast("int")
+        left = left.withColumn("b", F.pmod(F.xxhash64("h"), n).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), n - 1)))
+        left = left.select("key", F.least("b", "with").alias("lo"), F.greatest("b", "with").alias("hi"), "h", "g", "b").join(sets, "h")
+        at = ["key", "lo", "hi"]
+        left = left.repartition(common.tasks(spark), *at).sortWithinPartitions(*at)
+        return left.select(*at, "h", "g", "b", "s").mapInArrow(blocks, "a long, b long")
 
-        def own(h: int, text: str | None) -> np.ndarray:
-            if h not in held:
-                if len(held) >= 256:
-                    held.clear()
-                held[h] = np.unique(_hashes(text or "", words))
-            return held[h]
+    roots = bucket_links(spark, banded, sure(prints), sure, alike, finish=finish)
+    return marks.select("uid", "doc_id", "h"), nodes.select("h", "own", "first"), roots.withColumnRenamed("node", "h")
 
-        for batch in batches:
-            ok = []
-            for a, b, x, y in zip(*(batch[c].to_pylist() for c in ("a", "b", "x", "y")), strict=True):
-                x, y = own(a, x), own(b, y)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both >= alike * (len(x) + len(y) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(ok, pa.bool_())), batch["b"].filter(pa.array(ok, pa.bool_()))], names=["a", "b"])
 
-    def exact(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
-        asked = common.written(spark, nodes.join(asked, "h", "left_semi").select("h", "t"), "near-asked")
-        texts = rows.select("t", "text").join(common.small_side(asked), "t").dropDuplicates(["h"])
-        texts = common.written(spark, texts.select("h", "text"), "near-texts")
-        both = pairs.join(texts.select(F.col("h").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("text").alias("y")), "b")
-        return common.written(spark, both.select("a", "b", "x", "y").mapInArrow(count, "a long, b long"), "near-exact")
-
-    def sure(pairs: DataFrame, links: DataFrame) -> DataFrame:
-        """Those of the pairs that reach ``alike``; where they are many, each node's likest pair is
-        counted first, and then the others that this leaves in different groups."""
-        both = pairs.join(sigs.select(F.col("h").alias("a"), F.col("sig").alias("x")), "a").join(sigs.select(F.col("h").alias("b"), F.col("sig").alias("y")), "b")
-        likely = common.written(spark, both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long, share double"), "near-likely")
-        if likely.count() <= LIKELY:
-            return exact(likely.select("a", "b"))
-        rank = F.max_by(F.struct("a", "b"), F.struct("share", "a", "b")).alias("one")
-        best = likely.groupBy("a").agg(rank).select("one.*").union(likely.groupBy("b").agg(rank).select("one.*")).distinct()
-        best = common.written(spark, best, "near-best")
-        links = links.unionByName(exact(best))
-        roots = components(spark, links)
-        root = lambda h: roots.select(F.col("node").alias(h), F.col("root").alias(f"root_{h}"))
-        rest = likely.select("a", "b").join(best, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
-        rest = common.written(spark, rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "near-rest")
-        return links.unionByName(exact(rest))
-
-    links = exact(common.written(spark, same.unionByName(near).distinct(), "near-prints"))
-    roots = bucket_links(spark, banded, links, sure, alike, direct)
-    member = roots.union(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "h").join(nodes.select("h", "first"), "h")
-    linked = member.join(member.groupBy("root").agg(F.min("first").alias("group_first")), "root").select("h", "group_first")
-    named = nodes.join(linked, "h", "left").select("h", F.coalesce("group_first", "first").alias("component_id"))
-    return marks.select("doc_id", "h").join(named, "h")
+def numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` in a box, with doc_id, text and a number of each row, written."""
+    own = [c for c in ("doc_id", "text") if c in docs.columns]
+    return common.written(spark, common.boxed(docs, *own).withColumn("uid", F.monotonically_increasing_id()), "near-rows")
+
+
+def similar_groups(spark: SparkSession, docs: DataFrame, words: int = 5, reach: int = 3, alike: float = 0.8) -> DataFrame:
+    """(doc_id, h, component_id) of every row: groups as ``similar_nodes`` has them, named by
+    their smallest doc_id.
+
+    Null doc_id: a document like any other, but it doesn't name a group; a group of such
+    documents alone has a null component_id.  Null and empty texts are alike.  Repeated rows:
+    each has its row."""
+    rows = numbered(spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    marks, nodes, roots = similar_nodes(spark, rows, words, reach, alike)
+    grouped = nodes.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
+    named = grouped.groupBy("root").agg(F.min("first").alias("least")).select("root", F.col("least.doc_id").alias("component_id"))
+    named = common.written(spark, grouped.join(named, "root").select("h", "own", "component_id"), "near-named")
+    return common.spread_join(marks, named, "h", "own").select("doc_id", "h", "component_id")
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, words: int = 5, reach: int = 3, alike: float = 0.8) -> DataFrame:
     """The documents with one of each group of ``similar_groups``: that of the smallest doc_id.
 
-    Repeated rows of one doc_id leave one.  Documents without doc_id stay, as no decision
-    can name them.  Columns are those of ``docs``."""
-    from pyspark.sql import Window
-
-    found = similar_groups(spark, docs, words, reach, alike)
-    stay = found.where("doc_id = component_id").select("doc_id").distinct()
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    rows = common.boxed(docs, "doc_id", "text")
-    kept = rows.join(stay.hint("shuffle_hash"), "doc_id", "left_semi").withColumn("nth", one).where("nth = 1")
-    return common.unboxed(kept, docs.columns, "doc_id", "text").unionByName(docs.where("doc_id is null"))
+    Rows are told apart by a number of their own, so different texts of one doc_id are different
+    documents.  Null doc_id: a document like any other, after all others.  Repeated rows leave
+    one.  Null and empty texts are one group.  Empty table: no rows.  Columns are those of ``docs``."""
+    rows = numbered(spark, docs)
+    _, nodes, roots = similar_nodes(spark, rows.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string")), words, reach, alike)
+    stay = nodes.join(roots, "h", "left").groupBy(F.coalesce("root", "h").alias("root")).agg(F.min("first").alias("least")).select(F.col("least.uid").alias("uid"))
+    stay = common.written(spark, stay, "near-stay")
+    return common.unboxed(rows.join(common.small_side(stay), "uid", "left_semi"), docs.columns, "doc_id", "text")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,57 +124,133 @@ def test_drop_near_keeps_one(spark, folder):
     docs = spark.read.parquet(folder + "/documents.parquet")
     kept = simhash.drop_near(spark, docs)
     assert kept.columns == docs.columns
-    ids = [r["doc_id"] for r in kept.collect() if r["doc_id"] is not None]
-    assert len(ids) == len(set(ids)) and 0 in ids and 18 not in ids and 21 not in ids
+    rows = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    flat = lambda x: " ".join(WORD.findall(lower(x or "")))
+    ids = {i for i, _ in rows}
+    assert 0 in ids and 18 not in ids and 21 not in ids
+    assert {flat(x) for _, x in rows} <= {flat(x) for _, x in table(folder)} and len({flat(x) for _, x in rows}) == len(rows)
 
 
-def line_key(x):
-    return int(np.uint64(xxhash.xxh64_intdigest(x.encode(), 42)).view(np.int64))
+def test_drop_near_tells_rows_apart(spark):
+    words = lambda k: " ".join(f"q{k}x{j}" for j in range(40))
+    rows = [(1, words(1), "a"), (1, words(2), "b"), (2, words(3), "c"), (None, words(4), "d"), (None, words(4), "e"), (None, words(1), "f"), (3, None, "g"), (4, "", "h"), (2, words(3), "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, uid string")
+    got = simhash.drop_near(spark, docs)
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"]) for r in got.where("doc_id is not null").collect() if r["text"]) == sorted([(1, words(1)), (1, words(2)), (2, words(3))])
+    assert [r["text"] for r in got.where("doc_id is null").collect()] == [words(4)]
+    assert [r["doc_id"] for r in got.where("coalesce(text, '') = ''").collect()] == [3]
 
 
-def test_op2(spark, folder):
-    t = sorted({(i, x) for i, x in table(folder)}, key=order)
-    norm = lambda x: tuple(y for y in re.split(lines.BREAKS, x.lower()) if y)
-    places = [(i, x, p, y) for i, x in t for p, y in enumerate((x or "").split("\n")) if y.count(" ") >= lines.LEAST - 1]
-    every = sorted({y for *_, y in places})
+@pytest.mark.parametrize("block", [8, 1024])
+def test_block_links_are_those_of_all_pairs(spark, monkeypatch, block):
+    rng = np.random.default_rng(block)
+    base = rng.integers(0, 1 << 60, 300, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(200, 290), replace=False), rng.integers(0, 1 << 60, 20, dtype=np.uint64)])) for _ in range(40)]
+    group, side = rng.integers(0, 5, 40), rng.random(40) < 0.5
+    a, b = simhash.block_links(sets, side, ~side, group, 0.8)
+    like = lambda i, j: len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.8
+    pairs = [(i, j) for i in range(40) for j in range(40) if side[i] and not side[j] and group[i] != group[j] and like(i, j)]
+    assert pairs and (simhash.spanning(40, a, b) == simhash.spanning(40, *np.array(pairs).T)).all()
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def line_words(x):
+    return tuple(y for y in re.split(lines.BREAKS, x.lower()) if y)
+
+
+def alike_lines(a, b):
+    return abs(len(a) - len(b)) <= 0.2 * max(len(a), len(b)) and edits(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9
 
-    def fp(y):
-        w = [x for x in re.split(lines.BREAKS, y.lower()) if x]
-        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in w]
-        return sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in h) > len(w))
-
-    def far(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, y in enumerate(b, 1):
-                new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
-            row = new
-        return row[-1]
-
-    alike = lambda a, b: abs(len(a) - len(b)) <= 0.2 * max(len(a), len(b)) and far(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9
-    prints = {y: fp(y) for y in every if any(re.split(lines.BREAKS, y.lower()))}
-    chief = {}
-    for y in sorted(prints, key=line_key):
-        chief.setdefault(prints[y], y)
+
+def line_print(w):
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in w]
+    return sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in h) > len(w))
+
+
+def without_lines(t):
+    """Every pair of lines is looked at: no blocks, no representatives."""
+    t = sorted(set(t), key=order)
+    places = [(i, x, p, y) for i, x in t for p, y in enumerate((x or "").split("\n")) if y.strip(" \t\r\x0b\x0c")]
+    every = sorted({y for *_, y in places})
+    words = {y: line_words(y) for y in every}
+    prints = {y: line_print(w) for y, w in words.items() if w}
     root = {y: y for y in every}
 
     def find(y):
-        return y if root[y] == y else find(root[y])
+        while root[y] != y:
+            y = root[y]
+        return y
 
     for a in prints:
         for b in prints:
-            near = a == chief[prints[a]] and b == chief[prints[b]] and 0 < (prints[a] ^ prints[b]).bit_count() <= 3
-            if (norm(a) == norm(b) and prints[a] == prints[b]) or ((near or b == chief[prints[a]]) and alike(norm(a), norm(b))):
+            if a < b and (prints[a] ^ prints[b]).bit_count() <= 3 and alike_lines(words[a], words[b]):
                 root[find(a)] = find(b)
     seen, gone = set(), set()
     for i, x, p, y in places:
         if find(y) in seen:
             gone.add((i, x, p))
         seen.add(find(y))
-    want = [(i, None if x is None else "\n".join(y for p, y in enumerate(x.split("\n")) if (i, x, p) not in gone)) for i, x in table(folder)]
+    return lambda i, x: None if x is None else "\n".join(y for p, y in enumerate(x.split("\n")) if (i, x, p) not in gone)
+
+
+def test_op2(spark, folder):
+    t = table(folder)
+    left = without_lines(t)
     got = [(r["doc_id"], r["text"]) for r in rows_of(spark, "op2_line_dedup", folder)]
-    assert gone and sorted(got, key=str) == sorted(want, key=str)
+    assert any(x != left(i, x) for i, x in t) and sorted(got, key=str) == sorted([(i, left(i, x)) for i, x in t], key=str)
+
+
+def test_lines_of_every_kind(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    base = [word() for _ in range(60)]
+    same_words = [" ".join(r.sample(base, len(base))) for _ in range(12)]  # one fingerprint, many normal forms
+    turned = base[-3:] + base[:-3]
+    close = [" ".join(turned), " ".join([*base[:-1], "other"]), " ".join(base) + " more", " ".join(base).upper().replace(" ", "\t")]
+    long = " ".join(f"w{k}" for k in range(3000))
+    rows = ["Intro\nyes", "yes\nIntro\n\n", "a\tb\tc d", "A;b;c--D", "\u65e5\u672c\u8a9e\u306e\u884c\u3002", "\u65e5\u672c\u8a9e\u306e\u884c\u3002", "---\n---", " ".join(base), *same_words, *close, long, long + " w3000", "", None, "x" * 30_000, "x" * 30_000]
+    t = [(k, x) for k, x in enumerate(rows)]
+    docs = spark.createDataFrame(t, "doc_id long, text string")
+    left = without_lines(t)
+    got = {x["doc_id"]: x["text"] for x in lines.dedup_lines(spark, docs).collect()}
+    assert got == {k: left(k, x) for k, x in t}
+    assert got[1] == "\n" and got[3] == got[5] == "" and got[6] == "---"
+
+
+def test_fingerprint_of_very_long_lines(spark, monkeypatch):
+    r = random.Random(9)
+    text = [" ".join(f"v{r.randrange(90)}" for _ in range(n)) for n in (10, 300, 1000)]
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate(text)], "doc_id long, text string")
+    want = sorted(line_print(line_words(x)) for x in text)
+    for chunk in (1 << 17, 64):
+        monkeypatch.setattr(lines, "CHUNK", chunk)
+        got = lines.simhash(lines.lines_of(docs)).collect()
+        assert sorted(x["fp"] % (1 << 64) for x in got) == want and sorted(x["n"] for x in got) == [10, 300, 1000]
+
+
+def test_block_keys_share_one_within_reach(spark):
+    r = random.Random(10)
+    pairs = []
+    for k in range(400):
+        a = r.getrandbits(64)
+        b = a
+        for bit in r.sample(range(64), r.randint(0, 3)):
+            b ^= 1 << bit
+        pairs.append((k, *(x - (1 << 64) if x >> 63 else x for x in (a, b))))
+    df = spark.createDataFrame(pairs, "k int, a long, b long")
+    for rows in (1, 10**7, 10**10, 10**13):
+        out = df.select(lines.F.arrays_overlap(lines.block_keys(lines.F.col("a"), rows), lines.block_keys(lines.F.col("b"), rows)).alias("x"))
+        assert all(x["x"] for x in out.collect())
 
 
 def ids_of(file, x, end):
@@ -482,8 +558,9 @@ def test_similar_groups_find_near_copies_and_leave_others(spark):
     assert got == {i: first[k] for i, k in want.items()} | {rows[-2][0]: rows[-2][0], rows[-1][0]: rows[-2][0]}
 
 
-@pytest.mark.parametrize("direct", [None, 0])
-def test_star_of_copies_that_differ_from_each_other(spark, direct):
+@pytest.mark.parametrize("block", [16, 1024])
+def test_star_of_copies_that_differ_from_each_other(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
     r = random.Random(3)
     words = [f"w{k}" for k in range(5000)]
     base = [r.choice(words) for _ in range(400)]
@@ -498,13 +575,11 @@ def test_star_of_copies_that_differ_from_each_other(spark, direct):
     sets = [shingles(w) for _, w in rows]
     assert min(like(sets[0], x) for x in sets[1:]) > 0.82 and sum(like(sets[1], x) < 0.75 for x in sets[2:]) > 250
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
-    got = [x["component_id"] for x in simhash.similar_groups(spark, docs, direct=direct).collect()]
+    got = [x["component_id"] for x in simhash.similar_groups(spark, docs).collect()]
     assert sum(x != 0 for x in got) <= 3, "bands find 0.998 of the pairs of 0.8"
 
 
-@pytest.mark.parametrize("likely", [0, 20_000])
-def test_near_groups_are_decided_by_whole_texts(spark, monkeypatch, likely):
-    monkeypatch.setattr(simhash, "LIKELY", likely)
+def test_near_groups_are_decided_by_whole_texts(spark):
     r = random.Random(4)
     rows, want, close = [], {}, set()
     for _ in range(150):  # pairs around 0.8
@@ -524,7 +599,7 @@ def test_near_groups_are_decided_by_whole_texts(spark, monkeypatch, likely):
 
 def test_language_model_in_tables_is_the_whole_model(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").limit(120)
-    docs = docs.unionByName(spark.createDataFrame([(900001, "", "en"), (None, None, None), (900002, "zq\u00df\u4e2d xx", None)], docs.schema)).localCheckpoint()
+    docs = docs.unionByName(spark.createDataFrame([(900001, "", "en"), (None, None, None), (900002, "zq\u00df\u4e2d xx", None)], docs.schema)).cache()
     rows = docs.where("lang is not null")
     held, tables = language.train(spark, rows), language.train(spark, rows, 0)
     assert isinstance(held, language.Model) and isinstance(tables, language.Tables)
