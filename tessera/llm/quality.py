@@ -1,14 +1,17 @@
 """Quality rules whose learned cutoffs have a proven limit on false rejections.
 
 Every rule rejects documents of which one measure exceeds a cutoff.  Cutoffs are chosen
-per stratum (language) from labelled documents.  A cutoff is safe if the exact binomial
-tail shows that it rejects at most a share ``alpha`` of good documents.  A measure's
-cutoffs are tested from the loosest to the strictest, in an order fixed beforehand, up to
-the first that isn't safe: such a sequence needs no correction of its own.  Over strata and
-measures the level ``delta`` is divided by the number of sequences (Bonferroni), so with
-probability 1 - delta every chosen cutoff keeps its promise.  The last safe cutoff is taken;
-where a stratum's labels are too few for any, the cutoff of all strata together, which
-keeps the promise over all of them; where those are too few too, the measure rejects nothing.
+per stratum (language) from labelled documents of that stratum alone.  A cutoff is safe if the
+exact binomial tail shows that it rejects at most a share alpha of the stratum's good documents.
+A measure's cutoffs are tested from the loosest to the strictest, in an order fixed beforehand,
+up to the first that isn't safe: such a sequence needs no correction of its own.  Over strata and
+measures the level ``DELTA`` is divided by the number of sequences (Bonferroni), so with
+probability 1 - DELTA every chosen cutoff of every stratum keeps its promise.
+
+A stratum's share of false rejections, all measures together, is limited to ``ALPHA`` where its
+labels can prove that; with fewer labels to the least share that they could prove, up to
+``MOST`` (a function of the number of labels only, so fixed before any is looked at).  A stratum
+whose labels can't prove even that has the base rules alone.
 
 All work on documents is in SQL functions; the driver sees one histogram of the labelled
 documents (strata x measures x cutoffs).
@@ -30,6 +33,11 @@ SYMBOLS = "#*$%&|<>"
 
 #: Each measure is a share in per mille; a rule rejects what lies above its cutoff.
 MEASURES = ("symbol_share", "upper_share", "mark_share", "dup_line_share", "repeat_share", "long_word_share")
+#: Share of a stratum's good documents that its learned rules may reject together, at best and at
+#: worst (see above), and the chance that this fails anywhere.
+ALPHA = 0.018
+MOST = 0.12
+DELTA = 0.05
 CUTOFFS = (5, 10, 20, 30, 50, 75, 100, 150, 200, 250, 300, 400, 500, 600, 700, 800, 900)
 
 def let(value: Column, use) -> Column:
@@ -108,24 +116,34 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.fsum(math.exp(term(i)) for i in range(k + 1)))
 
 
-def safe_cutoffs(found: dict[str | None, tuple[int, dict[tuple[str, int], int]]], alpha: float, delta: float) -> dict[str | None, dict[str, int]]:
+def measure_alpha(n: int, strata: int) -> float | None:
+    """The share of good documents that one measure's rule may reject, for a stratum of n labels:
+    an equal part of ``ALPHA``, or else the least that no rejection among n would prove (and a
+    hundredth more); None if the measures together would exceed ``MOST``."""
+    level = DELTA / (strata * len(MEASURES))
+    alpha = max(ALPHA / len(MEASURES), 1.01 * (1 - level ** (1 / n))) if n else 1.0
+    return alpha if alpha * len(MEASURES) <= MOST else None
+
+
+def safe_cutoffs(found: dict[str | None, tuple[int, dict[tuple[str, int], int]]]) -> dict[str | None, dict[str, int]]:
     """Per stratum and measure, the strictest safe cutoff.  ``found``: per stratum the number
     of good documents, and how many of them each (measure, cutoff) rejects."""
-    level = delta / max(1, len(found) * len(MEASURES))
+    level = DELTA / max(1, len(found) * len(MEASURES))
     out: dict[str | None, dict[str, int]] = {}
     for stratum, (n, rejected) in found.items():
         out[stratum] = {}
-        for m in MEASURES:
+        alpha = measure_alpha(n, len(found))
+        for m in MEASURES if alpha else ():
             for c in sorted(CUTOFFS, reverse=True):
                 # Were the true share above alpha, so few rejections would be seen with a chance of at most ``level``.
-                if not n or binomial_tail(rejected.get((m, c), 0), n, alpha) > level:
+                if binomial_tail(rejected.get((m, c), 0), n, alpha) > level:
                     break
                 out[stratum][m] = c
     return out
 
 
-def learned_rules(features: DataFrame, labels: DataFrame, alpha: float = 0.003, delta: float = 0.05) -> tuple[dict[str | None, dict[str, int]], dict[str, int]]:
-    """Cutoffs per stratum, and those of all strata together for strata without labels.
+def learned_rules(features: DataFrame, labels: DataFrame) -> dict[str | None, dict[str, int]]:
+    """Cutoffs per stratum, of the strata that have labels.
 
     ``features`` has doc_id, lang, base_failed and the measures; ``labels`` doc_id and
     quality.  A document with several labels is good only if none says otherwise."""
@@ -133,18 +151,15 @@ def learned_rules(features: DataFrame, labels: DataFrame, alpha: float = 0.003,
     held = features.where(~F.col("base_failed")).join(good, "doc_id")
     counts = [F.sum((F.col(m) > c).cast("int")).alias(f"{m}_{c}") for m in MEASURES for c in CUTOFFS]
     rows = held.groupBy("lang").agg(F.count("*").alias("n"), *counts).collect()  # one row a stratum
-    found = {r["lang"]: (r["n"], {(m, c): r[f"{m}_{c}"] or 0 for m in MEASURES for c in CUTOFFS}) for r in rows}
-    both = {None: (sum(n for n, _ in found.values()), {k: sum(x[k] for _, x in found.values()) for m in MEASURES for c in CUTOFFS for k in [(m, c)]})}
-    pooled = safe_cutoffs(both, alpha, delta / 2)[None]
-    return {k: pooled | own for k, own in safe_cutoffs(found, alpha, delta / 2).items()}, pooled
+    return safe_cutoffs({r["lang"]: (r["n"], {(m, c): r[f"{m}_{c}"] or 0 for m in MEASURES for c in CUTOFFS}) for r in rows})
 
 
-def verdict(rules: dict[str | None, dict[str, int]], pooled: dict[str, int]) -> Column:
-    """Whether a measured document stays: false if the base rules or a learned rule reject it."""
-    passes = lambda own: ~_any([F.lit(False), *[F.col(m) > x for m, x in own.items()]])
-    out = passes(pooled)
+def verdict(rules: dict[str | None, dict[str, int]]) -> Column:
+    """Whether a measured document stays: false if the base rules or a rule of its stratum reject it."""
+    out = F.lit(True)
     for stratum, own in rules.items():
-        out = F.when(F.col("lang").eqNullSafe(F.lit(stratum)), passes(own)).otherwise(out)
+        if own:
+            out = F.when(F.col("lang").eqNullSafe(F.lit(stratum)), ~_any([F.col(m) > x for m, x in own.items()])).otherwise(out)
     return ~F.col("base_failed") & out
 
 
@@ -163,11 +178,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Null or empty text: no words, so the base rules reject it.  Null lang: a stratum of its
     own.  Null doc_id: measured like any other, never labelled.  Repeated rows: each has its
-    row.  No labels: the base rules alone.  Other columns: ignored."""
+    row.  Ties: a measure at its cutoff passes.  Very long texts: measured whole, in time n log n.
+    No or few labels: the base rules alone.  Other columns: ignored."""
     docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     features = common.written(spark, measured(docs).drop("text"), "quality-measures")
-    rules, pooled = learned_rules(features, common.read_table(spark, sf_dir, "labels").select("doc_id", "quality"))
-    return features.withColumn("kept", verdict(rules, pooled)).select(*BASE, "kept")
+    rules = learned_rules(features, common.read_table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return features.withColumn("kept", verdict(rules)).select(*BASE, "kept")
 
 
 OP4_SQL = r"""
@@ -200,16 +216,17 @@ with d as (
   select unnest([5, 10, 20, 30, 50, 75, 100, 150, 200, 250, 300, 400, 500, 600, 700, 800, 900]) as c
 ), seen as (
   select stratum, m, c, count(*) as n, sum(case when v > c then 1 else 0 end)::bigint as k from h, cut group by all
+), levels as (
+  select *, 0.05::double / ((select count(distinct stratum) from h) * 6) as level from seen
 ), tested as (
-  select *, 0.025::double / (6 * (select count(distinct stratum) from h)) as level from seen
-  union all select null, m, c, sum(n), sum(k), 0.025::double / 6 from seen group by m, c
+  select *, greatest(0.018::double / 6, 1.01::double * (1 - power(level, 1.0::double / n))) as alpha from levels
 ), tail as (
-  select *, case when k >= n then 1 else (select sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.003::double) + (n - i) * ln(1 - 0.003::double))) from (select unnest(range(0, k::bigint + 1)) as i)) end as p from tested
+  select *, case when 6 * alpha > 0.12::double or k >= n then 1 else (select sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(alpha) + (n - i) * ln(1 - alpha))) from (select unnest(range(0, k::bigint + 1)) as i)) end as p from tested
 ), chosen as (
   select stratum, m, min(case when c > worst then c end) as c from (select *, coalesce(max(case when p > level then c end) over (partition by stratum, m), -1) as worst from tail) group by 1, 2
 ), judged as (
-  select v.rid, bool_or(coalesce(v.v > coalesce(o.c, a.c), false)) as rejected
-  from v left join chosen o on o.stratum = coalesce(v.lang, chr(0)) and o.m = v.m left join chosen a on a.stratum is null and a.m = v.m group by 1
+  select v.rid, bool_or(coalesce(v.v > o.c, false)) as rejected
+  from v left join chosen o on o.stratum = coalesce(v.lang, chr(0)) and o.m = v.m group by 1
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not rejected as kept from b join judged on b.rid = judged.rid
 """
@@ -221,5 +238,5 @@ def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFr
     Rows are measured once and written with their measures, from which the rules are learned
     and which they then filter: writing costs far less than measuring, and rows need no key."""
     rows = common.written(spark, measured(common.boxed(docs, "doc_id", "text", "lang")), "quality-measured")
-    rules, pooled = learned_rules(rows.select("doc_id", "lang", "base_failed", *MEASURES), labels)
-    return common.unboxed(rows.where(verdict(rules, pooled)), docs.columns, "doc_id", "text", "lang")
+    rules = learned_rules(rows.select("doc_id", "lang", "base_failed", *MEASURES), labels)
+    return common.unboxed(rows.where(verdict(rules)), docs.columns, "doc_id", "text", "lang")
