@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -37,52 +37,59 @@ def components(spark: SparkSession, links: DataFrame, a: str = "a", b: str = "b"
         seen = state
 
 
-def bucket_links(spark: SparkSession, banded: DataFrame, links: DataFrame, sure: Callable[[DataFrame, DataFrame], DataFrame], alike: float, direct: int | None = None, finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Roots (node, root) of the groups that ``links`` and all pairs of a bucket (key, h, n)
-    connect that ``sure`` confirms (given pairs (a, b) and the links so far).
+def bucket_links(
+    spark: SparkSession, banded: DataFrame, links: DataFrame | None, sure: Callable[[DataFrame], DataFrame],
+    fits: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], direct: int = 0, finish: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """Links (a, b) that connect what ``links`` and all pairs of a bucket (key, h, ...) connect
+    that ``fits`` (given both sides' columns) and ``sure`` (given pairs (a, b)) confirm.
 
-    No pair of a bucket is left out but those that are linked already and those whose
-    numbers of shingles n rule out ``alike``.  A round pairs representatives of each bucket
-    with all of its members and takes them out of it; members stay, linked or not, as others
-    may be like them only.  Buckets of one group are done.  Representatives are 1, 4, 16, ...
-    of a bucket, those with most links first: so the text that many differing copies were
-    made from comes second at the latest.  Once the pairs left are at most ``direct`` (a
-    number in proportion to the rows), one round takes all of them.  With ``finish``, buckets
-    left after the first round are given to it, with their groups g, for the links of all their pairs."""
-    links = common.written(spark, links, "near-links")
-    direct = max(1 << 20, banded.count()) if direct is None else direct
-    size = F.sum(F.col("m").cast("double") * (F.col("m") - 1) / 2)
-    fits = lambda x, y: F.least(x, y) >= F.greatest(x, y) * alike - 1e-9
-    side = lambda df, x: df.select("key", *[F.col(c).alias(f"{c}{x}") for c in df.columns if c != "key"])
-    if finish is None and (banded.groupBy("key").agg(F.count("*").alias("m")).agg(size).first()[0] or 0) <= direct:
-        pairs = side(banded, "x").join(side(banded, "y"), "key").where((F.col("hx") < F.col("hy")) & fits("nx", "ny")).select(F.col("hx").alias("a"), F.col("hy").alias("b"))
-        return components(spark, links.unionByName(sure(common.written(spark, pairs.distinct(), "near-pairs"), links)))
+    No pair of a bucket is left out but those that are linked already and those that don't
+    fit.  A round pairs representatives of each bucket with all of its members and takes them
+    out of it; members stay, linked or not, as others may be like them only.  Buckets of one
+    group are done.  Representatives are 1, 4, 16, ... of a bucket, those with most links
+    first: so the text that many differing copies were made from comes second at the latest.
+    After two rounds, pairs that are at most ``direct`` (a number in proportion to the
+    rows) are all taken at once; with ``finish``, buckets left after the first are given to it, with
+    their groups g and sizes m, for the links of all their pairs."""
+    columns = [c for c in banded.columns if c != "key"]
+    side = lambda df, x: df.select("key", *[F.col(c).alias(f"{c}_{x}") for c in [*columns, "g"]])
     reps = 1
     while True:
-        roots = components(spark, links)
-        banded = banded.select("key", "h", "n").join(roots.withColumnRenamed("node", "h"), "h", "left").select("key", "h", "n", F.coalesce("root", "h").alias("g"))
-        banded = common.written(spark, banded, "near-buckets")
+        if links is None:
+            banded = banded.withColumn("g", F.col("h"))
+        else:
+            links = common.written(spark, links.distinct(), "bucket-links")
+            roots = components(spark, links)
+            banded = banded.select("key", *columns).join(roots.withColumnRenamed("node", "h"), "h", "left").select("key", *columns, F.coalesce("root", "h").alias("g"))
+            banded = common.written(spark, banded, "buckets")
         mixed = banded.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("m")).where("lo < hi")
-        mixed = common.written(spark, mixed.select("key", "m"), "near-mixed")
-        left = mixed.agg(size).first()[0]
+        mixed = common.written(spark, mixed.select("key", "m"), "buckets-mixed")
+        left = mixed.agg(F.sum(F.col("m").cast("double") * (F.col("m") - 1) / 2)).first()[0]
         if not left:
-            return roots
-        banded = common.written(spark, banded.join(mixed, "key", "left_semi"), "near-buckets")
+            return spark.createDataFrame([], "a long, b long") if links is None else links
+        banded = common.written(spark, banded.join(mixed, "key", "left_semi"), "buckets")
         if finish is not None and reps > 1:
-            return components(spark, links.unionByName(finish(banded.join(mixed, "key"))))
+            return links.unionByName(finish(banded.join(mixed, "key")))
+        every = reps > 4 and left <= direct
         chosen = banded
-        if left > direct or finish is not None:
-            ends = links.select(F.col("a").alias("h")).union(links.select("b")).groupBy("h").agg(F.count("*").alias("own"))
-            rank = F.struct(F.coalesce("own", F.lit(0)), F.bitwise_not("h"))
-            chosen = banded.join(ends, "h", "left").groupBy("key", F.pmod(F.xxhash64("h"), F.lit(reps)).alias("salt")).agg(F.max_by(F.struct("h", "g", "n"), rank).alias("one"))
-            chosen = common.written(spark, chosen.select("key", "one.*"), "near-chosen")
-        could = (F.col("gx") != F.col("gy")) & fits("nx", "ny")
-        if chosen is banded:
-            could = could & (F.col("hx") < F.col("hy"))
-        pairs = side(chosen, "x").join(side(banded, "y"), "key").where(could).select(F.least("hx", "hy").alias("a"), F.greatest("hx", "hy").alias("b")).distinct()
-        found = sure(common.written(spark, pairs, "near-pairs"), links)
-        links = common.written(spark, links.unionByName(found).distinct(), "near-links")
-        if chosen is banded:
-            return components(spark, links)
-        banded = banded.join(chosen, ["key", "h"], "left_anti") if finish is None else banded
+        if not every:
+            rank = F.bitwise_not("h")
+            some = banded
+            if links is not None:
+                ends = links.select(F.col("a").alias("h")).union(links.select("b")).groupBy("h").agg(F.count("*").alias("own"))
+                some, rank = banded.join(ends, "h", "left"), F.struct(F.coalesce("own", F.lit(0)), rank)
+            one = F.max_by(F.struct(*columns, "g"), rank).alias("one")
+            chosen = some.groupBy("key", F.pmod(F.xxhash64("h"), F.lit(reps)).alias("salt")).agg(one)
+            chosen = common.written(spark, chosen.select("key", "one.*"), "buckets-chosen")
+        could = (F.col("g_x") != F.col("g_y")) & fits(lambda c: F.col(f"{c}_x"), lambda c: F.col(f"{c}_y"))
+        if every:
+            could = could & (F.col("h_x") < F.col("h_y"))
+        pairs = side(chosen, "x").join(side(banded, "y"), "key").where(could).select(F.least("h_x", "h_y").alias("a"), F.greatest("h_x", "h_y").alias("b")).distinct()
+        found = sure(common.written(spark, pairs, "bucket-pairs"))
+        links = found if links is None else links.unionByName(found)
+        if every:
+            return links
+        if finish is None:
+            banded = banded.join(chosen, ["key", "h"], "left_anti")
         reps *= 4

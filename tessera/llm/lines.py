@@ -8,8 +8,8 @@ a candidate pair counts if the edit similarity of the normalised lines, in words
 (so few bits apart, nearly all words are equal, and typos have made other words of the rest).  Of each connected group of lines the first place (by doc_id, then line) stays, the
 others leave their texts.
 
-All pairs of different normal forms within reach are verified: those of one fingerprint by
-rounds of representatives (``bucket_links``), those of two fingerprints outright.
+All pairs of different normal forms within reach are settled: first each key's members with
+one of them, then, where members are still in different groups, all that are (``bucket_links``).
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -103,16 +103,6 @@ def block_keys(fp: Column, rows: int, reach: int = REACH, crowd: int = CROWD) ->
     return F.array(*keys)
 
 
-def near_prints(prints: DataFrame, rows: int, reach: int = REACH) -> DataFrame:
-    """Pairs (fa, fb) of fingerprints 1 to ``reach`` bits apart, of rows (fp, lo, hi); lo and hi
-    are the least and greatest number of words, which an edit similarity bounds."""
-    keyed = prints.select("fp", "lo", "hi", F.explode(block_keys(F.col("fp"), rows, reach)).alias("key"))
-    left = keyed.hint("merge").select("key", F.col("fp").alias("fa"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
-    right = keyed.select("key", F.col("fp").alias("fb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
-    close = (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= reach) & (F.col("fa") < F.col("fb"))
-    return left.join(right, (left["key"] == right["key"]) & close).select("fa", "fb").distinct()
-
-
 def symbols(words: Column) -> Column:
     """Each word as one character beyond the first 65,536, by a hash of it, so that an edit
     distance of such strings is one in words: too small by about a millionth of the words that
@@ -140,28 +130,22 @@ def line_groups(spark: SparkSession, docs: DataFrame, least: int = 1) -> tuple[D
     # Lines of one normal form: a star around that of the smallest hash.
     forms = common.written(spark, prints.groupBy("form").agg(F.min("k").alias("k"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.count("*").alias("own")), "line-forms")
     same = prints.join(forms.where("own > 1").select("form", F.col("k").alias("a")), "form").where("k != a").select("a", F.col("k").alias("b"))
-    nodes = common.written(spark, forms.groupBy("fp").agg(F.min("k").alias("k"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("own")), "line-nodes")
-    near = common.written(spark, near_prints(nodes, nodes.count()), "line-near")
-    name = lambda fp, k: forms.select(F.col("fp").alias(fp), F.col("k").alias(k))
-    across = near.join(name("fa", "a"), "fa").join(name("fb", "b"), "fb").select("a", "b")
-    across = common.written(spark, across, "line-across")
-    crowded = forms.join(nodes.where("own > 1").select("fp"), "fp", "left_semi").select(F.col("fp").alias("key"), F.col("k").alias("h"), "n")
-    crowded = common.written(spark, crowded, "line-crowded")
-    # Normal forms of the lines asked for, and of no others.
-    asked = across.select(F.col("a").alias("k")).union(across.select("b")).union(crowded.select("h")).distinct()
-    asked = common.written(spark, asked, "line-asked")
-    texts = rows.select("k", "line").join(common.small_side(asked), "k", "left_semi").dropDuplicates(["k"])
-    texts = common.written(spark, texts.select("k", symbols(words_of(F.col("line"))).alias("marks")), "line-texts")
-
-    def sure(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    n = forms.count()
+    keyed = forms.select(F.col("k").alias("h"), "fp", F.explode(block_keys(F.col("fp"), n)).alias("key"))
+    shared = keyed.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1").select("key", "h", "fp")
+    shared = common.written(spark, shared, "line-shared")
+
+    def sure(pairs: DataFrame) -> DataFrame:
+        """The pairs that are alike; the words of their lines, and of no others, are read."""
+        asked = common.written(spark, pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct(), "line-asked")
+        texts = rows.select("k", "line").join(common.small_side(asked), "k", "left_semi").dropDuplicates(["k"])
+        texts = common.written(spark, texts.select("k", symbols(words_of(F.col("line"))).alias("marks")), "line-texts")
         both = pairs.join(texts.select(F.col("k").alias("a"), F.col("marks").alias("x")), "a").join(texts.select(F.col("k").alias("b"), F.col("marks").alias("y")), "b")
         return both.where(similar(F.col("x"), F.col("y"))).select("a", "b")
 
-    links = same.unionByName(sure(across, same))
-    if crowded.isEmpty():
-        roots = components(spark, links)
-    else:
-        roots = bucket_links(spark, crowded, links, sure, 0.0)
+    close = lambda x, y: F.bit_count(x("fp").bitwiseXOR(y("fp"))) <= REACH
+    links = bucket_links(spark, shared, None, sure, close, direct=100 * n)
+    roots = components(spark, same.unionByName(links))
     roots = roots.union(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "k")
     if least > 1:
         rows = rows.join(prints.select("k"), "k", "left_semi")

@@ -390,7 +390,7 @@ def similar_nodes(spark: SparkSession, rows: DataFrame, words: int = 5, reach: i
     sets = rows.select("uid", "text").join(common.small_side(asked), "uid").select("h", "text").mapInArrow(shingled, "h long, s binary")
     sets = common.written(spark, sets, "near-sets")
 
-    def sure(pairs: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    def sure(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("h").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("h").alias("b"), F.col("s").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(count, "a long, b long")
 
@@ -402,7 +402,8 @@ def similar_nodes(spark: SparkSession, rows: DataFrame, words: int = 5, reach: i
         left = left.repartition(common.tasks(spark), *at).sortWithinPartitions(*at)
         return left.select(*at, "h", "g", "b", "s").mapInArrow(blocks, "a long, b long")
 
-    roots = bucket_links(spark, banded, sure(prints), sure, alike, finish=finish)
+    fits = lambda x, y: F.least(x("n"), y("n")) >= F.greatest(x("n"), y("n")) * alike - 1e-9
+    roots = components(spark, bucket_links(spark, banded, sure(prints), sure, fits, finish=finish))
     return marks.select("uid", "doc_id", "h"), nodes.select("h", "own", "first"), roots.withColumnRenamed("node", "h")
 
 
