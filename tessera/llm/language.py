@@ -12,12 +12,12 @@ share of correctly labelled training rows reach.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,13 +33,16 @@ SURE_CHARS = 400
 #: Distinct 4-grams that a task gathers before it passes its counts on.
 HELD = 1 << 20
 
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Anything but letters and the marks that stand on them, by Unicode category.
+NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
+LETTER = regex.compile(r"\p{L}")
 
 
 def letters(text: str | None) -> str:
-    """Lower-cased letters, all else a single space; one space before and after."""
+    """Lower-cased letters with their marks, all else a single space; one space before and
+    after.  Nothing if there is no letter."""
     bare = NOT_LETTERS.sub(" ", (text or "").lower()).strip()
-    return f" {bare} " if bare else ""
+    return f" {bare} " if LETTER.search(bare) else ""
 
 
 def grams(text: str) -> np.ndarray:
@@ -337,7 +340,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Null text or no letter: ``und``, score 0.  Null lang: predicted, not learned from.  Null
     doc_id: predicted, neither held out nor learned from.  Repeated rows: each has its row.
-    No labelled row: all are ``und``."""
+    Ties: of languages of equal cross-entropy the first by name.  Very long texts: whole, by
+    their distinct 4-grams.  No labelled row: all are ``und``."""
     docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     model = train(spark, docs.where((fold != 0) & F.col("lang").isNotNull()))

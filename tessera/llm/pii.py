@@ -5,7 +5,9 @@ keys, secrets, titled names) are found by one pattern.  Each gets a replacement
 keyed hash of its type and normal form, so the same entity has the same replacement in every
 text and however it is written.  Replacements keep type and format: digits stay digits (in
 their punctuation), letters keep case and script, card numbers keep a valid check digit, IP
-addresses stay addresses, names keep title and gender.  A check over all distinct entities
+addresses stay addresses, account numbers keep valid check digits, names keep title, gender
+and script.  Given names and surnames are entities of their own, so "Mr. John Smith" and
+"Mr. Smith" share a surname afterwards, too.  A check over all distinct entities
 draws again wherever two would share a replacement, or one would be some other entity's value.
 """
 
@@ -32,11 +34,23 @@ ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these holds no entity; most texts stop here.
 HINT = r"[0-9@]|(?i:password|passwd|secret|token|api_key)|(?:Mr|Ms|Miss|Dr|Herr|Frau|Monsieur|Madame|Señor)"
 #: Front parts of entities that stay as they are.
-LEAD = {"key": r"^(AKIA|ASIA|gh._|sk-)", "secret": r"^([^=:]*[=:]\s*[\"']?)", "name": r"^((?:Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? )", "iban": r"^([A-Z]{2})", "phone": r"^(\+\d{1,3}[ .-])"}
-
-FEMALE = ["Ada", "Clara", "Edith", "Flora", "Greta", "Helena", "Irene", "Julia", "Laura", "Maria", "Nora", "Olga", "Paula", "Rosa", "Selma", "Vera"]
-MALE = ["Anton", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leo", "Martin", "Oscar", "Paul", "Viktor"]
-SYLLABLES = ["al", "ber", "cor", "dan", "el", "fen", "gor", "hal", "in", "kel", "lor", "mar", "nes", "or", "ren", "sol"]
+LEAD = {"key": r"^(AKIA|ASIA|gh._|sk-)", "secret": r"^([^=:]*[=:]\s*[\"']?)", "name": r"^((?:Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? )", "phone": r"^(\+\d{1,3}[ .-])"}
+
+#: Given names by script and gender (n: the title doesn't tell), and syllables of surnames.
+NAMES = {
+    "latin": {
+        "f": ["Ada", "Clara", "Edith", "Flora", "Greta", "Helena", "Irene", "Julia", "Laura", "Maria", "Nora", "Olga", "Paula", "Rosa", "Selma", "Vera"],
+        "m": ["Anton", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leo", "Martin", "Oscar", "Paul", "Viktor"],
+        "n": ["Alex", "Andrea", "Chris", "Dominique", "Jo", "Kim", "Mika", "Robin", "Sam", "Sascha", "Toni", "Yuki"],
+    },
+    "cyrillic": {"f": ["Вера", "Нина", "Ольга", "Раиса", "Тамара", "Юлия"], "m": ["Антон", "Борис", "Глеб", "Игорь", "Олег", "Павел"], "n": ["Женя", "Саша", "Валя", "Слава"]},
+    "greek": {"f": ["Άννα", "Ελένη", "Μαρία", "Σοφία"], "m": ["Νίκος", "Πέτρος", "Στέφανος", "Χρήστος"], "n": ["Άρης", "Φώτης", "Χρύσα", "Ήρα"]},
+}
+SYLLABLES = {
+    "latin": ["al", "ber", "cor", "dan", "el", "fen", "gor", "hal", "in", "kel", "lor", "mar", "nes", "or", "ren", "sol"],
+    "cyrillic": ["бел", "вор", "гор", "дан", "зим", "кол", "лес", "мар", "нов", "орл", "пет", "рен", "сол", "тар", "фед", "яр"],
+    "greek": ["αλ", "βασ", "γιο", "δημ", "ελ", "καλ", "λαμ", "μαρ", "νικ", "παπ", "ραλ", "σαμ", "τσα", "φιλ", "χατ", "ωρ"],
+}
 ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäçèéêëíîïñòóôõöùúûü", "ÀÁÂÃÄÇÈÉÊËÍÎÏÑÒÓÔÕÖÙÚÛÜ", "абвгдежзийклмнопрстуфхцчшщыэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЫЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"]
 
 #: Draws after which a replacement is lengthened, should its format have too few values.
@@ -85,6 +99,17 @@ def _like(text: Column, stream: Column, hexadecimal: Column) -> Column:
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
+def _mod97(text: Column) -> Column:
+    """An account number's digits (letters: 10 to 35) modulo 97."""
+    value = lambda c: F.instr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), c) - 1
+    step = lambda a, c: ((a * F.when(value(c) > 9, 100).otherwise(10) + value(c)) % 97).cast("long")
+    return F.aggregate(F.split(text, ""), F.lit(0).cast("long"), step)
+
+
+def _script(text: Column) -> Column:
+    return F.when(F.rlike(text, F.lit(r"\p{IsCyrillic}")), "cyrillic").when(F.rlike(text, F.lit(r"\p{IsGreek}")), "greek").otherwise("latin")
+
+
 def _luhn(digits: Column) -> Column:
     """The check digit that a number's other digits ask for."""
     places = F.reverse(F.split(digits, ""))
@@ -107,12 +132,18 @@ def surrogate(kind: Column, norm: Column, attempt: Column, gender: Column, key:
     ends = F.regexp_extract(norm, r"(\.[^.@]+)$", 1)
     mail = F.concat(_like(F.substring(norm, F.lit(1), F.length(norm) - F.length(ends)), stream, F.lit(False)), ends)
     pick = lambda names, at: F.element_at(F.array(*[F.lit(x) for x in names]), _byte(stream, F.lit(at)) % len(names) + 1)
-    given = F.when(gender == "f", pick(FEMALE, 0)).otherwise(pick(MALE, 0))
-    surname = F.initcap(F.concat(*[pick(SYLLABLES, k) for k in range(1, 5)]))
-    name = F.when(F.instr(norm, " ") > 0, F.concat_ws(" ", given, surname)).otherwise(surname)
-    out = F.when(kind == "card", card).when(kind == "ip", octets).when(kind == "email", mail).when(kind == "name", name).otherwise(plain)
+    script = _script(norm)
+    by_script = lambda make: F.when(script == "cyrillic", make("cyrillic")).when(script == "greek", make("greek")).otherwise(make("latin"))
+    # Drawn again: another name with a syllable more, then two, and so on.
+    more_of = lambda x: F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(attempt, F.lit(1))), lambda k: F.when(attempt > 0, F.element_at(F.array(*[F.lit(y) for y in SYLLABLES[x]]), _byte(stream, k + 7) % len(SYLLABLES[x]) + 1)).otherwise("")), "")
+    given = by_script(lambda x: F.concat(F.when(gender == "f", pick(NAMES[x]["f"], 0)).when(gender == "m", pick(NAMES[x]["m"], 0)).otherwise(pick(NAMES[x]["n"], 0)), more_of(x)))
+    surname = by_script(lambda x: F.initcap(F.concat(*[pick(SYLLABLES[x], k) for k in range(1, 5)], more_of(x))))
+    bban = _like(F.substring(norm, F.lit(5), F.length(norm)), stream, F.lit(False))
+    country = F.substring(norm, F.lit(1), F.lit(2))
+    iban = F.concat(country, F.lpad((98 - _mod97(F.concat(bban, country, F.lit("00")))).cast("string"), 2, "0"), bban)
+    out = F.when(kind == "card", card).when(kind == "ip", octets).when(kind == "email", mail).when(kind == "name", surname).when(kind == "given", given).when(kind == "iban", iban).otherwise(plain)
     more = F.substring(stream, F.lit(97), 4 + attempt)
-    return F.when(attempt < LENGTHEN, out).when(kind == "email", F.concat(more, out)).otherwise(F.concat(out, F.when(kind.isin("ssn", "card", "phone"), F.translate(more, "abcdef", "012345")).otherwise(more)))
+    return F.when((attempt < LENGTHEN) | kind.isin("ip", "iban", "name", "given"), out).when(kind == "email", F.concat(more, out)).otherwise(F.concat(out, F.when(kind.isin("ssn", "card", "phone"), F.translate(more, "abcdef", "012345")).otherwise(more)))
 
 
 def written_as(kind: Column, entity: Column, value: Column) -> Column:
@@ -130,32 +161,37 @@ def written_as(kind: Column, entity: Column, value: Column) -> Column:
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, place, entity, kind, norm, gender) of every entity; h is the text's hash."""
+    """(doc_id, h, place, entity, kind, norm, gender, given) of every entity; h is the text's
+    hash.  A name's normal form is its surname (its last word); ``given`` is the name before it."""
     found = F.when(F.rlike(F.col("text"), F.lit(HINT)), F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(found).alias("place", "entity"))
     rows = rows.withColumn("kind", type_of(F.col("entity")))
     # Between "12" and "3" in other text an entity may fit no type alone (its surroundings did): then by its looks.
     rows = rows.withColumn("kind", F.coalesce("kind", F.when(F.instr("entity", "@") > 0, "email").otherwise("phone")))
-    gender = F.when((F.col("kind") == "name") & F.rlike(F.col("entity"), F.lit("^(?:Mrs|Ms|Miss|Frau|Madame|Señora)")), "f").otherwise("m")
-    return rows.withColumn("norm", normal(F.col("kind"), F.col("entity"))).withColumn("gender", gender)
+    of = lambda titles: F.rlike(F.col("entity"), F.lit(f"^(?:{titles})\\.? "))
+    gender = F.when(of("Mrs|Ms|Miss|Frau|Madame|Señora"), "f").when(of("Mr|Herr|Monsieur|Señor"), "m").otherwise("n")
+    rows = rows.withColumn("norm", normal(F.col("kind"), F.col("entity"))).withColumn("gender", F.when(F.col("kind") == "name", gender).otherwise("n"))
+    both = (F.col("kind") == "name") & (F.instr("norm", " ") > 0)
+    rows = rows.withColumn("given", F.when(both, F.substring_index("norm", " ", 1)))
+    return rows.withColumn("norm", F.when(both, F.substring_index("norm", " ", -1)).otherwise(F.col("norm")))
 
 
 def surrogates(spark: SparkSession, found: DataFrame, key: str) -> DataFrame:
-    """(kind, norm, value): one replacement for each distinct entity; none shared, and none
+    """(kind, norm, value, own): one replacement for each distinct entity; none shared, and none
     that is another entity's own value.  Later ones (by normal form) draw again."""
-    now = found.groupBy("kind", "norm").agg(F.min("gender").alias("gender"))
+    now = found.groupBy("kind", "norm").agg(F.min("gender").alias("gender"), F.count("*").alias("own"))
     now = common.written(spark, now.withColumn("attempt", F.lit(0)).withColumn("value", surrogate(F.col("kind"), F.col("norm"), F.lit(0), F.col("gender"), key)), "pii-values")
     while True:
-        shared = now.groupBy("kind", "value").agg(F.count("*").alias("own"), F.min("norm").alias("first")).where("own > 1")
+        shared = now.groupBy("kind", "value").agg(F.count("*").alias("times"), F.min("norm").alias("first")).where("times > 1")
         real = now.select("kind", F.col("norm").alias("value"), F.lit(True).alias("real"))
         judged = now.join(shared, ["kind", "value"], "left").join(real, ["kind", "value"], "left")
         again = F.coalesce(F.col("first") != F.col("norm"), F.lit(False)) | F.coalesce("real", F.lit(False))
-        judged = common.written(spark, judged.select("kind", "norm", "gender", "attempt", "value", again.alias("again")), "pii-judged")
+        judged = common.written(spark, judged.select("kind", "norm", "gender", "own", "attempt", "value", again.alias("again")), "pii-judged")
         if judged.where("again").isEmpty():
-            return judged.select("kind", "norm", "value")
+            return judged.select("kind", "norm", "value", "own")
         attempt = F.col("attempt") + F.col("again").cast("int")
         value = F.when(F.col("again"), surrogate(F.col("kind"), F.col("norm"), attempt, F.col("gender"), key)).otherwise(F.col("value"))
-        now = common.written(spark, judged.select("kind", "norm", "gender", attempt.alias("attempt"), value.alias("value")), "pii-values")
+        now = common.written(spark, judged.select("kind", "norm", "gender", "own", attempt.alias("attempt"), value.alias("value")), "pii-values")
 
 
 def pseudonymised(spark: SparkSession, docs: DataFrame, key: str) -> DataFrame:
@@ -164,8 +200,14 @@ def pseudonymised(spark: SparkSession, docs: DataFrame, key: str) -> DataFrame:
     Null text: stays null, no entities.  Rows of equal doc_id and text (and null ids) are
     treated alike.  Columns are those of ``docs`` and n_entities (which replaces one of that name)."""
     found = common.written(spark, entities(docs.select("doc_id", "text")).distinct(), "pii-entities")
-    values = surrogates(spark, found, key)
-    each = found.join(values, ["kind", "norm"]).select("doc_id", "h", "place", written_as(F.col("kind"), F.col("entity"), F.col("value")).alias("new"))
+    # A given name counts with its gender: Dr. Kim and Mr. Kim may be two persons.
+    names = found.where("given is not null").select(F.lit("given").alias("kind"), F.concat_ws(" ", "given", "gender").alias("norm"), "gender")
+    values = surrogates(spark, found.select("kind", "norm", "gender").unionByName(names), key)
+    each = common.spread_join(found.withColumn("id", F.struct("kind", "norm")), values.select(F.struct("kind", "norm").alias("id"), "value", "own"), "id", "own")
+    first = values.where("kind = 'given'").select(F.col("norm").alias("_given"), F.col("value").alias("_first"))
+    each = each.join(common.small_side(first), F.concat_ws(" ", "given", "gender") == F.col("_given"), "left") if not first.isEmpty() else each.withColumn("_first", F.lit(None).cast("string"))
+    value = F.when(F.col("given").isNotNull(), F.concat_ws(" ", "_first", "value")).otherwise(F.col("value"))
+    each = each.select("doc_id", "h", "place", written_as(F.col("kind"), F.col("entity"), value).alias("new"))
     own = each.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.array_sort(F.collect_list(F.struct("place", "new"))).alias("_new"))  # one text's entities
     own = common.written(spark, own.select("_id", "_h", F.transform("_new", lambda x: x["new"]).alias("_new")), "pii-new")
     out = common.boxed(docs, "doc_id", "text").join(own.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left")

@@ -507,6 +507,50 @@ def test_kneser_ney_sums_to_one():
         assert np.exp(m.log_probs(asked)).sum(axis=0) == pytest.approx([1, 1], abs=1e-6)
 
 
+def test_letters_are_letters():
+    assert language.letters("\u00b2 \u00bd \u2460 12 _ \u0301") == "" and language.letters("A\u0301b1c") == " a\u0301b c "
+    assert language.letters("\u0928\u092e\u0938\u094d\u0924\u0947") == " \u0928\u092e\u0938\u094d\u0924\u0947 "
+
+
+def test_kneser_ney_like_plain_python(spark):
+    """Dictionaries and loops only, from the formulas: predictions and cross-entropies agree."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) < 3000 and lang is not null").select("doc_id", "text", "lang").limit(60)
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+    count = collections.defaultdict(collections.Counter)
+    pieces = lambda x: [("  " + language.letters(x))[i : i + 4] for i in range(len(language.letters(x)) - 1)]
+    for _, x, lang in rows:
+        count[lang].update(pieces(x))
+    chars = {g[-1] for c in count.values() for g in c}
+    models = {}
+    for lang, c in count.items():
+        own = {4: dict(c)}
+        for k in (3, 2, 1):
+            own[k] = dict(collections.Counter(g[1:] for g in own[k + 1]))
+        cut, total, kinds = {}, collections.Counter(), collections.Counter()
+        for k in own:
+            ones, twos = (sum(n == x for n in own[k].values()) for x in (1, 2))
+            cut[k] = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+            for g, n in own[k].items():
+                total[k, g[:-1]] += n
+                kinds[k, g[:-1]] += 1
+        models[lang] = own, cut, total, kinds
+
+    def prob(m, g):
+        own, cut, total, kinds = m
+        k = len(g)
+        lower = prob(m, g[1:]) if k > 1 else 1 / (len(chars) + 1)
+        t = total[k, g[:-1]]
+        return lower if not t else max(own[k].get(g, 0) - cut[k], 0) / t + cut[k] * kinds[k, g[:-1]] / t * lower
+
+    model = language.train(spark, docs)
+    for _, x, _ in [*rows[:25], (0, "zq\u00df \u4e2d unseen", None)]:
+        own = pieces(x)
+        want = {lang: -sum(math.log(prob(m, g)) for g in own) / len(own) for lang, m in models.items()}
+        h, n = model.entropies(language.letters(x))
+        assert n == len(own) and list(h) == pytest.approx([want[k] for k in model.langs], rel=1e-9)
+        assert model.score(x)[0] == min(sorted(want), key=want.get)
+
+
 def test_op10(spark, folder):
     import regex
 
@@ -541,11 +585,28 @@ def test_surrogates_keep_format(spark):
     assert a == b != "(555) 555-0142" and "+1 (" in got[1]
     card = re.search(r"card ((?:\d{4} ){3}\d{4})", got[1])[1].replace(" ", "")
     assert card in got[2] and sum(sum(divmod(int(c) * (2 if k % 2 else 1), 10)) for k, c in enumerate(card[::-1])) % 10 == 0
-    assert re.search(r"Mrs\. (\w+) ", got[1])[1] in pii.FEMALE and re.search(r"IBAN DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d", got[2])
+    assert re.search(r"Mrs\. (\w+) ", got[1])[1] in pii.NAMES["latin"]["f"] and re.search(r"IBAN DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d", got[2])
     other = {r["doc_id"]: r["text"] for r in pii.pseudonymised(spark, docs, "other").collect()}
     assert other[2] != got[2]
 
 
+def test_names_keep_coreference_gender_and_script(spark):
+    texts = ["Mr. John Smith met Mrs. Mary Jones. Mr. Smith left.", "Frau Анна Иванова und Herr Иванова, dann Dr. Mary Jones", "IBAN DE89 3704 0044 0532 0130 00, DE89370400440532013000, Mr. Jack Smith"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymised(spark, docs, "k").collect()}
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) met Mrs\. (\w+) (\w+)\. Mr\. (\w+) left\.", got[0])
+    assert m and m[2] == m[5] and m[2] != m[4] and "Smith" not in m[0] and "Jones" not in m[0]
+    assert m[1].startswith(tuple(pii.NAMES["latin"]["m"])) and m[3].startswith(tuple(pii.NAMES["latin"]["f"]))
+    n = re.fullmatch(r"Frau ([а-яё]+) ([а-яё]+) und Herr ([а-яё]+), dann Dr\. (\w+) (\w+)", got[1], re.I)
+    assert n and n[2] == n[3] != "Иванова" and n[1].startswith(tuple(pii.NAMES["cyrillic"]["f"]))
+    assert n[4].startswith(tuple(pii.NAMES["latin"]["n"])) and n[5] == m[4]
+    spaced, plain = re.search(r"IBAN ((?:\w{4} ){5}\w\w), (\w{22}),", got[2]).groups()
+    digits = "".join(str(int(c, 36)) for c in plain[4:] + plain[:4])
+    assert spaced.replace(" ", "") == plain and plain.startswith("DE") and int(digits) % 97 == 1 and "3704" not in plain
+    jack = re.search(r"Mr\. (\w+) (\w+)$", got[2])
+    assert jack[2] == m[2] and jack[1] != m[1]
+
+
 def test_shared_surrogates_are_drawn_again(spark):
     found = spark.createDataFrame([("secret", f"{i}", "m") for i in range(10)], "kind string, norm string, gender string")
     got = pii.surrogates(spark, found, "k").collect()
