@@ -68,6 +68,16 @@ def bce(y: Column, p: Column, weight: float = 1.0) -> Column:
     return -(weight * y * F.ln(safe) + (1 - y) * F.ln(1 - safe))
 
 
+def finite(x: Column) -> Column:
+    """Zero in place of NaN and infinities."""
+    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(x)
+
+
+def squared_error(y: Column, p: Column) -> Column:
+    """Null (so no part of a mean) where either is NaN."""
+    return F.when(~F.isnan(y) & ~F.isnan(p), F.pow(y - p, F.lit(2.0)))
+
+
 def lgamma(x: Column) -> Column:
     """log Gamma for positive x: Stirling's series at x + 8, taken back by the product."""
     z = x + 8

@@ -17,6 +17,11 @@ SCORE_BUCKETS = 4096
 METRICS = ["AUROC", "accuracy", "error_rate", "F1", "precision", "recall", "FPR", "FNR", "RMSE", "positives_rate", "n"]
 
 
+def valid(rows: DataFrame, score: str = "p") -> DataFrame:
+    """Rows with a finite score; a null, NaN or infinite one can't be ranked."""
+    return rows.where(F.col(score).isNotNull() & ~F.isnan(score) & (F.abs(score) != float("inf")))
+
+
 def score_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, p, y, w): rows of each distinct score and label.  Everything below works on this
     table, so one aggregation of the rows (whose exchange Spark reuses) serves all metrics."""

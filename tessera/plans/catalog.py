@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import numeric as N
@@ -384,7 +384,7 @@ def metrics_grouping_sets(spark, d):
 
 @query(sql(f"select a.stratum, {R('auroc')} as \"AUROC\" from auc a join conf c on a.stratum = c.stratum where c.positives > 0 and c.positives < c.n", "scored", named=NAMED, **BY))
 def auroc_per_strata(spark, d):
-    return rounded(E.by_stratum(D.scored(spark, d)).where((F.col("positives_rate") > 0) & (F.col("positives_rate") < 1)).select("stratum", "AUROC"))
+    return rounded(E.by_stratum(E.valid(D.scored(spark, d))).where((F.col("positives_rate") > 0) & (F.col("positives_rate") < 1)).select("stratum", "AUROC"))
 
 
 def strata_tall(spark, d) -> DataFrame:
@@ -563,9 +563,9 @@ def nb_activations(spark, d):
     return rows.select("cell_id", F.col("gene_idx").cast("long").alias("gene_idx"), r6(N.theta_activation(F.col("x"))).alias("theta"), r6(N.sigmoid(F.col("x"))).alias("pi"))
 
 
-@query(sql(f"select imputed_labels, {R('avg(pow(y - p, 2))')} as mse from scored group by 1", "scored"))
+@query(sql(f"select imputed_labels, {R('avg(case when not isnan(p) then pow(y - p, 2) end)')} as mse from scored group by 1", "scored"))
 def loss_mse(spark, d):
-    return rounded(D.scored(spark, d).groupBy("imputed_labels").agg(F.avg(F.pow(F.col("y") - F.col("p"), F.lit(2.0))).alias("mse")))
+    return rounded(D.scored(spark, d).groupBy("imputed_labels").agg(F.avg(N.squared_error(F.col("y").cast("double"), F.col("p"))).alias("mse")))
 
 
 @query(sql(f"select imputed_labels, {R('avg(-(3.0::double * y * ln(q) + (1 - y) * ln(1 - q)))')} as bce from (select *, greatest(1e-7::double, least(1 - 1e-7::double, p)) as q from scored) group by 1", "scored"))
@@ -574,24 +574,35 @@ def loss_bce(spark, d):
 
 
 NB = "(2.0::double) * (ln(2.0::double + 1e-8) - ln(2.0::double + mu + 1e-8)) + x * (ln(mu + 1e-8) - ln(2.0::double + mu + 1e-8)) + lgamma(least(x + 2.0::double, 1000)) - lgamma(2.0::double) - lgamma(least(x + 1, 1000.0::double))"
-NB_ROWS = "select c.cell_id, least(c.value, 1e6::double) as x, m.mu from counts c join (select gene_id, avg(value) as mu from counts group by 1) m on c.gene_id = m.gene_id"
+#: The dense grid, cells times genes; the queries themselves go over the non-zeros.
+NB_ROWS = f"select b.cell_id, least(coalesce(c.value, 0), 1e6::double) as x, m.mu from (select o_orderkey as cell_id from orders) b cross join (select g.gene_id, coalesce(s, 0) / {N_CELLS} as mu from genes g left join (select gene_id, sum(value) as s from counts group by 1) t on g.gene_id = t.gene_id) m left join counts c on c.cell_id = b.cell_id and c.gene_id = m.gene_id"
 
 
-def _means(spark, d) -> DataFrame:
-    c = D.counts(spark, d)
-    return c.join(c.groupBy("gene_id").agg(F.avg("value").alias("mu")), "gene_id")
+def _mean_loss(spark, d, loss: Callable[[Column, Column], Column]) -> DataFrame:
+    """(cell_id, nll): the mean of a loss over all genes, zeros included, against each gene's mean.
 
+    mean(c) = (sum over genes of the loss at zero + sum over the cell's non-zeros of (loss at the
+    value - loss at zero)) / genes: one pass over the non-zeros."""
+    cells = D.read(spark, d, "orders").select(F.col("o_orderkey").alias("cell_id"))
+    counts = D.counts(spark, d)
+    n = cells.agg(F.count("*").alias("n"))  # one row
+    sums = counts.groupBy("gene_id").agg(F.sum("value").alias("s"))
+    means = D.genes(spark, d).select("gene_id").join(sums, "gene_id", "left").crossJoin(F.broadcast(n)).select("gene_id", (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("mu"))
+    means = means.withColumn("zero", N.finite(loss(F.lit(0.0), F.col("mu"))))
+    base = means.agg(F.sum("zero").alias("base"), F.count("*").alias("genes"))  # one row
+    own = counts.join(means, "gene_id").groupBy("cell_id").agg(F.sum(N.finite(loss(F.col("value"), F.col("mu"))) - F.col("zero")).alias("own"))
+    rows = cells.join(own, "cell_id", "left").crossJoin(F.broadcast(base))
+    return rows.select("cell_id", F.round((F.col("base") + F.coalesce("own", F.lit(0.0))) / F.col("genes"), 5).alias("nll"))
 
-@query(sql(f"select cell_id, round(avg(-({NB})), 5) as nll from rows group by 1", "counts", rows=NB_ROWS))
+
+@query(sql(f"select cell_id, round(avg(-({NB})), 5) as nll from rows group by 1", "counts", "genes", rows=NB_ROWS))
 def loss_nb(spark, d):
-    nll = -N.nb_log_likelihood(F.col("value"), F.col("mu"), F.lit(2.0))
-    return _means(spark, d).groupBy("cell_id").agg(F.round(F.avg(F.nanvl(nll, F.lit(0.0))), 5).alias("nll"))
+    return _mean_loss(spark, d, lambda x, mu: -N.nb_log_likelihood(x, mu, F.lit(2.0)))
 
 
-@query(sql(f"select cell_id, round(avg(-(case when x < 1e-8 then ln(0.1::double + 0.9 * exp({NB}) + 1e-8) else ln(0.9::double + 1e-8) + {NB} end)), 5) as nll from rows group by 1", "counts", rows=NB_ROWS))
+@query(sql(f"select cell_id, round(avg(-(case when x < 1e-8 then ln(0.1::double + 0.9 * exp({NB}) + 1e-8) else ln(0.9::double + 1e-8) + {NB} end)), 5) as nll from rows group by 1", "counts", "genes", rows=NB_ROWS))
 def loss_zinb(spark, d):
-    nll = -N.zinb_log_likelihood(F.col("value"), F.col("mu"), F.lit(2.0), F.lit(0.1))
-    return _means(spark, d).groupBy("cell_id").agg(F.round(F.avg(F.nanvl(nll, F.lit(0.0))), 5).alias("nll"))
+    return _mean_loss(spark, d, lambda x, mu: -N.zinb_log_likelihood(x, mu, F.lit(2.0), F.lit(0.1)))
 
 
 # -- Training control --------------------------------------------------------------------

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions import numeric as N
 from tessera.models import estimators, network, registry
-from tessera.operators import batching, matrix, metrics, split
+from tessera.operators import batching, matrix, metrics, scoring, split
 from tessera.sources import artifacts
 
 SCORE_METRICS = set(metrics.METRICS)
+LINEAR = ("logistic", "svm")
 LOADERS = {"logistic": LogisticRegressionModel, "svm": LinearSVCModel, "gbt": GBTClassificationModel}
 
 
@@ -77,11 +78,11 @@ def train(spark: SparkSession, model_type: str, counts: DataFrame, genes: DataFr
     cells = cells.withColumn("y", N.hard_label(F.col("expansion")))
     batching.check_classes(cells)
     parts = split.split_cells(cells, split.checked_split(cells, dev_ratio, seed))
-    rows = cells.join(parts, "cell_id")
+    rows = artifacts.written(cells.join(parts, "cell_id"), "training-cells")
     learn, dev = rows.where("split = 'train'"), rows.where("split = 'dev'")
     schema = fit_schema(counts, genes, learn, use_log)
-    x = vectors(counts, rows, schema).join(rows.select("cell_id", "y", "split"), "cell_id")
-    own = x.where("split = 'train'")
+    # Written once: each pass of an iterative fit reads rows, not the plan that makes them.
+    own = artifacts.written(vectors(counts, learn, schema).join(learn.select("cell_id", "y"), "cell_id"), "training-rows")
     if model_type == "mlp":
         model = network.train_mlp(spark, own, params or network.MlpParams())[0]
     elif model_type == "autoencoder":
@@ -92,16 +93,25 @@ def train(spark: SparkSession, model_type: str, counts: DataFrame, genes: DataFr
     return trained, run_inference(spark, trained, counts, dev).metrics
 
 
+def linear_scores(spark: SparkSession, trained: Trained, counts: DataFrame, cells: DataFrame) -> DataFrame:
+    """(cell_id, score, p) of a linear model, from the non-zeros alone; the matrix is never dense."""
+    ids = [r["gene_id"] for r in trained.schema.stats.orderBy("gene_idx").select("gene_id").collect()]  # as many as the model has weights
+    w = spark.createDataFrame(list(zip(ids, trained.model.coefficients.toArray().tolist(), strict=True)), f"gene_id {trained.schema.stats.schema['gene_id'].dataType.simpleString()}, w double")
+    return scoring.linear_sparse(counts, cells, trained.schema.stats, w, float(trained.model.intercept), trained.schema.use_log, trained.schema.use_zscore, "target")
+
+
 def run_inference(spark: SparkSession, trained: Trained, counts: DataFrame, cells: DataFrame, selected: DataFrame | None = None) -> Results:
     """Scores of cells, and metrics if they have ``expansion``."""
     cells = matrix.slice_rows(cells, selected)
-    x = vectors(counts, cells, trained.schema)
-    if trained.model_type == "mlp":
-        p = network.predict(spark, x, trained.model)
+    if trained.model_type in LINEAR:
+        p = linear_scores(spark, trained, counts, cells).select("cell_id", "p")
+    elif trained.model_type == "mlp":
+        p = network.predict(spark, vectors(counts, cells, trained.schema), trained.model)
     elif trained.model_type == "autoencoder":
-        p = network.ae_predict(spark, x, trained.model).select("cell_id", "p")
+        p = network.ae_predict(spark, vectors(counts, cells, trained.schema), trained.model).select("cell_id", "p")
     else:
-        p = estimators.predict(trained.model_type, trained.model, estimators.features(x)).select("cell_id", "p")
+        p = estimators.predict(trained.model_type, trained.model, estimators.features(vectors(counts, cells, trained.schema))).select("cell_id", "p")
+    p = artifacts.written(p, "predictions")  # the metrics and the caller both read them
     out = Results(p, {}, trained.model_type)
     if "expansion" in cells.columns:
         keys = [c for c in ("imputed_labels", "tissue_type") if c in cells.columns]

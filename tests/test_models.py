@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.models import network, search
+from tessera.functions import numeric as N
+from tessera.models import estimators, network, search
 from tessera.operators import matrix as M
+from tessera.operators import metrics
 from tessera.operators import scoring as S
 from tessera.plans import inference
 from tessera.sources import artifacts, tables
@@ -148,3 +150,24 @@ def test_stream_scores_like_batch(spark, tmp_path):
     got = {r["cell_id"]: r["score"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {r["cell_id"]: r["score"] for r in S.linear_sparse(counts, orders.join(counts, "cell_id", "left_semi"), stats, w).collect()}
     assert got == pytest.approx(want)
+
+
+def test_linear_inference_never_needs_dense_rows(spark):
+    counts, cells, genes = (f(spark, SF) for f in (tables.counts, tables.cells, tables.genes))
+    few = cells.where("cell_id % 8 < 2")
+    schema = inference.fit_schema(counts, genes, few)
+    x = artifacts.written(inference.vectors(counts, few, schema).join(few.select("cell_id", N.hard_label(F.col("expansion")).alias("y")), "cell_id"), "rows")
+    for kind in inference.LINEAR:
+        model = estimators.fit(kind, estimators.features(estimators.weighted(x)), estimators.LinearParams(max_epochs=3))
+        got = {r["cell_id"]: r["p"] for r in inference.linear_scores(spark, inference.Trained(kind, schema, model), counts, few).collect()}
+        want = {r["cell_id"]: r["p"] for r in estimators.predict(kind, model, estimators.features(x)).collect()}
+        assert len(got) > 100 and got.keys() == want.keys() and list(got.values()) == pytest.approx([want[k] for k in got], abs=1e-9)
+
+
+def test_losses_skip_what_is_not_a_number(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = spark.createDataFrame([(1.0, 0.5), (0.0, nan), (nan, 0.5), (1.0, 1.0)], "y double, p double")
+    assert rows.agg(F.avg(N.squared_error(F.col("y"), F.col("p")))).first()[0] == 0.125
+    odd = spark.createDataFrame([(0.25, 1), (nan, 1), (inf, 0), (-inf, 1), (None, 0), (0.5, 0)], "p double, y int")
+    assert sorted(r["p"] for r in metrics.valid(odd).collect()) == [0.25, 0.5]
+    assert [r[0] for r in odd.where("p is not null").select(N.finite(F.col("p"))).collect()] == [0.25, 0.0, 0.0, 0.0, 0.5]
