@@ -390,6 +390,68 @@ def test_licence_with_edits_is_found(spark):
     assert {r["doc_id"]: r["labels"] for r in license.scan(spark, docs).collect()} == {1: "mit-text", 2: ""}
 
 
+def edit_distance(a, b):
+    row = np.arange(len(b) + 1)
+    other = np.frombuffer(b.encode("utf-32-le"), np.uint32)
+    for i, c in enumerate(a, 1):
+        new = np.minimum(row[1:] + 1, row[:-1] + (other != ord(c)))
+        new = np.concatenate([[i], new])
+        row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
+    return int(row[-1])
+
+
+def test_op5_edited_notices(spark):
+    """Notices with words changed, put in and left out: found, at the place and with the likeness
+    that a search of every window finds; other texts have no label."""
+    r = random.Random(11)
+    noise = lambda n: [r.choice(["alder", "birch", "cedar", "elder", "hazel", "maple", "rowan"]) + str(r.randrange(90)) for _ in range(n)]
+    names = ["isc", "mit-text", "bsd", "mpl-2.0", "unlicense", "gpl-text"]
+    templates = {k: license.TEMPLATES[k] for k in names} | {"mit-full": license.TEMPLATES["mit-full"]}
+    rows, planted = [], {}
+    for i in range(36):
+        name = [*names, "mit-full"][i % 7]
+        words = re.findall("[a-z0-9]+", templates[name].lower())
+        if i % 3 == 0 and name == "isc":
+            words = ["yse" if w == "use" else "0r" if w == "or" else "amy" if w == "any" else w for w in words]
+        for _ in range(i % 4):
+            at = r.randrange(1, len(words) - 1)
+            words[at : at + 1] = [[], [words[at] + "x"], [words[at], "so"]][r.randrange(3)]
+        rows.append((i, " ".join([*noise(r.randrange(30)), *words, *noise(20)])))
+        whole = " ".join(re.findall("[a-z0-9]+", templates[name].lower()))
+        if edit_distance(" ".join(words), whole) <= 0.15 * len(whole):
+            planted[i] = name
+    assert len(planted) > 30
+    two = templates["isc"].split()
+    rows.append((50, " ".join([*two[:9], "not", *two[10:], "and", *two])))
+    rows += [(i, " ".join(noise(40) + ["of", "this", "software", "for", "any", "purpose"] + noise(9))) for i in range(60, 66)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = license.template_rows(spark, templates)
+    spans = license.spans(spark, license.measured(spark, docs, known), known).collect()
+    text = dict(rows)
+    for s in spans:
+        got = " ".join(text[s["doc_id"]].split()[s["first_word"] : s["past_word"]])
+        want = " ".join(re.findall("[a-z0-9]+", templates[s["label"]].lower()))
+        assert s["likeness"] == pytest.approx(1 - edit_distance(got, want) / max(len(got), len(want)))
+    found = {(s["doc_id"], s["label"]) for s in spans}
+    assert {(i, name) for i, name in planted.items()} <= found
+    assert not {s["doc_id"] for s in spans} & set(range(60, 66))
+    assert len([s for s in spans if s["doc_id"] == 50]) == 2  # the edited place and the whole one after it
+    for i in list(planted)[::5]:
+        name, words = planted[i], text[i].split()
+        want = " ".join(re.findall("[a-z0-9]+", templates[name].lower()))
+        n = len(want.split())
+        if n < 60:
+            windows = [" ".join(words[a : a + m]) for a in range(len(words)) for m in range(n - 3, n + 4)]
+            best = max(1 - edit_distance(x, want) / max(len(x), len(want)) for x in windows)
+            assert max(s["likeness"] for s in spans if s["doc_id"] == i and s["label"] == name) == pytest.approx(best, abs=0.1)
+
+
+def test_op5_no_templates_and_one_vote(spark):
+    docs = spark.createDataFrame([(1, "released under the mit licence"), (2, None)], "doc_id long, text string")
+    assert {r["doc_id"]: r["labels"] for r in license.scan(spark, docs).collect()} == {1: "mit-notice", 2: ""}
+    assert {r["doc_id"]: r["score"] for r in license.scan(spark, docs, {"short": "one two"}).collect()} == {1: 0.0, 2: 0.0}
+
+
 def test_op6(spark, folder):
     want, start = [], 0
     for i, x in sorted(table(folder), key=order):
