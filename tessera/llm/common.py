@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,17 +21,49 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+#: Folders of the ``passing`` blocks that are open, the innermost last.
+_open: ContextVar[tuple[str, ...]] = ContextVar("open", default=())
 
 
-def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+def new_path(spark: SparkSession, name: str, outlives: bool = False) -> str:
+    """A path in the shared folder that no other run uses; inside ``passing`` blocks one that
+    goes with the innermost, or (``outlives``) with the one around it."""
+    folders = _open.get()[:-1] if outlives else _open.get()
+    return f"{folders[-1] if folders else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``written`` makes inside the block are deleted at its end, but for those
+    that outlive it: nothing else may leave the block but rows of such tables."""
+    path, outer = new_path(spark, "passing"), _open.get()
+    _open.set((*outer, path))
+    try:
+        yield
+    finally:
+        _open.set(outer)
+        delete(spark, path)
+
+
+def written(spark: SparkSession, df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
     """Cuts the lineage: writes ``df`` as Parquet in the shared folder and reads it back,
     so that a lost executor costs a re-read and not a re-run of what came before."""
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = new_path(spark, name, outlives)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def dropped(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made, once what is read from them has been written itself."""
+    for table in tables:
+        delete(spark, table._written_to)
 
 
 def tasks(spark: SparkSession) -> int:

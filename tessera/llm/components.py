@@ -30,7 +30,8 @@ def components(spark: SparkSession, links: DataFrame, a: str = "a", b: str = "b"
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        now = common.written(spark, small, "links")
+        old, now = now, common.written(spark, small, "links")
+        common.dropped(spark, old)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38)"))).first()
         if state == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -54,7 +55,28 @@ def bucket_links(
     their groups g and sizes m, for the links of all their pairs."""
     columns = [c for c in banded.columns if c != "key"]
     side = lambda df, x: df.select("key", *[F.col(c).alias(f"{c}_{x}") for c in [*columns, "g"]])
+
+    def one_round(links: DataFrame | None, banded: DataFrame, reps: int, every: bool) -> tuple[DataFrame, DataFrame]:
+        """The links of a round, and the representatives that it took."""
+        chosen = banded
+        if not every:
+            rank = F.bitwise_not("h")
+            some = banded
+            if links is not None:
+                ends = links.select(F.col("a").alias("h")).union(links.select("b")).groupBy("h").agg(F.count("*").alias("own"))
+                some, rank = banded.join(ends, "h", "left"), F.struct(F.coalesce("own", F.lit(0)), rank)
+            one = F.max_by(F.struct(*columns, "g"), rank).alias("one")
+            chosen = some.groupBy("key", F.pmod(F.xxhash64("h"), F.lit(reps)).alias("salt")).agg(one)
+            chosen = common.written(spark, chosen.select("key", "one.*"), "buckets-chosen", outlives=True)
+        could = (F.col("g_x") != F.col("g_y")) & fits(lambda c: F.col(f"{c}_x"), lambda c: F.col(f"{c}_y"))
+        if every:
+            could = could & (F.col("h_x") < F.col("h_y"))
+        pairs = side(chosen, "x").join(side(banded, "y"), "key").where(could).select(F.least("h_x", "h_y").alias("a"), F.greatest("h_x", "h_y").alias("b")).distinct()
+        found = sure(common.written(spark, pairs, "bucket-pairs"))
+        return common.written(spark, found, "bucket-found", outlives=True), chosen
+
     reps = 1
+    own: list[DataFrame] = []  # the tables of this function that are still read
     while True:
         if links is None:
             banded = banded.withColumn("g", F.col("h"))
@@ -63,33 +85,26 @@ def bucket_links(
             roots = components(spark, links)
             banded = banded.select("key", *columns).join(roots.withColumnRenamed("node", "h"), "h", "left").select("key", *columns, F.coalesce("root", "h").alias("g"))
             banded = common.written(spark, banded, "buckets")
+            common.dropped(spark, *own)
+            own = [links, banded]
         mixed = banded.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("m")).where("lo < hi")
         mixed = common.written(spark, mixed.select("key", "m"), "buckets-mixed")
         left = mixed.agg(F.sum(F.col("m").cast("double") * (F.col("m") - 1) / 2)).first()[0]
         if not left:
             return spark.createDataFrame([], "a long, b long") if links is None else links
         banded = common.written(spark, banded.join(mixed, "key", "left_semi"), "buckets")
+        common.dropped(spark, *own[1:])
+        own = [*own[:1], banded]
         if finish is not None and reps > 1:
             return links.unionByName(finish(banded.join(mixed, "key")))
         every = reps > 4 and left <= direct
-        chosen = banded
-        if not every:
-            rank = F.bitwise_not("h")
-            some = banded
-            if links is not None:
-                ends = links.select(F.col("a").alias("h")).union(links.select("b")).groupBy("h").agg(F.count("*").alias("own"))
-                some, rank = banded.join(ends, "h", "left"), F.struct(F.coalesce("own", F.lit(0)), rank)
-            one = F.max_by(F.struct(*columns, "g"), rank).alias("one")
-            chosen = some.groupBy("key", F.pmod(F.xxhash64("h"), F.lit(reps)).alias("salt")).agg(one)
-            chosen = common.written(spark, chosen.select("key", "one.*"), "buckets-chosen")
-        could = (F.col("g_x") != F.col("g_y")) & fits(lambda c: F.col(f"{c}_x"), lambda c: F.col(f"{c}_y"))
-        if every:
-            could = could & (F.col("h_x") < F.col("h_y"))
-        pairs = side(chosen, "x").join(side(banded, "y"), "key").where(could).select(F.least("h_x", "h_y").alias("a"), F.greatest("h_x", "h_y").alias("b")).distinct()
-        found = sure(common.written(spark, pairs, "bucket-pairs"))
+        with common.passing(spark):
+            found, chosen = one_round(links, banded, reps, every)
+        own.append(found)
         links = found if links is None else links.unionByName(found)
         if every:
             return links
         if finish is None:
+            own.append(chosen)
             banded = banded.join(chosen, ["key", "h"], "left_anti")
         reps *= 4

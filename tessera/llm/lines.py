@@ -162,9 +162,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, least: int = 1, removed: s
     documents come first.  Rows of equal doc_id and text are one document, of which either row
     is kept alike.  Ties: of a text's lines the first stays.  Very long lines: compared whole.
     Columns are those of ``docs``."""
-    places, roots = line_groups(spark, docs, least)
-    grouped = places.join(common.small_side(roots), "k", "left").select("doc_id", "h", "pos", F.coalesce("root", "k").alias("g"))
-    grouped = common.written(spark, grouped, "line-grouped")
+    with common.passing(spark):
+        places, roots = line_groups(spark, docs, least)
+        grouped = places.join(common.small_side(roots), "k", "left").select("doc_id", "h", "pos", F.coalesce("root", "k").alias("g"))
+        grouped = common.written(spark, grouped, "line-grouped", outlives=True)
     first = grouped.groupBy("g").agg(F.min(F.struct("doc_id", "h", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
     first = common.written(spark, first, "line-first")
     later = common.spread_join(grouped, first, "g", "n").where(~F.struct("doc_id", "h", "pos").eqNullSafe(F.col("first")))

@@ -435,9 +435,10 @@ def drop_near(spark: SparkSession, docs: DataFrame, words: int = 5, reach: int =
     documents.  Null doc_id: a document like any other, after all others.  Repeated rows leave
     one.  Null and empty texts are one group.  Empty table: no rows.  Columns are those of ``docs``."""
     rows = numbered(spark, docs)
-    _, nodes, roots = similar_nodes(spark, rows.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string")), words, reach, alike)
-    stay = nodes.join(roots, "h", "left").groupBy(F.coalesce("root", "h").alias("root")).agg(F.min("first").alias("least")).select(F.col("least.uid").alias("uid"))
-    stay = common.written(spark, stay, "near-stay")
+    with common.passing(spark):
+        _, nodes, roots = similar_nodes(spark, rows.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string")), words, reach, alike)
+        stay = nodes.join(roots, "h", "left").groupBy(F.coalesce("root", "h").alias("root")).agg(F.min("first").alias("least")).select(F.col("least.uid").alias("uid"))
+        stay = common.written(spark, stay, "near-stay", outlives=True)
     return common.unboxed(rows.join(common.small_side(stay), "uid", "left_semi"), docs.columns, "doc_id", "text")
 
 
