@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, license, lines, mixing, packing, pii, quality, simhash, sketch, wavelet
+from . import audit, language, license, lines, mixing, packing, pii, quality, simhash, sketch, wavelet
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bottom_k": sketch.op8_bottom_k,
         "op9_language_id": language.op9_language_id,
         "op10_pii_surrogates": pii.op10_pii_surrogates,
+        "op12_filter_audit": audit.op12_filter_audit,
     }
 
 
@@ -28,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_quality_rules": quality.OP4_SQL,
         "op7_mixing": mixing.OP7_SQL,
+        "op12_filter_audit": audit.OP12_SQL,
     }
