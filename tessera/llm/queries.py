@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit, language, license, lines, mixing, packing, pii, quality, simhash, sketch, wavelet
+from . import audit, crosswalk, language, license, lines, mixing, packing, pii, quality, simhash, sketch, tokengroups, wavelet
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,7 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bottom_k": sketch.op8_bottom_k,
         "op9_language_id": language.op9_language_id,
         "op10_pii_surrogates": pii.op10_pii_surrogates,
+        "op11_ngram_join": tokengroups.op11_ngram_join,
         "op12_filter_audit": audit.op12_filter_audit,
+        "op13_crosswalk": crosswalk.op13_crosswalk,
     }
 
 
@@ -29,5 +31,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_quality_rules": quality.OP4_SQL,
         "op7_mixing": mixing.OP7_SQL,
+        "op11_ngram_join": tokengroups.op11_ngram_join,
         "op12_filter_audit": audit.OP12_SQL,
     }
