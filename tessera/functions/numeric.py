@@ -74,8 +74,9 @@ def finite(x: Column) -> Column:
 
 
 def squared_error(y: Column, p: Column) -> Column:
-    """Null (so no part of a mean) where either is NaN."""
-    return F.when(~F.isnan(y) & ~F.isnan(p), F.pow(y - p, F.lit(2.0)))
+    """Null (so no part of a mean) where the target is NaN or null.  A prediction that isn't a number
+    stays: a broken model shows as a loss of NaN."""
+    return F.when(~F.isnan(y), F.pow(y - p, F.lit(2.0)))
 
 
 def lgamma(x: Column) -> Column:

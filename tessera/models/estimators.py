@@ -51,6 +51,28 @@ def fit(model_type: str, rows: DataFrame, params=None):
     raise ValueError(f"no estimator for {model_type!r}")
 
 
+def fit_sparse(model_type: str, rows: DataFrame, weights: DataFrame, params=None) -> DataFrame:
+    """Weights (gene_idx, z0, w) of a linear family, fitted on rows (e, y, weight) as sparse vectors.
+
+    The features are differences from an implicit zero's z-scores.  Only the intercept sees the
+    shift, and it has no penalty, so the weights are those of the z-scores themselves."""
+    from pyspark.ml.linalg import Vectors, VectorUDT
+
+    n = weights.where("gene_idx >= 0").count()
+
+    @F.udf(VectorUDT())
+    def sparse(e):
+        return Vectors.sparse(n, [x["i"] for x in e], [x["d"] for x in e])
+
+    model = fit(model_type, rows.withColumn("features", sparse("e")), params)
+    spark = rows.sparkSession
+    found = spark.createDataFrame([(-1, float(model.intercept)), *enumerate(map(float, model.coefficients.toArray()))], "gene_idx int, v double")  # as many as genes
+    found = weights.select("gene_idx", "z0").join(found, "gene_idx")
+    shift = found.where("gene_idx >= 0").agg(F.coalesce(F.sum(F.col("v") * F.col("z0")), F.lit(0.0)).alias("shift"))  # one row
+    w = F.when(F.col("gene_idx") == -1, F.col("v") - F.col("shift")).otherwise(F.col("v"))
+    return found.crossJoin(F.broadcast(shift)).select("gene_idx", "z0", w.alias("w"))
+
+
 def predict(model_type: str, model, rows: DataFrame) -> DataFrame:
     """``rows`` with p; a decision value without probability goes through a sigmoid."""
     out = model.transform(rows)

@@ -84,6 +84,19 @@ def balanced_types(cells: DataFrame, size: int, seed: int = 1, label: str = "y")
     return cycled(rows, "stratum", slots.crossJoin(F.broadcast(total)), seed)  # one row: the number of batches
 
 
+SAMPLERS = ("random", "balanced_labels", "balanced_types")
+
+
+def train_batches(sampler: str, cells: DataFrame, size: int, seed: int = 1, label: str = "y") -> DataFrame:
+    """(cell_id, batch_id) of a sampler by name; cells of small classes recur with the balanced ones."""
+    if sampler not in SAMPLERS:
+        raise ValueError(f"unknown sampler {sampler!r}; known: {SAMPLERS}")
+    if sampler == "random":
+        return random_batches(cells, size, seed)
+    made = balanced_labels if sampler == "balanced_labels" else balanced_types
+    return made(cells, size, seed, label).select("cell_id", "batch_id")
+
+
 def class_weights(cells: DataFrame, label: str = "y") -> DataFrame:
     """(label, n, weight): N / (classes n)."""
     n = cells.groupBy(label).agg(F.count("*").alias("n"))

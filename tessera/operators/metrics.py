@@ -103,6 +103,17 @@ def by_stratum(rows: DataFrame, threshold: float = 0.5, keys: tuple[str, str] =
     return metrics(with_stratum(rows, keys), ["stratum"], threshold)
 
 
+def auroc_by_valid_stratum(rows: DataFrame) -> DataFrame:
+    """(stratum, AUROC) of strata with both classes whose scores are all finite: one that can't be
+    ranked takes its whole stratum out, as a part of the stratum says nothing of the model."""
+    rows = with_stratum(rows)
+    ok = F.col("p").isNotNull() & ~F.isnan("p") & (F.abs("p") != float("inf"))
+    at = rows.groupBy("stratum", "p", "y").agg(F.count("*").alias("w"))
+    judged = at.groupBy("stratum").agg(F.min(ok).alias("whole"), F.count_distinct("y").alias("kinds"))
+    fit = judged.where("whole and kinds = 2").select("stratum")
+    return _auroc(at.join(fit, "stratum", "left_semi"), ["stratum"])
+
+
 def tall(wide: DataFrame, scope: str, stratum: Column) -> DataFrame:
     """(scope, stratum, metric, value)."""
     names = [m for m in METRICS if m in wide.columns]

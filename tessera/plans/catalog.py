@@ -382,9 +382,18 @@ def metrics_grouping_sets(spark, d):
     return out.agg(F.grouping("imputed_labels").cast("int").alias("g"), F.count("*").alias("n"), F.sum("y").alias("positives"), F.sum((F.col("p") > 0.5).cast("long")).alias("predicted"))
 
 
-@query(sql(f"select a.stratum, {R('auroc')} as \"AUROC\" from auc a join conf c on a.stratum = c.stratum where c.positives > 0 and c.positives < c.n", "scored", named=NAMED, **BY))
+#: Scores of which some are no number: their strata go as a whole.
+PLANTED = "select cell_id, y, case when cell_id % 211 = 3 then 'nan'::double else p end as p, imputed_labels, tissue_type from scored"
+FIT_STRATA = "select * from strata where stratum in (select stratum from strata group by 1 having count(distinct y) = 2 and bool_and(not isnan(p)))"
+
+
+def planted(spark, d) -> DataFrame:
+    return D.scored(spark, d).withColumn("p", F.when(F.col("cell_id") % 211 == 3, float("nan")).otherwise(F.col("p")))
+
+
+@query(sql(f"select stratum, {R('auroc')} as \"AUROC\" from auc", "scored", planted=PLANTED, strata=NAMED.replace("from scored", "from planted"), named=FIT_STRATA, auc=BY["auc"]))
 def auroc_per_strata(spark, d):
-    return rounded(E.by_stratum(E.valid(D.scored(spark, d))).where((F.col("positives_rate") > 0) & (F.col("positives_rate") < 1)).select("stratum", "AUROC"))
+    return rounded(E.auroc_by_valid_stratum(planted(spark, d)))
 
 
 def strata_tall(spark, d) -> DataFrame:
@@ -563,9 +572,10 @@ def nb_activations(spark, d):
     return rows.select("cell_id", F.col("gene_idx").cast("long").alias("gene_idx"), r6(N.theta_activation(F.col("x"))).alias("theta"), r6(N.sigmoid(F.col("x"))).alias("pi"))
 
 
-@query(sql(f"select imputed_labels, {R('avg(case when not isnan(p) then pow(y - p, 2) end)')} as mse from scored group by 1", "scored"))
+@query(sql(f"select imputed_labels, {R('avg(case when not isnan(t) then pow(t - p, 2) end)')} as mse from (select imputed_labels, p, case when cell_id % 7 = 1 then 'nan'::double else y::double end as t from scored) group by 1", "scored"))
 def loss_mse(spark, d):
-    return rounded(D.scored(spark, d).groupBy("imputed_labels").agg(F.avg(N.squared_error(F.col("y").cast("double"), F.col("p"))).alias("mse")))
+    rows = D.scored(spark, d).withColumn("y", F.when(F.col("cell_id") % 7 == 1, float("nan")).otherwise(F.col("y").cast("double")))
+    return rounded(rows.groupBy("imputed_labels").agg(F.avg(N.squared_error(F.col("y"), F.col("p"))).alias("mse")))
 
 
 @query(sql(f"select imputed_labels, {R('avg(-(3.0::double * y * ln(q) + (1 - y) * ln(1 - q)))')} as bce from (select *, greatest(1e-7::double, least(1 - 1e-7::double, p)) as q from scored) group by 1", "scored"))
@@ -605,6 +615,89 @@ def loss_zinb(spark, d):
     return _mean_loss(spark, d, lambda x, mu: -N.zinb_log_likelihood(x, mu, F.lit(2.0), F.lit(0.1)))
 
 
+# -- Training on non-zeros ---------------------------------------------------------------
+
+SGD_STEPS = 3
+Y_WEIGHT = "select y.*, w.weight from y join (select y, sum(n) over () / (count(*) over () * n) as weight from (select y, count(*) as n from y group by 1)) w on y.y = w.y"
+SGD_GRID = f"select y.cell_id, y.y, y.weight, s.gene_idx, {Z.format(x='coalesce(n.z, 0)', mu='s.mu', sd='s.sigma')} as z, b.batch from yw y cross join stats s join batches b on b.cell_id = y.cell_id left join norm n on n.cell_id = y.cell_id and n.gene_id = s.gene_id"
+
+
+def _sgd_parts() -> dict[str, str]:
+    """The dense way: every cell's z-scores of all genes, one step after another."""
+    parts = {"w0": "select gene_idx, 0.0::double as w from genes", "b0": "select 0.0::double as b"}
+    for k in range(SGD_STEPS):
+        parts[f"r{k}"] = f"select g.cell_id, any_value(g.weight) * (1 / (1 + exp(-((select b from b{k}) + sum(g.z * w.w)))) - any_value(g.y)) as r from grid g join w{k} w on g.gene_idx = w.gene_idx where g.batch = {k} group by 1"
+        parts[f"w{k + 1}"] = f"select w.gene_idx, any_value(w.w) * (1 - 0.1 * 0.01)::double - 0.1::double * avg(r.r * g.z) as w from w{k} w join grid g on g.gene_idx = w.gene_idx join r{k} r on r.cell_id = g.cell_id group by 1"
+        parts[f"b{k + 1}"] = f"select (select b from b{k}) - 0.1::double * avg(r) as b from r{k}"
+    return parts
+
+
+@query(sql(
+    f"select gene_idx::int as gene_idx, {R('w')} as w from w{SGD_STEPS} union all select -1, {R('b')} from b{SGD_STEPS}", "cells", "counts", "genes", y=CELLS_Y, norm=NORM_LOG, stats=STATS, yw=Y_WEIGHT,
+    batches=f"select cell_id, (row_number() over (order by md5('1:0:' || cell_id), cell_id) - 1) // (select ceil(count(*) / {SGD_STEPS}.0)::bigint from y) as batch from y", grid=SGD_GRID, **_sgd_parts(),
+))
+def sgd_linear_steps(spark, d):
+    """The weights after an epoch of three batches that hold all cells."""
+    from tessera.models import sgd
+    from tessera.sources import artifacts
+
+    counts, rows, fitted = D.counts(spark, d), cells_y(spark, d), artifacts.written(stats(spark, d, log=True), "stats")
+    rows = artifacts.written(rows.select("cell_id", "y"), "cells")
+    size = -(-rows.count() // SGD_STEPS)
+    params = sgd.SgdParams(alpha=0.01, learning_rate="constant", eta0=0.1, batch_size=size)
+    frame = sgd.training_rows(rows, sgd.sparse_rows(counts, rows, fitted), params).join(B.train_batches("random", rows, size), "cell_id")
+    frame, weights = artifacts.written(frame, "frame"), sgd.initial(fitted)
+    for step in range(SGD_STEPS):
+        weights = artifacts.written(sgd.stepped(frame.where(F.col("batch_id") == step), weights, params, step), "weights")
+    return rounded(weights.select("gene_idx", "w"))
+
+
+SPLIT_BINS = 16
+TREE_VALUES = "select n.cell_id, g.gene_idx::int as gene_idx, n.z as x from norm n join genes g on n.gene_id = g.gene_id"
+TREE_BINS = f"select gene_idx, x, ((rank() over (partition by gene_idx order by x) - 1) * {SPLIT_BINS - 1} // count(*) over (partition by gene_idx) + 1)::int as bin from x"
+TREE_HIST = "select x.gene_idx, b.bin, sum(g.g) as g, sum(g.h) as h, count(*) as n from x join (select distinct gene_idx, x, bin from binned) b on x.gene_idx = b.gene_idx and x.x = b.x join grads g on g.cell_id = x.cell_id group by 1, 2"
+TREE_RIGHT = "select gene_idx, bin, sum(g) over w as g, sum(h) over w as h, (sum(n) over w)::bigint as n, (select sum(g) from grads) as ag, (select sum(h) from grads) as ah, (select count(*) from grads) as an from hist window w as (partition by gene_idx order by bin desc rows between unbounded preceding and current row)"
+
+
+@query(sql(
+    f"select gene_idx, bin, {R('pow(ag - g, 2) / (ah - h + 1.0::double + 1e-12) + pow(g, 2) / (h + 1.0::double + 1e-12) - pow(ag, 2) / (ah + 1.0::double + 1e-12)')} as gain, n as right_n from rights where least(n, an - n) >= 20 and least(h, ah - h) >= 1e-3 and pow(ag - g, 2) / (ah - h + 1.0::double + 1e-12) + pow(g, 2) / (h + 1.0::double + 1e-12) - pow(ag, 2) / (ah + 1.0::double + 1e-12) > 1e-9",
+    "cells", "counts", "genes", y=CELLS_Y, yw=Y_WEIGHT, norm=NORM_LOG, x=TREE_VALUES, binned=TREE_BINS, grads="select cell_id, weight * (0.5 - y) as g, weight * 0.25 as h from yw", hist=TREE_HIST, rights=TREE_RIGHT,
+))
+def hist_split_gain(spark, d):
+    """Gains of all splits of a first tree's root, from histograms of the non-zeros."""
+    from tessera.models import trees as X
+
+    rows, p = cells_y(spark, d), X.LeafwiseParams(max_bin=SPLIT_BINS, reg_lambda=1.0)
+    x = X.values(D.counts(spark, d), rows, D.genes(spark, d))
+    own = rows.join(F.broadcast(B.class_weights(rows).select("y", "weight")), "y").select("cell_id", (F.col("weight") * (0.5 - F.col("y"))).alias("g"), (F.col("weight") * 0.25).alias("h"))  # two rows
+    hist = X.histogram(own.join(X.binned(x, X.bins(x, SPLIT_BINS), rows), "cell_id").withColumn("node", F.lit(0)))
+    totals = own.agg(F.lit(0).alias("node"), F.sum("g").alias("all_g"), F.sum("h").alias("all_h"), F.count("*").alias("all_n"))
+    return rounded(X.split_gains(hist, totals, p).select("gene_idx", "bin", "gain", F.col("right_n").cast("long").alias("right_n")))
+
+
+@query(sql("select cell_id, patient_id, split from joined", "base", split=SPLIT, joined=JOINED))
+def split_roundtrip(spark, d):
+    """The split of a preparation that was committed, and taken up again from its version."""
+    from tessera.plans import prepare
+    from tessera.sources import artifacts
+
+    path = artifacts.scratch(spark, "prepared")
+    tables = D.counts(spark, d), D.genes(spark, d), artifacts.written(D.cells(spark, d), "cells")
+    prepare.prepare(spark, path, *tables)
+    again = prepare.prepare(spark, path, *tables)
+    if not again.resumed:
+        raise RuntimeError("the preparation was not taken up again")
+    return again.cells.select("cell_id", P.patient_id().alias("patient_id"), "split")
+
+
+@query("select p_partkey, format('{:.4f}', p_retailprice) as price, regexp_replace(regexp_replace(format('{:.4e}', floor(p_retailprice) / 1e7), '\\.?0*e', 'e'), 'e([+-])0*([0-9])', 'e\\1\\2') as small, case when p_size = 1 then 'nan' else format('{:.4f}', p_size::double) end as size from part")
+def number_format(spark, d):
+    from tessera.functions.text import printed
+
+    size = F.when(F.col("p_size") == 1, float("nan")).otherwise(F.col("p_size").cast("double"))
+    return D.read(spark, d, "part").select("p_partkey", printed(F.col("p_retailprice")).alias("price"), printed(F.floor("p_retailprice") / 1e7).alias("small"), printed(size).alias("size"))
+
+
 # -- Training control --------------------------------------------------------------------
 
 LOG = "select e.event_type as run, row_number() over (partition by e.event_type order by e.ts_day) - 1 as epoch, round(v, 3) as score from (select event_type, date_trunc('day', ts) as ts_day, avg(value) as v from events group by 1, 2) e"

@@ -33,6 +33,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written in the shared folder and read back: what follows may use it many times
     without its plan being repeated, and a lost executor costs a re-read."""
