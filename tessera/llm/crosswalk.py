@@ -11,9 +11,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from . import common
 from .tokens import _byte_letters
 
-#: Words of texts whose groups a Python worker remembers; it then starts anew.
-REMEMBERED = 200_000
+#: Words of texts whose groups a Python worker remembers, those met least lately going first; and groups and pairs
+#: of ids, after which it hands on what it counted and starts anew.
+REMEMBERED = 150_000
+INTERNED = 500_000
 #: A group with this share of all (document, group) rows is broadcast: at most so many are.
 COMMON = 100_000
 
@@ -42,33 +44,30 @@ class Vocabularies:
         self.a_bytes = {i: bytes(letters[ord(c)] for c in token) for token, i in self.a.get_vocab(with_added_tokens=False).items() if all(ord(c) in letters for c in token)}
         pieces = [(i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
         self.b_bytes = {i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces}
+        sizes = lambda own: np.array([len(own.get(i, b"")) for i in range(max(own) + 1)], np.int64)
+        self.a_size, self.b_size = sizes(self.a_bytes), sizes(self.b_bytes)
         # a space is always a piece's beginning: texts can be cut there
         self.by_words = not any("▁" in p.lstrip("▁") for _, p in pieces) and self.b.encode("x  y") == self.b.encode("x") + self.b.encode(" y")
         self.odd = re.compile(r"^\s| \s| $").search
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]] | None]:
-        """(A ids of space + text, B ids of text); None where their bytes aren't those of space + text."""
-        out = []
-        for text, a, b in zip(texts, self.a.encode_batch([" " + x for x in texts], add_special_tokens=False), self.b.encode(texts, num_threads=1), strict=True):
-            whole = (" " + text).encode()
-            same = b"".join(self.a_bytes.get(i, b"") for i in a.ids) == whole == b"".join(self.b_bytes[i] for i in b)
-            out.append((a.ids, b) if same else None)
-        return out
-
-    def groups(self, a: list[int], b: list[int]) -> list[str]:
-        """Keys of the groups of aligned ids, in order."""
-        out, i, j, x, y, i0, j0 = [], 0, 0, 0, 0, 0, 0
-        while i < len(a):
-            if x <= y:
-                x += len(self.a_bytes[a[i]])
-                i += 1
-            while y < x:
-                y += len(self.b_bytes[b[j]])
-                j += 1
-            if x == y:
-                out.append(",".join(map(str, a[i0:i])) + "|" + ",".join(map(str, b[j0:j])))
-                i0, j0 = i, j
-        return out
+    def encode(self, texts: list[str]) -> tuple[list[str], list[list[int]], list[list[int]]]:
+        """The texts whose ids give the bytes of space + text back, with their A ids (of space + text) and B ids."""
+        a, b = [e.ids for e in self.a.encode_batch([" " + x for x in texts], add_special_tokens=False)], self.b.encode(texts, num_threads=1)
+        every = "".join([f" {x}" for x in texts]).encode()
+        joined = lambda own, ids: b"".join([own.get(i, b"") for x in ids for i in x])
+        if joined(self.a_bytes, a) != every or joined(self.b_bytes, b) != every or not texts:
+            kept = [k for k, x in enumerate(texts) if joined(self.a_bytes, [a[k]]) == joined(self.b_bytes, [b[k]]) == f" {x}".encode()]
+            texts, a, b = [texts[k] for k in kept], [a[k] for k in kept], [b[k] for k in kept]
+        return texts, a, b
+
+    def groups(self, texts: list[str], a: list[list[int]], b: list[list[int]]):
+        """(A ids, ends in them, B ids, ends in them, ends of texts), the groups of all texts in a row: a group ends where
+        tokens of both end, and so does every text."""
+        flat_a, flat_b = (np.fromiter((i for x in own for i in x), np.int64) for own in (a, b))
+        ends_a, ends_b = np.cumsum(self.a_size[flat_a]), np.cumsum(self.b_size[flat_b])
+        both = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        bounds = np.cumsum([len(x.encode()) + 1 for x in texts])
+        return flat_a, np.searchsorted(ends_a, both) + 1, flat_b, np.searchsorted(ends_b, both) + 1, np.searchsorted(both, bounds) + 1
 
     def links(self, key: str) -> list[tuple[int, int]]:
         """(A id, B id) for each two tokens of a group whose bytes overlap: one more at each end inside."""
@@ -98,67 +97,97 @@ def vocabularies(a_path: str, b_path: str) -> Vocabularies:
 
 
 class Interned:
-    """Groups and id pairs that a task has seen, with the documents that hold each."""
+    """Groups and id pairs that a task has seen, by number, with the documents that hold each."""
 
     def __init__(self, own: Vocabularies):
         self.own = own
         self.clear()
 
     def clear(self) -> None:
-        self.words: dict[str, tuple | None] = {}
-        self.pairs_of: dict[str, frozenset] = {}
-        self.held: Counter = Counter()  # documents by pair
-        self.groups: Counter = Counter()  # documents by group
+        self.words: dict[str, np.ndarray | None] = {}  # the groups of a word, in order; None: its bytes don't come back
+        self.older: dict[str, np.ndarray | None] = {}
+        self.number: dict = {}
+        self.names: list[str] = []
+        self.pair_number: dict[tuple[int, int], int] = {}
+        self.pairs: list[int] = []  # of all groups in a row
+        self.shape: list[tuple[int, int, int, int]] = []  # A ids, B ids, first pair, distinct pairs
+        self.group_docs, self.pair_docs = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def full(self) -> bool:
-        return len(self.words) > REMEMBERED or len(self.groups) > REMEMBERED or len(self.held) > 2 * REMEMBERED
-
-    def _learn(self, new: list[str]) -> None:
-        for x, ids in zip(new, self.own.encode(new), strict=True):
-            self.words[x] = ids and self._entry(*ids)
-
-    def _entry(self, a: list[int], b: list[int]) -> tuple:
-        keys = self.own.groups(a, b)
-        for key in keys:
-            if key not in self.pairs_of:
-                self.pairs_of[key] = frozenset(self.own.links(key))
-        return len(a), len(b), ";".join(keys), tuple(keys)
-
-    def documents(self, texts: list[str | None]) -> Iterator[tuple | None]:
+        return len(self.names) > INTERNED or len(self.pair_number) > INTERNED
+
+    def _intern(self, a: tuple[int, ...], b: tuple[int, ...]) -> int:
+        """The number of a group; a new one's links are expanded here, once."""
+        n = self.number.get((a, b))
+        if n is None:
+            n = self.number[a, b] = len(self.names)
+            self.names.append(",".join(map(str, a)) + "|" + ",".join(map(str, b)))
+            links = {self.pair_number.setdefault(x, len(self.pair_number)) for x in self.own.links(self.names[n])}
+            self.shape.append((len(a), len(b), len(self.pairs), len(links)))
+            self.pairs += links
+        return n
+
+    def _numbers(self, texts: list[str], a: list[list[int]], b: list[list[int]]) -> list[np.ndarray]:
+        """The groups of each text, by number."""
+        if not texts:
+            return []
+        flat_a, ends_a, flat_b, ends_b, bounds = self.own.groups(texts, a, b)
+        from_a, from_b = np.concatenate([[0], ends_a[:-1]]), np.concatenate([[0], ends_b[:-1]])
+        out = np.empty(len(ends_a), np.int64)
+        single = (ends_a - from_a == 1) & (ends_b - from_b == 1)
+        keys, at = np.unique(flat_a[from_a[single]] << 32 | flat_b[from_b[single]], return_inverse=True)
+        out[single] = np.array([self._intern((k >> 32,), (k & 0xFFFFFFFF,)) for k in keys.tolist()], np.int64)[at]
+        list_a, list_b = flat_a.tolist(), flat_b.tolist()
+        for k in np.flatnonzero(~single).tolist():
+            out[k] = self._intern(tuple(list_a[from_a[k] : ends_a[k]]), tuple(list_b[from_b[k] : ends_b[k]]))
+        return np.split(out, bounds[:-1])
+
+    def _learn(self, words: set[str]) -> None:
+        if len(self.words) > REMEMBERED:
+            self.older, self.words = self.words, {}
+        new = []
+        for w in words:
+            if w not in self.words:
+                if w in self.older:
+                    self.words[w] = self.older[w]
+                else:
+                    new.append(w)
+        known, a, b = self.own.encode(new)
+        self.words.update(dict.fromkeys(new))
+        self.words.update(zip(known, self._numbers(known, a, b), strict=True))
+
+    def documents(self, texts: list[str | None]) -> list[tuple | None]:
         """(n_a, n_b, n_groups, hash, keys, times) of each text, None if it has no tokens."""
         own = self.own
         cut = [x.split(" ") if x and own.by_words and not own.odd(x) else None for x in texts]
-        new = {w for ws in cut if ws for w in ws if w not in self.words}
-        if new:
-            self._learn(list(new))
-        whole = iter(own.encode([x for x, ws in zip(texts, cut, strict=True) if x and ws is None]))
-        for x, ws in zip(texts, cut, strict=True):
-            if not x:
-                yield None
+        self._learn({w for ws in cut if ws for w in ws})
+        whole, a, b = own.encode([x for x, ws in zip(texts, cut, strict=True) if x and ws is None])
+        whole = dict(zip(whole, self._numbers(whole, a, b), strict=True))
+        words = self.words
+        found = [[words[w] for w in ws] if ws else [whole.get(x)] if x else [None] for x, ws in zip(texts, cut, strict=True)]
+        shape = np.array(self.shape, np.int64).reshape(-1, 4)
+        pairs = np.array(self.pairs, np.int64)
+        grown = lambda counts, n: np.concatenate([counts, np.zeros(n - len(counts), np.int64)])
+        self.group_docs, self.pair_docs = grown(self.group_docs, len(self.names)), grown(self.pair_docs, len(self.pair_number))
+        out: list[tuple | None] = []
+        for parts in found:
+            if any(x is None for x in parts):
+                out.append(None)
                 continue
-            if ws is None:
-                ids = next(whole)
-                entries = [(self._entry(*ids), 1)] if ids else [(None, 1)]
-                joined = ids and entries[0][0][2]
-            else:
-                entries = [(self.words[w], n) for w, n in Counter(ws).items()]
-                joined = None
-            if any(e is None for e, _ in entries):
-                yield None
-                continue
-            times: dict[str, int] = {}
-            n_a = n_b = 0
-            for (i, j, _, keys), n in entries:
-                n_a += i * n
-                n_b += j * n
-                for key in keys:
-                    times[key] = times.get(key, 0) + n
-            if joined is None:
-                words = self.words
-                joined = ";".join([words[w][2] for w in ws])
-            self.groups.update(times.keys())
-            self.held.update(frozenset().union(*map(self.pairs_of.__getitem__, times)))
-            yield n_a, n_b, sum(times.values()), hashlib.sha256(joined.encode()).hexdigest(), list(times), list(times.values())
+            g = np.concatenate(parts)
+            u, times = np.unique(g, return_counts=True)
+            n_a, n_b, first, links = shape[u].T
+            begin = np.cumsum(links) - links
+            self.pair_docs[np.unique(pairs[np.repeat(first - begin, links) + np.arange(int(links.sum()))])] += 1
+            self.group_docs[u] += 1
+            names = self.names
+            text = ";".join([names[k] for k in g.tolist()])
+            out.append((int((n_a * times).sum()), int((n_b * times).sum()), len(g), hashlib.sha256(text.encode()).hexdigest(), [names[k] for k in u.tolist()], times.tolist()))
+        return out
+
+    def counted(self) -> tuple[list[tuple[str, int]], list[tuple[tuple[int, int], int]]]:
+        """(group, documents) and (pair, documents) of all that were met."""
+        return list(zip(self.names, self.group_docs.tolist(), strict=True)), list(zip(self.pair_number, self.pair_docs.tolist(), strict=True))
 
 
 #: Rows of three kinds: a document, a group of the dictionary, an id pair.
@@ -181,8 +210,8 @@ def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         seen = Interned(vocabularies(a_path, b_path))
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for counter, names in ((seen.groups, ("key",)), (seen.held, ("a", "b"))):
-                rows = list(counter.items())
+            for rows, names in zip(seen.counted(), (("key",), ("a", "b")), strict=True):
+                rows = [r for r in rows if r[1]]
                 for at in range(0, len(rows), 20_000):
                     some = rows[at : at + 20_000]
                     own = {"key": [k for k, _ in some]} if names == ("key",) else {"a": [k[0] for k, _ in some], "b": [k[1] for k, _ in some]}
@@ -190,8 +219,8 @@ def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             seen.clear()
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 found = list(seen.documents(part["text"].to_pylist()))
                 v = [x or (0, 0, 0, "", [], []) for x in found]
                 names = ("n_a", "n_b", "n_groups", "groups_sha256", "keys", "times")

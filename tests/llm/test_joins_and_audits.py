@@ -215,6 +215,10 @@ def test_op13_query_and_a_table_that_starts_anew(spark, folder, monkeypatch):
     check_crosswalk(got, crossed(table(folder)))
     seen = crosswalk.Interned(crosswalk.vocabularies(*paths()))
     first = list(seen.documents(["one two two", None, "three"]))
-    held = dict(seen.held)
+    held = seen.counted()
     seen.clear()
-    assert list(seen.documents(["one two two", None, "three"])) == first and dict(seen.held) == held
+    assert list(seen.documents(["one two two", None, "three"])) == first and seen.counted() == held
+    monkeypatch.setattr(crosswalk, "REMEMBERED", 1)  # words are learned again and again, numbers stay
+    for _ in range(3):
+        assert sorted(map(str, seen.documents(["three", None, "one two two"]))) == sorted(map(str, first))
+    assert seen.counted()[0] == [(k, 4 * n) for k, n in held[0]]
