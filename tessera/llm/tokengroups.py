@@ -31,9 +31,11 @@ GROUP = 128
 SHARED = 3
 #: Cells of the table of token frequencies, and cells in one of its blocks.
 CELLS = 1 << 24
-BLOCK = 1 << 14
+BLOCK = 1 << 18
+#: Tokens that a task holds before it hands them on.
+HELD = 1 << 20
 #: Words that a Python worker remembers the hashes of.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Odd numbers that give a word's place in a shingle its weight.
 WEIGHTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
 
@@ -76,23 +78,27 @@ def _cell(h: np.ndarray, cells: int) -> np.ndarray:
     return (h >> np.uint64(65 - cells.bit_length())).astype(np.int64)
 
 
-def _packed(counts: np.ndarray) -> list[tuple[int, bytes]]:
-    """The blocks of a table of counts with any, each dense or as its cells and their counts."""
+def _packed(cells: np.ndarray, size: int) -> list[tuple[int, bytes]]:
+    """Cells (repeats included) by block, each as the gaps between them in order: a byte a gap, 255
+    going on to the next byte."""
+    cells = np.sort(cells)
+    block = cells // size
+    begin = np.flatnonzero(np.diff(block, prepend=-1))
+    gaps = np.diff(cells, prepend=0)
+    gaps[begin] = cells[begin] - block[begin] * size
     out = []
-    for b, own in enumerate(counts.reshape(-1, min(BLOCK, len(counts)))):
-        at = np.flatnonzero(own)
-        if len(at):
-            few = np.minimum(own, 65_535).astype("<u2")
-            out.append((b, few.tobytes() if 2 * len(at) >= len(own) else at.astype("<u2").tobytes() + few[at].tobytes()))
+    for lo, hi in zip(begin, np.append(begin[1:], len(cells)), strict=True):
+        own = gaps[lo:hi]
+        long = own // 255
+        part = np.full(int(long.sum()) + len(own), 255, np.uint8)
+        part[np.cumsum(long + 1) - 1] = own % 255
+        out.append((int(block[lo]), part.tobytes()))
     return out
 
 
-def _add(total: np.ndarray, part: bytes) -> None:
-    values = np.frombuffer(part, "<u2")
-    if len(values) == len(total):
-        total += values
-    else:
-        total[values[: len(values) // 2]] += values[len(values) // 2 :]
+def _cells(part: bytes) -> np.ndarray:
+    gaps = np.frombuffer(part, np.uint8)
+    return np.cumsum(gaps, dtype=np.int64)[gaps != 255]
 
 
 def measured(rows: DataFrame, k: int, cells: int) -> DataFrame:
@@ -104,21 +110,28 @@ def measured(rows: DataFrame, k: int, cells: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        counts = np.zeros(cells, np.uint32)
+        seen: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            blocks = _packed(_cell(np.concatenate(seen), cells), min(BLOCK, cells)) if seen else []
+            seen.clear()
+            for at in range(0, len(blocks), 64):
+                some = blocks[at : at + 64]
+                own = [pa.array([b for b, _ in some], pa.int32()), pa.array([x for _, x in some], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(len(some), t) for t in types[:7]], *own], names=names)
+
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 sets = [shingle_set(x, k) for x in part["text"].to_pylist()]
-                np.add.at(counts, _cell(np.concatenate(sets), cells), 1)
                 h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), np.int64).reshape(-1, 2)
                 m = np.array([[*x[:2], *[0] * (2 - len(x[:2]))] for x in sets], np.uint64).view(np.int64)
                 own = [part["uid"], part["doc_id"], pa.array([len(x) for x in sets], pa.int64()), *[pa.array(np.ascontiguousarray(v)) for v in (h[:, 0], h[:, 1], m[:, 0], m[:, 1])]]
                 yield pa.RecordBatch.from_arrays([*own, *[pa.nulls(len(sets), t) for t in types[7:]]], names=names)
-        blocks = _packed(counts)
-        for at in range(0, len(blocks), 64):
-            some = blocks[at : at + 64]
-            own = [pa.array([b for b, _ in some], pa.int32()), pa.array([x for _, x in some], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(len(some), t) for t in types[:7]], *own], names=names)
+                seen += sets
+                if sum(map(len, seen)) > HELD:
+                    yield from flush()
+        yield from flush()
 
     return rows.select("uid", "doc_id", "text").mapInArrow(work, "uid long, doc_id long, n long, h1 long, h2 long, m1 long, m2 long, block int, counts binary")
 
@@ -126,16 +139,18 @@ def measured(rows: DataFrame, k: int, cells: int) -> DataFrame:
 def frequencies(spark: SparkSession, marks: DataFrame, cells: int) -> np.ndarray:
     """The table of token frequencies of all rows, counted up to 65,535; its size doesn't grow."""
 
+    size = min(BLOCK, cells)
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for b, part in zip(batch["block"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-                _add(total.setdefault(b, np.zeros(min(BLOCK, cells), np.uint64)), part)
+                np.add.at(total.setdefault(b, np.zeros(size, np.uint32)), _cells(part), 1)
         for b, own in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([np.minimum(own, 65_535).astype("<u2").tobytes()], pa.binary())], names=["block", "counts"])
 
     parts = marks.where("block is not null").select("block", "counts").repartition(common.tasks(spark), "block")
-    out = np.zeros((-(-cells // BLOCK), min(BLOCK, cells)), np.uint16)
+    out = np.zeros((-(-cells // size), size), np.uint16)
     for row in parts.mapInArrow(add, "block int, counts binary").collect():
         out[row.block] = np.frombuffer(row.counts, "<u2")
     return out.reshape(-1)
@@ -159,7 +174,7 @@ def prefixes(spark: SparkSession, rows: DataFrame, table: np.ndarray, k: int, pe
                         continue
                     times = often[_cell(own, len(often))]
                     least = np.argsort(times, kind="stable")[: n - max(shared, -(-percent * n // 100)) + shared]
-                    some = own[least[times[least] > 1]]
+                    some = own[least[times[least] > 1]]  # a token met once is of no other set
                     if len(some):
                         uids.append(uid)
                         sizes.append(n)
@@ -169,8 +184,82 @@ def prefixes(spark: SparkSession, rows: DataFrame, table: np.ndarray, k: int, pe
     return rows.select("uid", "text").mapInArrow(work, "uid long, n long, tokens array<long>")
 
 
+def shared_tokens(spark: SparkSession, prefixed: DataFrame, buckets: int, held: int = HELD) -> DataFrame:
+    """(token, node) of rows (node, tokens): every token that two nodes have, with each of them.
+
+    Most tokens are of one node.  A task tells apart those that it has met twice; of each other, and one
+    mark for each of those, a bucket of tokens gets one entry, as packed arrays.  So a token in
+    very many nodes comes to its bucket once a task."""
+    names = ["bucket", "tokens", "nodes", "token", "node"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens: list[np.ndarray] = []
+        nodes: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            t, n = np.concatenate(tokens), np.concatenate(nodes)
+            tokens.clear()
+            nodes.clear()
+            order = np.argsort(t, kind="stable")
+            t, n = t[order], n[order]
+            new = np.diff(t, prepend=~t[:1]) != 0
+            begin = np.flatnonzero(new)
+            twice = np.repeat(np.diff(np.append(begin, len(t))) > 1, np.diff(np.append(begin, len(t))))
+            for at in range(0, int(twice.sum()), 50_000):
+                x, y = t[twice][at : at + 50_000].view(np.int64), n[twice][at : at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.int32()), *[pa.nulls(len(x), pa.binary())] * 2, pa.array(x), pa.array(y)], names=names)
+            n = np.where(twice, -1, n)[begin]
+            t = t[begin]
+            b = (t >> np.uint64(32)).astype(np.int64) * buckets >> 32
+            cut = [*np.flatnonzero(np.diff(b, prepend=-1)), len(t)]
+            rows = [(int(b[lo]), t[lo:hi].tobytes(), n[lo:hi].tobytes()) for lo, hi in zip(cut, cut[1:], strict=False)]
+            for at in range(0, len(rows), 64):
+                x, y, z = zip(*rows[at : at + 64], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32()), pa.array(y, pa.binary()), pa.array(z, pa.binary()), *[pa.nulls(len(x), pa.int64())] * 2], names=names)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                lists = part["tokens"]
+                tokens.append(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+                nodes.append(np.repeat(part["node"].to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)))
+                if sum(map(len, tokens)) > held:
+                    yield from flush()
+        if tokens:
+            yield from flush()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: list[tuple[bytes, bytes]] = []
+        now = None
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            t, n = (np.concatenate([np.frombuffer(x[k], dt) for x in own]) for k, dt in ((0, np.uint64), (1, np.int64)))
+            order = np.argsort(t, kind="stable")
+            t, n = t[order], n[order]
+            same = np.diff(t) == 0
+            met = (np.append(same, False) | np.insert(same, 0, False)) & (n >= 0) if len(t) else np.zeros(0, bool)
+            t, n = t[met].view(np.int64), n[met]
+            for at in range(0, len(t), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(t[at : at + 50_000]), pa.array(n[at : at + 50_000])], names=["token", "node"])
+
+        for batch in batches:
+            for b, x, y in zip(batch["bucket"].to_pylist(), batch["tokens"].to_pylist(), batch["nodes"].to_pylist(), strict=True):
+                if b != now and own:
+                    yield from settle()
+                    own = []
+                now = b
+                own.append((x, y))
+        if own:
+            yield from settle()
+
+    packed = prefixed.select("node", "tokens").mapInArrow(pack, "bucket int, tokens binary, nodes binary, token long, node long")
+    packed = common.written(spark, packed, "ngram-packed")
+    met = packed.where("bucket is not null").select("bucket", "tokens", "nodes").repartition(common.tasks(spark), "bucket").sortWithinPartitions("bucket")
+    return packed.where("token is not null").select("token", "node").unionByName(met.mapInArrow(merge, "token long, node long"))
+
+
 def grouped(spark: SparkSession, nodes: DataFrame, size: int) -> DataFrame:
-    """(node, gid) of sets (node, m1, m2): those of one least token are a group; if more than ``size``
+    """(node, gid, n) of sets (node, n, m1, m2): those of one least token are a group; if more than ``size``
     are, those of the same two, dealt out by hash where these are too many still."""
     of = lambda df, by, name: df.groupBy(*by).agg(F.count("*").alias(name)).where(F.col(name) > size)
     large = common.written(spark, of(nodes, ["m1"], "c1"), "ngram-large")
@@ -178,7 +267,7 @@ def grouped(spark: SparkSession, nodes: DataFrame, size: int) -> DataFrame:
     second = common.written(spark, of(wide.where("c1 is not null"), ["m1", "m2"], "c2"), "ngram-large-second")
     wide = wide.join(second, ["m1", "m2"], "left")
     inner = F.when(F.col("c1").isNotNull(), F.struct("m2", F.when(F.col("c2").isNotNull(), F.pmod(F.xxhash64("node"), F.ceil(F.col("c2") / size))).alias("part")))
-    return wide.select("node", F.xxhash64("m1", inner["m2"], inner["part"]).alias("gid"))
+    return wide.select("node", F.xxhash64("m1", inner["m2"], inner["part"]).alias("gid"), "n")
 
 
 def _opened(held: list, members: int, percent: int) -> tuple[list[int], list[int]]:
@@ -244,12 +333,13 @@ def similar_sets(spark: SparkSession, rows: DataFrame, k: int = 4, percent: int
     nodes = marks.where("n > 0").groupBy("h1", "h2").agg(F.min("uid").alias("node"), F.min("doc_id").alias("first"), F.count("*").alias("own"), *[F.first(c).alias(c) for c in ("n", "m1", "m2")])
     nodes = common.written(spark, nodes, "ngram-nodes")
     able = nodes.where(100 * F.col("n") >= percent * (F.col("n") + 1))  # a smaller set is like equal ones only
-    groups = common.written(spark, grouped(spark, able.select("node", "m1", "m2"), size), "ngram-groups")
-    posts = prefixes(spark, rows, table, k, percent, shared).withColumnRenamed("uid", "node").join(groups, "node")
-    posts = posts.select("node", "gid", "n", F.explode("tokens").alias("token"))
-    posts = common.written(spark, posts, "ngram-prefixes")
-    mixed = posts.groupBy("token").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi")).where("lo < hi").select("token")
-    both = common.written(spark, posts.join(mixed, "token", "left_semi"), "ngram-posts")
+    groups = common.written(spark, grouped(spark, able.select("node", "n", "m1", "m2"), size), "ngram-groups")
+    prefixed = prefixes(spark, rows, table, k, percent, shared).withColumnRenamed("uid", "node").join(groups.select("node"), "node")
+    prefixed = common.written(spark, prefixed.select("node", "tokens"), "ngram-prefixes")
+    n_tokens = nodes.agg(F.sum("n")).first()[0] or 0
+    buckets = max(2 * common.tasks(spark), n_tokens * (100 - percent) // (100 * HELD) + 1)
+    both = shared_tokens(spark, prefixed, buckets).join(groups, "node").select("token", "node", "gid", "n")
+    both = common.written(spark, both, "ngram-posts")
     many = groups.groupBy("gid").agg(F.count("*").alias("m")).where("m > 1")
     several = groups.join(many, "gid", "left_semi")
     wanted = both.groupBy("node").agg(F.count("*").alias("c")).where(F.col("c") >= shared).select("node").union(several.select("node")).distinct()
