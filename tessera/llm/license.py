@@ -3,10 +3,12 @@
 Templates are short notices and whole licence texts.  Every rolling run of ``K`` words of a
 document, as a hash, is joined to the places of the same run in the templates (a table of a
 few thousand rows).  A match votes for its diagonal: place in the document minus place in the
-template.  Votes are summed up per diagonal; diagonals close to each other (words put in or
-left out) are merged to a chain.  Every diagonal of a chain, however few its votes, is verified as a
-beginning, with its own end and with that of the diagonal that matches the template's latest words.
-A span counts from a likeness of 0.8.  What shares no run of ``K`` words with a template isn't found.
+template.  Votes are summed up per diagonal, and those of diagonals close to each other (words put in or
+left out) are taken together.  Every diagonal of a notice, however few its votes, is verified as a
+beginning, with its own end and with that of the near diagonal that matches the template's latest words; one of a
+whole text if near diagonals have matched a fifth of its runs.  A span counts from a likeness of 0.8, and
+no more of an edit distance is computed than that allows.  A long text's diagonals are dealt out by place.
+What shares no run of ``K`` words with a notice isn't found, nor a whole text of which less than a fifth of the runs is left.
 """
 
 from __future__ import annotations
@@ -18,8 +20,9 @@ from . import common
 
 K = 3
 LIKE = 0.8
-#: Neighbouring diagonals at most so far apart are one chain.
-GAP = 4
+#: Share of a whole text's runs that near diagonals must have matched, and diagonals of a text that are looked at together.
+LEAST = 0.2
+BLOCK = 2048
 #: Words from which a template is a whole text, not a notice; a place may have a label of either.
 WHOLE = 60
 #: Diagonals to either side among which an end is looked for: of a notice, of a whole text.
@@ -175,15 +178,17 @@ def spans(spark: SparkSession, rows: DataFrame, known: DataFrame, like: float =
     known = common.written(spark, known, "licence-templates")
     rows = rows.where(F.col("words").isNotNull()).select("doc_id", "h", "words")
     exploded = rows.select("doc_id", "h", hashes(F.col("words")).alias("hashed")).select("doc_id", "h", F.posexplode(runs(F.col("hashed"))).alias("pos", "run"))
-    hits = exploded.join(F.broadcast(known.select("run", "label", "n", "tpos")), "run")
-    votes = hits.groupBy("doc_id", "h", "label", "n", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.max("tpos").alias("last"), F.count("*").alias("votes"))
-    # A window holds one document's diagonals with votes for one template.
-    line = Window.partitionBy("doc_id", "h", "label").orderBy("diagonal")
-    apart = (F.col("diagonal") - F.lag("diagonal").over(line) > GAP).cast("int")
-    chains = votes.withColumn("chain", F.sum(F.coalesce(apart, F.lit(0))).over(line))
-    near = Window.partitionBy("doc_id", "h", "label", "chain").orderBy("diagonal")
+    hits = exploded.join(F.broadcast(known.select("run", "label", "n", "tpos")), "run")  # as many as the templates have words
+    votes = hits.groupBy("doc_id", "h", "label", "n", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.max("tpos").alias("last"), F.count("*").alias("votes"), F.collect_set("tpos").alias("matched"))
+    # A window holds a block of one document's diagonals for one template, and those within reach on either side.
+    block = F.floor(F.col("diagonal") / BLOCK)
+    reach = F.array_distinct(F.array(F.floor((F.col("diagonal") - SPREAD[1]) / BLOCK), block, F.floor((F.col("diagonal") + SPREAD[1]) / BLOCK)))
+    votes = votes.withColumn("home", block).withColumn("block", F.explode(reach))
+    near = Window.partitionBy("doc_id", "h", "label", "block").orderBy("diagonal")
     latest = [F.max_by("diagonal", F.struct("last", "votes", "diagonal")).over(near.rangeBetween(-far, far)) for far in SPREAD]
-    chains = chains.withColumn("latest", F.when(F.col("n") < WHOLE, latest[0]).otherwise(latest[1]))
+    support = F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("n") >= WHOLE, F.col("matched"))).over(near.rangeBetween(-SPREAD[1], SPREAD[1])))))
+    chains = votes.withColumn("latest", F.when(F.col("n") < WHOLE, latest[0]).otherwise(latest[1])).withColumn("support", support).where("home = block")
+    chains = chains.where((F.col("n") < WHOLE) | (F.col("support") >= F.lit(LEAST) * (F.col("n") - K + 1)))
     ends = F.array_distinct(F.array("diagonal", "latest"))
     found = chains.select("doc_id", "h", "label", F.greatest(F.lit(0), "diagonal").alias("first_word"), F.explode(ends).alias("end"), "n")
     found = found.select("doc_id", "h", "label", "first_word", (F.col("end") + F.col("n")).alias("past_word")).where("past_word > first_word")
@@ -196,8 +201,10 @@ def spans(spark: SparkSession, rows: DataFrame, known: DataFrame, like: float =
     near_rows = near_rows.where("past_word > first_word").select(*rest, text.alias("text")).distinct()
     longest = F.greatest(F.length("text"), F.length("template"))
     out = near_rows.where(F.abs(F.length("text") - F.length("template")) <= longest * (1 - like) + 1e-9)
-    far = F.levenshtein("text", "template")
-    out = out.withColumn("likeness", 1 - far / longest).where(F.col("likeness") >= like - 1e-9)
+    size = {r["whole"]: r["size"] for r in texts.groupBy((F.col("n") >= WHOLE).alias("whole")).agg(F.max(F.length("template")).alias("size")).collect()}
+    most = {whole: int(x / like * (1 - like)) + 1 for whole, x in size.items()}  # edits that a notice, a whole text allows
+    far = F.when(F.col("n") < WHOLE, F.levenshtein("text", "template", most.get(False, 0))).otherwise(F.levenshtein("text", "template", most.get(True, 0)))
+    out = out.withColumn("far", far).where("far >= 0").withColumn("likeness", 1 - F.col("far") / longest).where(F.col("likeness") >= like - 1e-9)
     # Of spans that overlap, the likest stays: of notices, and of whole texts.
     out = out.select("doc_id", "h", (F.col("n") >= WHOLE).alias("whole"), "label", "first_word", "past_word", "likeness")
     before = Window.partitionBy("doc_id", "h", "whole").orderBy("first_word", "past_word", "label").rowsBetween(Window.unboundedPreceding, -1)
