@@ -7,8 +7,9 @@ text and however it is written.  Replacements keep type and format: digits stay
 their punctuation), letters keep case and script, card numbers keep a valid check digit, IP
 addresses stay addresses, account numbers keep valid check digits, names keep title, gender
 and script.  Given names and surnames are entities of their own, so "Mr. John Smith" and
-"Mr. Smith" share a surname afterwards, too.  A check over all distinct entities
-draws again wherever two would share a replacement, or one would be some other entity's value.
+"MR. SMITH" share a surname afterwards, too, and a person known as Ms. somewhere has the same given name
+as Dr.  A check over all distinct entities draws again wherever two would share a replacement, or one
+would be the value of any entity, itself or another, whatever its gender and case.
 """
 
 from __future__ import annotations
@@ -27,14 +28,14 @@ PATTERNS = {
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
     "iban": r"(?<![\p{L}\d])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\d])",
     "key": r"(?<![\p{L}\d])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,})(?![\p{L}\d])",
-    "secret": r"(?i:password|passwd|secret|token|api_key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_-]{8,}",
-    "name": r"(?<!\p{L})(?:Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
+    "secret": r"(?i:password|passwd|secret|token|api_key)(?:\s{0,3}[=:]\s{0,3}[\"']?|\s{1,3}[\"'])[A-Za-z0-9+/_-]{8,}",
+    "name": r"(?<!\p{L})(?i:Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? (?:(?:\p{Lu}\.|\p{Lu}\p{L}*(?:['’-]\p{L}+)*) ){0,2}\p{Lu}\p{L}*(?:['’-]\p{L}+)*",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these holds no entity; most texts stop here.
-HINT = r"[0-9@]|(?i:password|passwd|secret|token|api_key)|(?:Mr|Ms|Miss|Dr|Herr|Frau|Monsieur|Madame|Señor)"
+HINT = r"[0-9@]|(?i:password|passwd|secret|token|api_key|mr|ms|miss|dr|herr|frau|monsieur|madame|señor)"
 #: Front parts of entities that stay as they are.
-LEAD = {"key": r"^(AKIA|ASIA|gh._|sk-)", "secret": r"^([^=:]*[=:]\s*[\"']?)", "name": r"^((?:Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? )", "phone": r"^(\+\d{1,3}[ .-])"}
+LEAD = {"key": r"^(AKIA|ASIA|gh._|sk-)", "secret": r"^([^=:\"']*(?:[=:]\s*[\"']?|[\"']))", "name": r"^((?i:Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? )", "phone": r"^(\+\d{1,3}[ .-])"}
 
 #: Given names by script and gender (n: the title doesn't tell), and syllables of surnames.
 NAMES = {
@@ -73,10 +74,10 @@ def lead_of(kind: Column, entity: Column) -> Column:
 
 
 def normal(kind: Column, entity: Column) -> Column:
-    """What is the same however an entity is written: digits alone, or letters in lower case."""
+    """What is the same however an entity is written: digits alone, or letters in lower case (of names, too)."""
     rest = F.substring(entity, F.length(lead_of(kind, entity)) + 1, F.length(entity))
     digits = F.regexp_replace(rest, r"\D+", "")  # of a phone number, without its country
-    return F.when(kind.isin("ssn", "card", "phone"), digits).when(kind == "iban", F.replace(rest, F.lit(" "))).when(kind == "email", F.lower(rest)).otherwise(rest)
+    return F.when(kind.isin("ssn", "card", "phone"), digits).when(kind == "iban", F.replace(rest, F.lit(" "))).when(kind.isin("email", "name"), F.lower(rest)).otherwise(rest)
 
 
 def _byte(stream: Column, i) -> Column:
@@ -136,8 +137,13 @@ def surrogate(kind: Column, norm: Column, attempt: Column, gender: Column, key:
     by_script = lambda make: F.when(script == "cyrillic", make("cyrillic")).when(script == "greek", make("greek")).otherwise(make("latin"))
     # Drawn again: another name with a syllable more, then two, and so on.
     more_of = lambda x: F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(attempt, F.lit(1))), lambda k: F.when(attempt > 0, F.element_at(F.array(*[F.lit(y) for y in SYLLABLES[x]]), _byte(stream, k + 7) % len(SYLLABLES[x]) + 1)).otherwise("")), "")
-    given = by_script(lambda x: F.concat(F.when(gender == "f", pick(NAMES[x]["f"], 0)).when(gender == "m", pick(NAMES[x]["m"], 0)).otherwise(pick(NAMES[x]["n"], 0)), more_of(x)))
-    surname = by_script(lambda x: F.initcap(F.concat(*[pick(SYLLABLES[x], k) for k in range(1, 5)], more_of(x))))
+    one = lambda x, at: F.when(gender == "f", pick(NAMES[x]["f"], at)).when(gender == "m", pick(NAMES[x]["m"], at)).otherwise(pick(NAMES[x]["n"], at))
+    hyphen, mark = F.instr(norm, "-") > 0, F.regexp_extract(norm, "['’]", 0)
+    short = lambda x: F.initcap(F.concat(pick(SYLLABLES[x], 21), pick(SYLLABLES[x], 22)))
+    given = by_script(lambda x: F.concat(one(x, 0), more_of(x), F.when(hyphen, F.concat(F.lit("-"), short(x))).otherwise("")))
+    long = lambda x: F.initcap(F.concat(*[pick(SYLLABLES[x], k) for k in range(1, 5)], more_of(x)))
+    front = lambda x: F.when(mark != "", F.concat(F.upper(F.substring(pick(SYLLABLES[x], 23), F.lit(1), F.lit(1))), mark)).otherwise("")
+    surname = by_script(lambda x: F.concat(front(x), long(x), F.when(hyphen, F.concat(F.lit("-"), short(x))).otherwise("")))
     bban = _like(F.substring(norm, F.lit(5), F.length(norm)), stream, F.lit(False))
     country = F.substring(norm, F.lit(1), F.lit(2))
     iban = F.concat(country, F.lpad((98 - _mod97(F.concat(bban, country, F.lit("00")))).cast("string"), 2, "0"), bban)
@@ -161,30 +167,50 @@ def written_as(kind: Column, entity: Column, value: Column) -> Column:
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, place, entity, kind, norm, gender, given) of every entity; h is the text's
-    hash.  A name's normal form is its surname (its last word); ``given`` is the name before it."""
+    """(doc_id, h, place, part, entity, kind, norm, gender, full, word) of every entity; h is the text's
+    hash.  A name has a row a word: its last word is the surname (kind 'name'), those before it are
+    given names (kind 'given'); ``word`` is a name's word as it stands there, ``full`` all its words' normal form."""
     found = F.when(F.rlike(F.col("text"), F.lit(HINT)), F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(found).alias("place", "entity"))
     rows = rows.withColumn("kind", type_of(F.col("entity")))
     # Between "12" and "3" in other text an entity may fit no type alone (its surroundings did): then by its looks.
     rows = rows.withColumn("kind", F.coalesce("kind", F.when(F.instr("entity", "@") > 0, "email").otherwise("phone")))
-    of = lambda titles: F.rlike(F.col("entity"), F.lit(f"^(?:{titles})\\.? "))
+    of = lambda titles: F.rlike(F.col("entity"), F.lit(f"^(?i:{titles})\\.? "))
     gender = F.when(of("Mrs|Ms|Miss|Frau|Madame|Señora"), "f").when(of("Mr|Herr|Monsieur|Señor"), "m").otherwise("n")
-    rows = rows.withColumn("norm", normal(F.col("kind"), F.col("entity"))).withColumn("gender", F.when(F.col("kind") == "name", gender).otherwise("n"))
-    both = (F.col("kind") == "name") & (F.instr("norm", " ") > 0)
-    rows = rows.withColumn("given", F.when(both, F.substring_index("norm", " ", 1)))
-    return rows.withColumn("norm", F.when(both, F.substring_index("norm", " ", -1)).otherwise(F.col("norm")))
+    name = F.col("kind") == "name"
+    rows = rows.withColumn("full", normal(F.col("kind"), F.col("entity"))).withColumn("gender", F.when(name, gender).otherwise("n"))
+    plain = F.substring("entity", F.length(lead_of(F.col("kind"), F.col("entity"))) + 1, F.length("entity"))
+    rows = rows.withColumn("words", F.when(name, F.split(plain, " ")).otherwise(F.array(F.lit(None).cast("string"))))
+    rows = rows.select("*", F.posexplode("words").alias("part", "word"))
+    last = F.col("part") == F.size("words") - 1
+    kind = F.when(name & ~last, "given").otherwise(F.col("kind"))
+    norm = F.when(name, F.lower("word")).otherwise(F.col("full"))
+    return rows.select("doc_id", "h", "place", "part", "entity", kind.alias("kind"), norm.alias("norm"), "gender", F.when(name, F.col("full")).alias("full"), "word")
+
+
+def with_known_gender(spark: SparkSession, found: DataFrame) -> DataFrame:
+    """Given names take the gender that any title of the same full name tells, and their normal form has it: Dr. Kim and
+    Mr. Kim may be two persons, Dr. Kim Berg and Ms. Kim Berg are one.  Where titles tell both, each keeps its own."""
+    told = found.where("kind = 'given' and gender != 'n'").groupBy("full").agg(F.min("gender").alias("told"))
+    known = found.join(common.small_side(common.written(spark, told, "pii-genders")), "full", "left")
+    gender = F.when((F.col("kind") == "given") & (F.col("gender") == "n"), F.coalesce("told", "gender")).otherwise(F.col("gender"))
+    known = known.withColumn("gender", gender).withColumn("norm", F.when(F.col("kind") == "given", F.concat_ws(" ", "norm", "gender")).otherwise(F.col("norm")))
+    return known.drop("told", "full")
 
 
 def surrogates(spark: SparkSession, found: DataFrame, key: str) -> DataFrame:
     """(kind, norm, value, own): one replacement for each distinct entity; none shared, and none
     that is another entity's own value.  Later ones (by normal form) draw again."""
+    bare = lambda c: F.when(F.col("kind") == "given", F.substring_index(c, " ", 1)).otherwise(F.col(c))
     now = found.groupBy("kind", "norm").agg(F.min("gender").alias("gender"), F.count("*").alias("own"))
     now = common.written(spark, now.withColumn("attempt", F.lit(0)).withColumn("value", surrogate(F.col("kind"), F.col("norm"), F.lit(0), F.col("gender"), key)), "pii-values")
     while True:
         shared = now.groupBy("kind", "value").agg(F.count("*").alias("times"), F.min("norm").alias("first")).where("times > 1")
-        real = now.select("kind", F.col("norm").alias("value"), F.lit(True).alias("real"))
-        judged = now.join(shared, ["kind", "value"], "left").join(real, ["kind", "value"], "left")
+        parts = lambda c: F.when(F.col("kind").isin("name", "given"), F.array_union(F.array(c), F.split(c, "[-'’]"))).otherwise(F.array(c))
+        real = now.select("kind", F.explode(parts(bare("norm"))).alias("plain"), F.lit(True).alias("real")).distinct()
+        # of a double name, its first part is looked up; what follows is made of syllables
+        judged = now.withColumn("plain", F.when(F.col("kind").isin("name", "given"), F.regexp_replace(F.lower("value"), "^.['’]|-.*$", "")).otherwise(F.col("value")))
+        judged = judged.join(shared, ["kind", "value"], "left").join(real, ["kind", "plain"], "left")
         again = F.coalesce(F.col("first") != F.col("norm"), F.lit(False)) | F.coalesce("real", F.lit(False))
         judged = common.written(spark, judged.select("kind", "norm", "gender", "own", "attempt", "value", again.alias("again")), "pii-judged")
         if judged.where("again").isEmpty():
@@ -200,14 +226,16 @@ def pseudonymised(spark: SparkSession, docs: DataFrame, key: str) -> DataFrame:
     Null text: stays null, no entities.  Rows of equal doc_id and text (and null ids) are
     treated alike.  Columns are those of ``docs`` and n_entities (which replaces one of that name)."""
     found = common.written(spark, entities(docs.select("doc_id", "text")).distinct(), "pii-entities")
-    # A given name counts with its gender: Dr. Kim and Mr. Kim may be two persons.
-    names = found.where("given is not null").select(F.lit("given").alias("kind"), F.concat_ws(" ", "given", "gender").alias("norm"), "gender")
-    values = surrogates(spark, found.select("kind", "norm", "gender").unionByName(names), key)
+    found = common.written(spark, with_known_gender(spark, found), "pii-parts")
+    values = surrogates(spark, found.select("kind", "norm", "gender"), key)
     each = common.spread_join(found.withColumn("id", F.struct("kind", "norm")), values.select(F.struct("kind", "norm").alias("id"), "value", "own"), "id", "own")
-    first = values.where("kind = 'given'").select(F.col("norm").alias("_given"), F.col("value").alias("_first"))
-    each = each.join(common.small_side(first), F.concat_ws(" ", "given", "gender") == F.col("_given"), "left") if not first.isEmpty() else each.withColumn("_first", F.lit(None).cast("string"))
-    value = F.when(F.col("given").isNotNull(), F.concat_ws(" ", "_first", "value")).otherwise(F.col("value"))
-    each = each.select("doc_id", "h", "place", written_as(F.col("kind"), F.col("entity"), value).alias("new"))
+    word = F.col("word")
+    upper = (F.length("word") > 1) & (F.upper(word) == word) & (F.lower(word) != word)
+    value = F.when(upper, F.upper("value")).otherwise(F.col("value"))
+    each = each.groupBy("doc_id", "h", "place").agg(
+        F.first("entity").alias("entity"), F.max_by("kind", "part").alias("kind"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", value.alias("value")))), lambda x: x["value"]), " ").alias("value")
+    )  # one entity's words
+    each = each.select("doc_id", "h", "place", written_as(F.col("kind"), F.col("entity"), F.col("value")).alias("new"))
     own = each.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.array_sort(F.collect_list(F.struct("place", "new"))).alias("_new"))  # one text's entities
     own = common.written(spark, own.select("_id", "_h", F.transform("_new", lambda x: x["new"]).alias("_new")), "pii-new")
     out = common.boxed(docs, "doc_id", "text").join(own.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left")
