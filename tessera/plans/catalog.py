@@ -698,6 +698,57 @@ def number_format(spark, d):
     return D.read(spark, d, "part").select("p_partkey", printed(F.col("p_retailprice")).alias("price"), printed(F.floor("p_retailprice") / 1e7).alias("small"), printed(size).alias("size"))
 
 
+AUG_U = "('0x' || substr(md5('3:2:{w}:' || {c} || ':' || {g}), {at}, 8))::bigint"
+AUG_NOISE = f"0.05::double * sqrt(-2 * ln(({AUG_U.format(w='noise', c='y.cell_id', g='s.gene_idx', at=1)} + 1) / 4294967296.0::double)) * cos(2 * pi() * {AUG_U.format(w='noise', c='y.cell_id', g='s.gene_idx', at=9)} / 4294967296.0::double)"
+AUG_LEFT = f"select cell_id, gene_id, value from counts where {AUG_U.format(w='mask', c='cell_id', g='gene_id', at=1)} / 4294967296.0::double >= 0.2"
+
+
+@query(sql(
+    f"select y.cell_id, y.y, {R('sum(x.x)')} as total, {R('sum(x.x * x.x)')} as squares, {R('max(x.x)')} as most, {R('coalesce(max(k.clean), 0)')} as clean, {R('sum(x.x * (x.gene_idx + 1))')} as placed from y join x on x.cell_id = y.cell_id left join (select cell_id, sum(z) as clean from norm group by 1) k on k.cell_id = y.cell_id group by 1, 2",
+    "cells", "counts", "genes", y=CELLS_Y, norm=NORM, lognorm=NORM_LOG, stats=STATS.replace("from norm", "from lognorm"), kept=AUG_LEFT,
+    masked=NORM_LOG.replace("from counts", "from kept"), x=f"select y.cell_id, s.gene_idx, {Z.format(x='coalesce(m.z, 0)', mu='s.mu', sd='s.sigma')} + {AUG_NOISE} as x from y cross join stats s left join masked m on m.cell_id = y.cell_id and m.gene_id = s.gene_id",
+))
+def augmented_batch(spark, d):
+    """Sums over the genes of a masked and noisy epoch's rows, and over the clean counts beside them."""
+    from tessera.operators import augment as A
+
+    rows, fitted = cells_y(spark, d).select("cell_id", "y"), stats(spark, d, log=True)
+    frame = A.dense(A.rows(D.counts(spark, d), rows, fitted, 0.2, seed=3, epoch=2), fitted, 0.05, seed=3, epoch=2)
+    total = lambda c, f: F.aggregate(c, F.lit(0.0), f)
+    placed = F.transform("x", lambda v, i: v * (i + 1))
+    return rounded(frame.select(
+        "cell_id", "y", total("x", lambda a, v: a + v).alias("total"), total("x", lambda a, v: a + v * v).alias("squares"), F.array_max("x").alias("most"), total("clean", lambda a, v: a + v).alias("clean"),
+        total(placed, lambda a, v: a + v).alias("placed"),
+    ))
+
+
+SAMPLES = ("A", "N", "R")
+
+
+#: Each sample lacks some genes that the others have.
+LACKS = "not (l_returnflag = 'R' and l_linenumber = 1) and not (l_returnflag = 'A' and l_linenumber = 2)"
+
+
+@query(
+    "select l_returnflag || '_' || l_suppkey as cell_id, 'g' || l_linenumber || '_' || round(l_discount * 100)::int as gene_name, sum(l_quantity)::double as value, l_returnflag as sample, any_value(n_name) as nation "
+    f"from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey where {LACKS} group by 1, 2, 4"
+)
+def text_samples(spark, d):
+    """Three samples written as gene by cell text and read back, with metadata of their cells."""
+    from tessera.sources import artifacts, matrices
+
+    gene = F.concat(F.lit("g"), F.col("l_linenumber").cast("string"), F.lit("_"), F.round(F.col("l_discount") * 100).cast("int").cast("string"))
+    rows = D.read(spark, d, "lineitem").where(LACKS).groupBy("l_returnflag", F.col("l_suppkey").cast("string").alias("cell_id"), gene.alias("gene_name")).agg(F.sum("l_quantity").cast("double").alias("value"))
+    paths = {}
+    for s in SAMPLES:
+        paths[s] = artifacts.scratch(spark, f"sample-{s}")
+        matrices.write_sample(rows.where(F.col("l_returnflag") == s).drop("l_returnflag"), paths[s])
+    nation = D.read(spark, d, "supplier").join(D.read(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    about = nation.select(F.explode(F.array(*[F.concat(F.lit(f"{s}_"), F.col("s_suppkey").cast("string")) for s in SAMPLES])).alias("cell_id"), F.col("n_name").alias("nation"))
+    counts, cells, _ = matrices.read_samples(spark, paths, about)
+    return counts.join(cells, "cell_id").select("cell_id", "gene_name", "value", "sample", "nation")
+
+
 # -- Training control --------------------------------------------------------------------
 
 LOG = "select e.event_type as run, row_number() over (partition by e.event_type order by e.ts_day) - 1 as epoch, round(v, 3) as score from (select event_type, date_trunc('day', ts) as ts_day, avg(value) as v from events group by 1, 2) e"
