@@ -749,6 +749,25 @@ def text_samples(spark, d):
     return counts.join(cells, "cell_id").select("cell_id", "gene_name", "value", "sample", "nation")
 
 
+@query("select query, rank, id, round(distance, 6) + 0.0::double as distance from (select *, (row_number() over (partition by query order by distance, id) - 1)::int as rank from (select q.vec_id as query, p.vec_id as id, list_distance(q.embedding::double[], p.embedding::double[]) as distance from embeddings q join embeddings p on q.vec_id <> p.vec_id)) where rank < 5")
+def nearest_neighbours(spark, d):
+    """The five nearest rows of each row, all shards asked."""
+    from tessera.operators import neighbours as K
+
+    rows = D.dense(spark, d).select(F.col("cell_id").alias("id"), F.col("x").alias("vec"))
+    return rounded(K.nearest(spark, rows, rows, 5, n_pivots=16, part=1024))
+
+
+@query(None)
+def doublet_scores(spark, d):
+    """Scores of all cells; their projections' neighbours are searched in four shards each."""
+    from tessera.operators import neighbours as K
+    from tessera.sources import artifacts
+
+    rows, counts = artifacts.written(cells_y(spark, d).select("cell_id"), "cells"), artifacts.written(D.counts(spark, d), "counts")
+    return rounded(K.doublet_scores(spark, counts, rows, artifacts.written(stats(spark, d, log=True), "stats")))
+
+
 # -- Training control --------------------------------------------------------------------
 
 LOG = "select e.event_type as run, row_number() over (partition by e.event_type order by e.ts_day) - 1 as epoch, round(v, 3) as score from (select event_type, date_trunc('day', ts) as ts_day, avg(value) as v from events group by 1, 2) e"
