@@ -653,7 +653,7 @@ def sgd_linear_steps(spark, d):
 
 
 SPLIT_BINS = 16
-TREE_VALUES = "select n.cell_id, g.gene_idx::int as gene_idx, n.z as x from norm n join genes g on n.gene_id = g.gene_id"
+TREE_VALUES = "select n.cell_id, g.gene_idx::int as gene_idx, round(n.z, 9) as x from norm n join genes g on n.gene_id = g.gene_id"
 TREE_BINS = f"select gene_idx, x, ((rank() over (partition by gene_idx order by x) - 1) * {SPLIT_BINS - 1} // count(*) over (partition by gene_idx) + 1)::int as bin from x"
 TREE_HIST = "select x.gene_idx, b.bin, sum(g.g) as g, sum(g.h) as h, count(*) as n from x join (select distinct gene_idx, x, bin from binned) b on x.gene_idx = b.gene_idx and x.x = b.x join grads g on g.cell_id = x.cell_id group by 1, 2"
 TREE_RIGHT = "select gene_idx, bin, sum(g) over w as g, sum(h) over w as h, (sum(n) over w)::bigint as n, (select sum(g) from grads) as ag, (select sum(h) from grads) as ah, (select count(*) from grads) as an from hist window w as (partition by gene_idx order by bin desc rows between unbounded preceding and current row)"
@@ -668,7 +668,7 @@ def hist_split_gain(spark, d):
     from tessera.models import trees as X
 
     rows, p = cells_y(spark, d), X.LeafwiseParams(max_bin=SPLIT_BINS, reg_lambda=1.0)
-    x = X.values(D.counts(spark, d), rows, D.genes(spark, d))
+    x = X.values(D.counts(spark, d), rows, D.genes(spark, d)).withColumn("x", F.round("x", 9))  # logarithms of two engines differ in the last bit
     own = rows.join(F.broadcast(B.class_weights(rows).select("y", "weight")), "y").select("cell_id", (F.col("weight") * (0.5 - F.col("y"))).alias("g"), (F.col("weight") * 0.25).alias("h"))  # two rows
     hist = X.histogram(own.join(X.binned(x, X.bins(x, SPLIT_BINS), rows), "cell_id").withColumn("node", F.lit(0)))
     totals = own.agg(F.lit(0).alias("node"), F.sum("g").alias("all_g"), F.sum("h").alias("all_h"), F.count("*").alias("all_n"))
