@@ -355,7 +355,8 @@ def similar_sets(spark: SparkSession, rows: DataFrame, k: int = 4, percent: int
             own = members.join(parts, "gid").select("gid", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("asked"), "node", "label")
             asked = asked.join(parts, "gid").select("gid", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.lit(1).alias("asked"), "node", "label")
             own = own.unionByName(asked)
-        own = own.join(sets, "node").repartition(common.tasks(spark), "gid", "part").sortWithinPartitions("gid", "part", "asked")
+        # sets are wide, so that they are dealt out once, by group, if what asks for them is few
+        own = sets.join(common.small_side(common.written(spark, own, "ngram-asking")), "node").repartition(common.tasks(spark), "gid", "part").sortWithinPartitions("gid", "part", "asked")
         found = own.select("gid", "part", "asked", "node", "label", "s").mapInArrow(opened, "a long, b long")
         return common.written(spark, found, "ngram-found")
 
