@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,8 @@ from .tokens import _byte_letters
 
 #: Words of texts whose groups a Python worker remembers, those met least lately going first; and groups and pairs
 #: of ids, after which it hands on what it counted and starts anew.
-REMEMBERED = 150_000
-INTERNED = 500_000
+REMEMBERED = 100_000
+INTERNED = 400_000
 #: A group with this share of all (document, group) rows is broadcast: at most so many are.
 COMMON = 100_000
 
@@ -44,8 +45,8 @@ class Vocabularies:
         self.a_bytes = {i: bytes(letters[ord(c)] for c in token) for token, i in self.a.get_vocab(with_added_tokens=False).items() if all(ord(c) in letters for c in token)}
         pieces = [(i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
         self.b_bytes = {i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces}
-        sizes = lambda own: np.array([len(own.get(i, b"")) for i in range(max(own) + 1)], np.int64)
-        self.a_size, self.b_size = sizes(self.a_bytes), sizes(self.b_bytes)
+        self.a_list, self.b_list = ([own.get(i, b"") for i in range(n)] for own, n in ((self.a_bytes, self.a.get_vocab_size()), (self.b_bytes, len(pieces))))
+        self.a_size, self.b_size = (np.array(list(map(len, own)), np.int64) for own in (self.a_list, self.b_list))
         # a space is always a piece's beginning: texts can be cut there
         self.by_words = not any("▁" in p.lstrip("▁") for _, p in pieces) and self.b.encode("x  y") == self.b.encode("x") + self.b.encode(" y")
         self.odd = re.compile(r"^\s| \s| $").search
@@ -53,20 +54,20 @@ class Vocabularies:
     def encode(self, texts: list[str]) -> tuple[list[str], list[list[int]], list[list[int]]]:
         """The texts whose ids give the bytes of space + text back, with their A ids (of space + text) and B ids."""
         a, b = [e.ids for e in self.a.encode_batch([" " + x for x in texts], add_special_tokens=False)], self.b.encode(texts, num_threads=1)
+        joined = lambda own, ids: b"".join([own[i] for i in chain.from_iterable(ids)])
         every = "".join([f" {x}" for x in texts]).encode()
-        joined = lambda own, ids: b"".join([own.get(i, b"") for x in ids for i in x])
-        if joined(self.a_bytes, a) != every or joined(self.b_bytes, b) != every or not texts:
-            kept = [k for k, x in enumerate(texts) if joined(self.a_bytes, [a[k]]) == joined(self.b_bytes, [b[k]]) == f" {x}".encode()]
+        if joined(self.a_list, a) != every or joined(self.b_list, b) != every:
+            kept = [k for k, x in enumerate(texts) if joined(self.a_list, [a[k]]) == joined(self.b_list, [b[k]]) == f" {x}".encode()]
             texts, a, b = [texts[k] for k in kept], [a[k] for k in kept], [b[k] for k in kept]
         return texts, a, b
 
     def groups(self, texts: list[str], a: list[list[int]], b: list[list[int]]):
         """(A ids, ends in them, B ids, ends in them, ends of texts), the groups of all texts in a row: a group ends where
         tokens of both end, and so does every text."""
-        flat_a, flat_b = (np.fromiter((i for x in own for i in x), np.int64) for own in (a, b))
+        flat_a, flat_b = (np.array(list(chain.from_iterable(own)), np.int64) for own in (a, b))
         ends_a, ends_b = np.cumsum(self.a_size[flat_a]), np.cumsum(self.b_size[flat_b])
         both = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        bounds = np.cumsum([len(x.encode()) + 1 for x in texts])
+        bounds = np.cumsum([len(x) + 1 if x.isascii() else len(x.encode()) + 1 for x in texts])
         return flat_a, np.searchsorted(ends_a, both) + 1, flat_b, np.searchsorted(ends_b, both) + 1, np.searchsorted(both, bounds) + 1
 
     def links(self, key: str) -> list[tuple[int, int]]:
@@ -106,6 +107,7 @@ class Interned:
     def clear(self) -> None:
         self.words: dict[str, np.ndarray | None] = {}  # the groups of a word, in order; None: its bytes don't come back
         self.older: dict[str, np.ndarray | None] = {}
+        self.lost = False  # whether there is any such word
         self.number: dict = {}
         self.names: list[str] = []
         self.pair_number: dict[tuple[int, int], int] = {}
@@ -140,7 +142,8 @@ class Interned:
         list_a, list_b = flat_a.tolist(), flat_b.tolist()
         for k in np.flatnonzero(~single).tolist():
             out[k] = self._intern(tuple(list_a[from_a[k] : ends_a[k]]), tuple(list_b[from_b[k] : ends_b[k]]))
-        return np.split(out, bounds[:-1])
+        ends = bounds.tolist()
+        return [out[i:j] for i, j in zip([0, *ends], ends, strict=False)]
 
     def _learn(self, words: set[str]) -> None:
         if len(self.words) > REMEMBERED:
@@ -153,7 +156,9 @@ class Interned:
                 else:
                     new.append(w)
         known, a, b = self.own.encode(new)
-        self.words.update(dict.fromkeys(new))
+        if len(known) < len(new):
+            self.words.update(dict.fromkeys(new))
+            self.lost = True
         self.words.update(zip(known, self._numbers(known, a, b), strict=True))
 
     def documents(self, texts: list[str | None]) -> list[tuple | None]:
@@ -171,7 +176,7 @@ class Interned:
         self.group_docs, self.pair_docs = grown(self.group_docs, len(self.names)), grown(self.pair_docs, len(self.pair_number))
         out: list[tuple | None] = []
         for parts in found:
-            if any(x is None for x in parts):
+            if parts[0] is None or self.lost and any(x is None for x in parts):
                 out.append(None)
                 continue
             g = np.concatenate(parts)
