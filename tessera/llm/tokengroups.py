@@ -6,9 +6,10 @@ tokens bounds its overlap with any member, so a group is opened for a set only i
 set's tokens are in its union; opened groups are compared exactly.
 
 The bound is applied twice.  Two sets of a similarity of ``alike`` share at least k tokens among the
-rarest ones of each (its prefix: all but ceil(alike * size) - k, in one order of all tokens), so the
-matrix that Spark joins has prefixes only, and a pair (set, group) needs k of them.  Where a group is
-opened, the whole union is counted.  The order is by frequency, from counts in a table of a
+rarest ones of each (its prefix: all but ceil(alike * size) - k, in one order of all tokens); of the
+smaller one, all but ceil(2 alike / (1 + alike) * size) - k do.  So the matrix that Spark joins has
+those short prefixes only, is asked by sets at least as large, and a pair (set, group) needs k tokens.  Where a
+group is opened, the whole union is counted.  The order is by frequency, from counts in a table of a
 fixed size (``CELLS``): a poor estimate makes more pairs, never fewer links.
 """
 
@@ -157,8 +158,8 @@ def frequencies(spark: SparkSession, marks: DataFrame, cells: int) -> np.ndarray
 
 
 def prefixes(spark: SparkSession, rows: DataFrame, table: np.ndarray, k: int, percent: int, shared: int) -> DataFrame:
-    """(uid, n, tokens): the tokens of each set's prefix, rarest first, but for those of one set only.
-    Sets too small to be like a different one have no row."""
+    """(uid, n, short, tokens): the tokens of each set's prefix, rarest first; the first ``short`` are those of the
+    matrix.  Sets too small to be like a different one have no row."""
     held = spark.sparkContext.broadcast(table)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,26 +167,26 @@ def prefixes(spark: SparkSession, rows: DataFrame, table: np.ndarray, k: int, pe
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                uids, sizes, tokens = [], [], []
+                uids, sizes, shorts, tokens = [], [], [], []
                 for uid, text in zip(part["uid"].to_pylist(), part["text"].to_pylist(), strict=True):
                     own = shingle_set(text, k)
                     n = len(own)
                     if 100 * n < percent * (n + 1):
                         continue
-                    times = often[_cell(own, len(often))]
-                    least = np.argsort(times, kind="stable")[: n - max(shared, -(-percent * n // 100)) + shared]
-                    some = own[least[times[least] > 1]]  # a token met once is of no other set
-                    if len(some):
-                        uids.append(uid)
-                        sizes.append(n)
-                        tokens.append(some.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], names=["uid", "n", "tokens"])
+                    least = np.argsort(often[_cell(own, len(often))], kind="stable")
+                    size = lambda overlap: n - max(shared, overlap) + shared  # noqa: B023, E731
+                    uids.append(uid)
+                    sizes.append(n)
+                    shorts.append(size(-(-2 * percent * n // (100 + percent))))
+                    tokens.append(own[least[: size(-(-percent * n // 100))]].view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(shorts, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], names=["uid", "n", "short", "tokens"])
 
-    return rows.select("uid", "text").mapInArrow(work, "uid long, n long, tokens array<long>")
+    return rows.select("uid", "text").mapInArrow(work, "uid long, n long, short long, tokens array<long>")
 
 
 def shared_tokens(spark: SparkSession, prefixed: DataFrame, buckets: int, held: int = HELD) -> DataFrame:
-    """(token, node) of rows (node, tokens): every token that two nodes have, with each of them.
+    """(token, node, short) of rows (node, short, tokens): every token that two nodes have, with each of them, and
+    whether it is among a node's first ``short`` ones.
 
     Most tokens are of one node.  A task tells apart those that it has met twice; of each other, and one
     mark for each of those, a bucket of tokens gets one entry, as packed arrays.  So a token in
@@ -222,7 +223,10 @@ def shared_tokens(spark: SparkSession, prefixed: DataFrame, buckets: int, held:
                 part = batch.slice(at, 1024)
                 lists = part["tokens"]
                 tokens.append(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
-                nodes.append(np.repeat(part["node"].to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)))
+                long = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                place = np.arange(int(long.sum())) - np.repeat(np.cumsum(long) - long, long)
+                node = np.repeat(part["node"].to_numpy(zero_copy_only=False), long)
+                nodes.append(2 * node + (place < np.repeat(part["short"].to_numpy(zero_copy_only=False), long)))
                 if sum(map(len, tokens)) > held:
                     yield from flush()
         if tokens:
@@ -252,10 +256,11 @@ def shared_tokens(spark: SparkSession, prefixed: DataFrame, buckets: int, held:
         if own:
             yield from settle()
 
-    packed = prefixed.select("node", "tokens").mapInArrow(pack, "bucket int, tokens binary, nodes binary, token long, node long")
+    packed = prefixed.select("node", "short", "tokens").mapInArrow(pack, "bucket int, tokens binary, nodes binary, token long, node long")
     packed = common.written(spark, packed, "ngram-packed")
     met = packed.where("bucket is not null").select("bucket", "tokens", "nodes").repartition(common.tasks(spark), "bucket").sortWithinPartitions("bucket")
-    return packed.where("token is not null").select("token", "node").unionByName(met.mapInArrow(merge, "token long, node long"))
+    found = packed.where("token is not null").select("token", "node").unionByName(met.mapInArrow(merge, "token long, node long"))
+    return found.select("token", F.shiftright("node", 1).alias("node"), (F.col("node") % 2 == 1).alias("short"))
 
 
 def grouped(spark: SparkSession, nodes: DataFrame, size: int) -> DataFrame:
@@ -335,10 +340,10 @@ def similar_sets(spark: SparkSession, rows: DataFrame, k: int = 4, percent: int
     able = nodes.where(100 * F.col("n") >= percent * (F.col("n") + 1))  # a smaller set is like equal ones only
     groups = common.written(spark, grouped(spark, able.select("node", "n", "m1", "m2"), size), "ngram-groups")
     prefixed = prefixes(spark, rows, table, k, percent, shared).withColumnRenamed("uid", "node").join(groups.select("node"), "node")
-    prefixed = common.written(spark, prefixed.select("node", "tokens"), "ngram-prefixes")
+    prefixed = common.written(spark, prefixed.select("node", "short", "tokens"), "ngram-prefixes")
     n_tokens = nodes.agg(F.sum("n")).first()[0] or 0
     buckets = max(2 * common.tasks(spark), n_tokens * (100 - percent) // (100 * HELD) + 1)
-    both = shared_tokens(spark, prefixed, buckets).join(groups, "node").select("token", "node", "gid", "n")
+    both = shared_tokens(spark, prefixed, buckets).join(groups, "node").select("token", "node", "short", "gid", "n")
     both = common.written(spark, both, "ngram-posts")
     many = groups.groupBy("gid").agg(F.count("*").alias("m")).where("m > 1")
     several = groups.join(many, "gid", "left_semi")
@@ -363,11 +368,12 @@ def similar_sets(spark: SparkSession, rows: DataFrame, k: int = 4, percent: int
     def labelled(df: DataFrame, roots: DataFrame) -> DataFrame:
         return df.join(roots.select("node", "root"), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
 
-    def unlike(posts: DataFrame, matrix: DataFrame) -> DataFrame:
+    def unlike(posts: DataFrame, matrix: DataFrame, larger: bool) -> DataFrame:
         """(node, gid, label) of sets and groups of the matrix (token, gid, lo, hi, first, last) that may hold links between labels."""
         pairs = posts.withColumnRenamed("gid", "home").join(matrix, "token")
-        pairs = pairs.where((F.col("home") > F.col("gid")) & ((F.col("first") != F.col("label")) | (F.col("last") != F.col("label"))))
-        pairs = pairs.where((percent * F.col("lo") <= 100 * F.col("n")) & (percent * F.col("n") <= 100 * F.col("hi")))
+        pairs = pairs.where((F.col("home") != F.col("gid")) & ((F.col("first") != F.col("label")) | (F.col("last") != F.col("label"))))
+        most = F.col("n") if larger else 100 * F.col("n") / percent
+        pairs = pairs.where((F.col("lo") <= most) & (percent * F.col("n") <= 100 * F.col("hi")))
         return pairs.groupBy("node", "gid").agg(F.count("*").alias("c"), F.first("label").alias("label")).where(F.col("c") >= shared).select("node", "gid", "label")
 
     links = links_of(several.withColumn("label", F.col("node")))
@@ -376,12 +382,12 @@ def similar_sets(spark: SparkSession, rows: DataFrame, k: int = 4, percent: int
         tagged = common.written(spark, labelled(both, roots), "ngram-tagged")
         mixed = tagged.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
         tagged = common.written(spark, tagged.join(mixed, "token", "left_semi"), "ngram-mixed")
-        matrix = tagged.groupBy("token", "gid").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("label").alias("first"), F.max("label").alias("last"), F.count("*").alias("m"))
+        matrix = tagged.where("short").groupBy("token", "gid").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("label").alias("first"), F.max("label").alias("last"), F.count("*").alias("m"))
         if whole:
-            asked = unlike(tagged, matrix)
+            asked = unlike(tagged, matrix, True)
         else:  # the group with most sets of a token, asked by all others
             leader = matrix.groupBy("token").agg(F.max_by(F.struct("gid", "lo", "hi", "first", "last"), F.struct("m", "gid")).alias("one")).select("token", "one.*")
-            asked = unlike(tagged.withColumn("gid", F.lit((1 << 63) - 1)), leader).join(groups.select("node", F.col("gid").alias("home")), "node").where("home != gid").drop("home")
+            asked = unlike(tagged.withColumn("gid", F.lit((1 << 63) - 1)), leader, False).join(groups.select("node", F.col("gid").alias("home")), "node").where("home != gid").drop("home")
         asked = common.written(spark, asked, "ngram-asked")
         opening = labelled(groups.join(asked.select("gid").distinct(), "gid", "left_semi"), roots)
         links = links.unionByName(links_of(opening, asked))
