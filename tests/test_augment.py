@@ -84,3 +84,36 @@ def test_package_exports_are_there_and_lazy():
         tessera.nope  # noqa: B018
     code = "import tessera, sys; assert not any(m.startswith(('pyspark', 'tessera.')) for m in sys.modules)"
     subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], check=True)
+
+
+def test_hashes_of_many_texts_are_md5():
+    from tessera.functions import hashes
+
+    endings = [*map(str, range(1100)), "a" * 30]
+    starts = [b"", b"3:2:noise:1:", b"3:2:noise:22:", b"3:2:noise:123456789:", b"y" * 51, b"y" * 54, b"z" * 70]
+    u, v = hashes.Places(np.array(endings, "S")).digits(starts, 300)
+    for i, start in enumerate(starts):
+        for j in [*range(0, 1100, 7), 1099, 1100]:
+            text = start.decode() + endings[j]
+            assert (u[i, j], v[i, j]) == (digits(text, 0), digits(text, 8))
+    assert hashes.Places(np.array([], "S1")).digits(starts)[0].shape == (7, 0)
+
+
+def test_sums_of_augmented_rows_are_those_of_the_dense_rows(spark, monkeypatch):
+    """In blocks of a few rows, and with cells that have no counts; the rows' arrays aren't expressions of Spark's, so no task evaluates them value by value."""
+    monkeypatch.setattr(augment, "BLOCK", 100)
+    counts = spark.createDataFrame([(c, g, 1.0 + c % 3) for c in range(50) for g in range(30) if (c + g) % 4 == 0], "cell_id long, gene_id long, value double")
+    cells, genes = spark.range(53).select(F.col("id").alias("cell_id"), F.lit("t").alias("kind")), spark.range(30).select(F.col("id").alias("gene_id"), F.col("id").alias("gene_idx"))
+    stats = augment.matrix.fit_stats(counts, genes, cells, True)
+    rows = augment.rows(counts, cells, stats, 0.2, 3, 2)
+    dense = {r["cell_id"]: r for r in augment.dense(rows, stats, 0.05, 3, 2).collect()}
+    plan = augment.sums(rows, stats, 0.05, 3, 2)
+    assert plan.columns == ["cell_id", "kind", "total", "squares", "most", "clean", "placed"] and "MapInArrow" in plan._jdf.queryExecution().toString()
+    got = plan.collect()
+    assert len(got) == 53 == len(dense)
+    for r in got:
+        x, clean = np.array(dense[r["cell_id"]]["x"]), dense[r["cell_id"]]["clean"]
+        assert len(x) == 30 and r["kind"] == "t"
+        assert np.allclose([r["total"], r["squares"], r["most"], r["clean"], r["placed"]], [x.sum(), (x * x).sum(), x.max(), sum(clean), (x * np.arange(1, 31)).sum()], atol=1e-9)
+    bare = augment.sums(augment.rows(counts, cells, stats.limit(0), 0.2, 3, 2), stats.limit(0), 0.05, 3, 2).collect()
+    assert [(r["total"], r["most"]) for r in bare] == [(0.0, None)] * 53
