@@ -7,7 +7,7 @@ Spark reads, and become non-zeros, so that no task transposes a matrix.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 COUNTS = "cell_id string, gene_name string, value double"
@@ -75,11 +75,23 @@ def read_samples(spark: SparkSession, paths: dict[str, str], metadata: DataFrame
 
 def write_sample(counts: DataFrame, path: str, sep: str = "\t") -> None:
     """Counts (cell_id, gene_name, value) as such a file: one line a gene, all cells of the counts as columns, in order.
-    For samples whose cells fit a line; a folder of one file, its first line the header."""
-    names = [r["cell_id"] for r in counts.select("cell_id").distinct().orderBy("cell_id").collect()]  # a line's length
-    wide = counts.groupBy("gene_name").agg(F.map_from_entries(F.collect_list(F.struct("cell_id", "value"))).alias("m"))
-    cells = F.array(*[F.lit(c) for c in names])
-    line = F.array_join(F.transform(cells, lambda c: F.coalesce(F.try_element_at("m", c), F.lit(0.0)).cast("string")), sep)
-    lines = wide.select(F.lit(1).alias("k"), "gene_name", F.concat_ws(sep, "gene_name", line).alias("value"))
-    header = counts.sparkSession.createDataFrame([(0, "", sep.join(["gene", *map(str, names)]))], "k int, gene_name string, value string")
-    header.unionByName(lines).coalesce(1).sortWithinPartitions("k", "gene_name").select("value").write.mode("overwrite").text(path)
+    For samples whose cells fit a line; a folder of one file, its first line the header.  A cell without
+    a name and two values of a gene in a cell are errors."""
+    names = counts.agg(F.array_sort(F.collect_set("cell_id")).alias("names"))  # one row, a line's length
+    n = names.select(F.size("names").cast("long").alias("n"))
+    entries = counts.join(names.select(F.posexplode("names").alias("pos", "cell_id")), "cell_id", "left")
+    pos = F.when(F.col("cell_id").isNull(), F.raise_error(F.lit("a cell has no name")).cast("int")).otherwise(F.col("pos"))
+    wide = entries.groupBy("gene_name").agg(F.array_sort(F.collect_list(F.struct(pos.alias("pos"), F.coalesce(F.col("value").cast("double"), F.lit(0.0)).cast("string").alias("v")))).alias("e"))
+    wide = wide.withColumn("before", F.concat(F.array(F.lit(-1)), F.transform("e", lambda x: x["pos"]))).crossJoin(F.broadcast(n))  # one row
+    zeros = lambda k: F.repeat(F.lit(f"{sep}0.0"), k.cast("int"))
+    twice = F.raise_error(F.concat(F.lit("a cell has two values of gene "), F.col("gene_name"))).cast("string")
+
+    def part(x: Column) -> Column:  # the zeros between two entries and the second one
+        gap = x["e"]["pos"] - x["b"] - 1
+        return F.when(gap < 0, twice).otherwise(F.concat(zeros(gap), F.lit(sep), x["e"]["v"]))
+
+    pairs = F.arrays_zip(F.col("e"), F.slice("before", 1, F.size("e")).alias("b"))
+    line = F.concat(F.array_join(F.transform(pairs, part), ""), zeros(F.col("n") - F.element_at("before", -1) - 1))
+    lines = wide.select(F.lit(1).alias("k"), "gene_name", F.concat("gene_name", line).alias("value"))
+    header = names.select(F.lit(0).alias("k"), F.lit("").alias("gene_name"), F.concat_ws(sep, F.lit("gene"), F.col("names").cast("array<string>")).alias("value"))
+    header.unionByName(lines).repartition(1).sortWithinPartitions("k", "gene_name").select("value").write.mode("overwrite").text(path)

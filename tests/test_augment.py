@@ -74,6 +74,23 @@ def test_text_matrices(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == [("s_a_c1", "G2", 1.5), ("s_a_c2", "G1", 2.0)]
 
 
+def test_wide_text_matrices(spark, tmp_path):
+    """A file of 5,000 cells: the plan has no part for each of them, and what isn't a matrix is refused."""
+    counts = spark.range(20000).selectExpr("pmod(id * 7, 5000) as cell_id", "concat('g', id div 5000) as gene_name", "double(id % 5) as value").where("cell_id % 3 > 0 or gene_name = 'g0'")
+    matrices.write_sample(counts, str(tmp_path / "wide"))
+    lines = spark.read.text(str(tmp_path / "wide")).collect()
+    assert len(lines) == 5 and lines[0]["value"].split("\t") == ["gene", *map(str, range(5000))]
+    want = {(r["gene_name"], r["cell_id"]): r["value"] for r in counts.collect()}
+    for r in lines[1:]:
+        gene, *values = r["value"].split("\t")
+        assert [float(v) for v in values] == [want.get((gene, c), 0.0) for c in range(5000)] and set(values) <= {"0.0", "1.0", "2.0", "3.0", "4.0"}
+    back, cells = matrices.sample_counts(spark, "s", str(tmp_path / "wide"))
+    assert cells.count() == 5000 and back.count() == sum(v != 0 for v in want.values())
+    for bad, why in (([(1, "g", 1.0), (1, "g", 2.0)], "two values"), ([(None, "g", 1.0)], "no name")):
+        with pytest.raises(Exception, match=why):
+            matrices.write_sample(spark.createDataFrame(bad, "cell_id long, gene_name string, value double"), str(tmp_path / "bad"))
+
+
 def test_package_exports_are_there_and_lazy():
     import subprocess
     import sys
