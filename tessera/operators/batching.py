@@ -39,6 +39,7 @@ def cycled(rows: DataFrame, stratum: str, slots: DataFrame, seed: int = 1) -> Da
     sizes = rows.groupBy(stratum).agg(F.count("*").alias("_size"))
     need = slots.join(sizes, stratum).withColumn("_need", F.col("slots") * F.col("batches"))
     need = need.withColumn("_cycles", F.ceil(F.col("_need") / F.col("_size")).cast("long"))
+    need = F.broadcast(need)  # a row a class: joined by key, a class's rows would lie in one task
     every = rows.select("cell_id", stratum).join(need, stratum).withColumn("_cycle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_cycles") - 1)))
     every = P.place(every.withColumn("_h", order_hash(seed, F.col("_cycle"))), [stratum, "_cycle"], P.hash_bucket("_h"), ["_h", "cell_id"])
     at = every.withColumn("_at", F.col("_cycle") * F.col("_size") + F.col("place")).where("_at < _need")
@@ -59,7 +60,7 @@ def strata(cells: DataFrame, label: str = "y") -> DataFrame:
     rows = cells.withColumn("_name", name)
     both = rows.groupBy("_name").agg((F.count_distinct(label) == 2).alias("_both"))
     end = F.when(~F.col("_both"), "").otherwise(F.when(F.col(label) == 1, "_pos").otherwise("_neg"))
-    return rows.join(both, "_name").withColumn("stratum", F.concat("_name", end)).drop("_name", "_both")
+    return rows.join(F.broadcast(both), "_name").withColumn("stratum", F.concat("_name", end)).drop("_name", "_both")
 
 
 def allocation(stratified: DataFrame, size: int) -> DataFrame:

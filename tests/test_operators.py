@@ -190,3 +190,43 @@ def test_training_control(spark):
     assert T.plateau_lr([0.5, 0.4, 0.4, 0.4, 0.4], 1.0) == pytest.approx(0.1)
     with pytest.raises(ValueError, match="unknown schedule"):
         T.lr_schedule("nope", 0, 10)
+
+
+def joins_of(df):
+    """The joins' kinds of a plan, with how many keys each has, before any adaption at run time."""
+    import re
+
+    return re.findall(r"(SortMergeJoin|ShuffledHashJoin|BroadcastHashJoin)(?: \(|\s+\[)([^\]\n]*)", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_class_tables_never_gather_a_class_in_one_task(spark):
+    """No join by a class alone (label, stratum, cancer type, sample) deals rows by it."""
+    from tessera.operators import split
+    from tessera.sources import tables
+
+    cells = artifacts_of(spark, tables.cells(spark, "/root/testdata/sf0.001").selectExpr("*", "case when expansion = 'expanded' then 1 else 0 end as y"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = [(B.balanced_labels(cells, 64), "y"), (B.balanced_types(cells, 64), "stratum"), (split.split_patients(cells), "cancer_type"), (tables.clone_sizes(cells), "sample")]
+        for df, key in plans:
+            alone = [k for kind, k in joins_of(df) if kind != "BroadcastHashJoin" and "," not in k and k.startswith(key + "#")]
+            assert not alone, (key, alone)
+            assert any(kind == "BroadcastHashJoin" for kind, _ in joins_of(df))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def artifacts_of(spark, df):
+    from tessera.sources import artifacts
+
+    return artifacts.written(df, "cells")
+
+
+def test_prepared_cells_are_not_broadcast(spark, tmp_path):
+    """A row a cell is joined by key, even where its file is small."""
+    from tessera.plans import prepare
+    from tessera.sources import tables
+
+    made = prepare.prepare(spark, f"file://{tmp_path}/p", X)
+    assert [kind for kind, _ in joins_of(made.cells)] == ["SortMergeJoin"]
