@@ -36,7 +36,8 @@ def split_patients(cells: DataFrame, dev_ratio: float = 0.2, seed: int = 1) -> D
     rows = rows.withColumn("cancer_type", F.coalesce("cancer_type", F.lit("nan")))
     n = F.col("n")
     dev = F.when(n >= 2, F.greatest(F.lit(1), F.floor(n * dev_ratio + 0.5))).otherwise(F.lit(0))
-    rows = P.place(rows, ["cancer_type"], P.hash_bucket("h"), ["h", "patient_id"]).join(rows.groupBy("cancer_type").agg(F.count("*").alias("n")), "cancer_type")
+    sizes = F.broadcast(rows.groupBy("cancer_type").agg(F.count("*").alias("n")))  # a row a type: joined by key, a type's patients would lie in one task
+    rows = P.place(rows, ["cancer_type"], P.hash_bucket("h"), ["h", "patient_id"]).join(sizes, "cancer_type")
     return rows.select("patient_id", "cancer_type", F.when(F.col("place") < dev, "dev").otherwise("train").alias("split"))
 
 

@@ -50,7 +50,7 @@ def prepare(
         batching.check_classes(cells)
         patients = artifacts.written(split.checked_split(cells, dev_ratio, seed), "patients")
         parts = artifacts.written(split.split_cells(cells, patients), "split")
-        learn = matrix.slice_rows(cells, parts.where("split = 'train'"))
+        learn = matrix.slice_rows(cells, parts.where("split = 'train'").hint("merge")).hint("merge")  # a row a cell is never broadcast
         stats = matrix.fit_stats(matrix.slice_rows(counts, learn), genes, learn, use_log)
         codes = [matrix.category_codes(learn, f) for f in features if f in cells.columns]
         every = spark.createDataFrame([], "feature string, category string, code long")
@@ -58,7 +58,7 @@ def prepare(
             every = every.unionByName(own)
         version = store.commit(NAME, {"split": parts, "patients": patients, "stats": stats, "codes": every}, mark, switches=switches)
     schema = artifacts.Schema(store.table(version, "stats"), store.table(version, "codes"), use_log, use_zscore)
-    return Prepared(counts, cells.join(store.table(version, "split"), "cell_id"), schema, mark, resumed)
+    return Prepared(counts, cells.join(store.table(version, "split").hint("merge"), "cell_id"), schema, mark, resumed)
 
 
 def patient_lists(spark: SparkSession, path: str, to: str) -> None:
