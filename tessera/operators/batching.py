@@ -37,7 +37,7 @@ def cycled(rows: DataFrame, stratum: str, slots: DataFrame, seed: int = 1) -> Da
     """(cell_id, stratum, batch_id): ``slots`` gives each stratum its places per batch (slots)
     and the number of batches."""
     sizes = rows.groupBy(stratum).agg(F.count("*").alias("_size"))
-    need = slots.join(sizes, stratum).withColumn("_need", F.col("slots") * F.col("batches"))
+    need = slots.join(F.broadcast(sizes), stratum).withColumn("_need", F.col("slots") * F.col("batches"))
     need = need.withColumn("_cycles", F.ceil(F.col("_need") / F.col("_size")).cast("long"))
     need = F.broadcast(need)  # a row a class: joined by key, a class's rows would lie in one task
     every = rows.select("cell_id", stratum).join(need, stratum).withColumn("_cycle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_cycles") - 1)))

@@ -14,6 +14,8 @@ from tessera.operators import scoring as S
 from tessera.operators import split as P
 from tessera.operators import training as T
 
+SF = "/root/testdata/sf0.001"
+
 
 def counts(spark, rows):
     return spark.createDataFrame(rows, "cell_id long, gene_id long, value double")
@@ -204,7 +206,7 @@ def test_class_tables_never_gather_a_class_in_one_task(spark):
     from tessera.operators import split
     from tessera.sources import tables
 
-    cells = artifacts_of(spark, tables.cells(spark, "/root/testdata/sf0.001").selectExpr("*", "case when expansion = 'expanded' then 1 else 0 end as y"))
+    cells = artifacts_of(spark, tables.cells(spark, SF).selectExpr("*", "case when expansion = 'expanded' then 1 else 0 end as y"))
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
@@ -228,5 +230,5 @@ def test_prepared_cells_are_not_broadcast(spark, tmp_path):
     from tessera.plans import prepare
     from tessera.sources import tables
 
-    made = prepare.prepare(spark, f"file://{tmp_path}/p", X)
+    made = prepare.prepare(spark, f"file://{tmp_path}/p", tables.counts(spark, SF), tables.genes(spark, SF), artifacts_of(spark, tables.cells(spark, SF)))
     assert [kind for kind, _ in joins_of(made.cells)] == ["SortMergeJoin"]
