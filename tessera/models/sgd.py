@@ -17,11 +17,14 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import numeric as N
 from tessera.operators import batching, matrix, metrics
@@ -93,13 +96,25 @@ def initial(stats: DataFrame, use_zscore: bool = True) -> DataFrame:
 
 
 def scored(rows: DataFrame, weights: DataFrame) -> DataFrame:
-    """``rows`` (with e) and their score.  The weights are one row, an array by gene."""
-    own = weights.where("gene_idx >= 0")
-    top = own.agg(F.array_sort(F.collect_list(F.struct("gene_idx", "w"))).alias("m"), F.coalesce(F.sum(F.col("w") * F.col("z0")), F.lit(0.0)).alias("base"))
-    one = top.crossJoin(weights.where("gene_idx = -1").select(F.col("w").alias("b"))).select(F.transform("m", lambda s: s["w"]).alias("_w"), (F.col("base") + F.col("b")).alias("_base"))
-    rows = rows.crossJoin(F.broadcast(one))  # one row, of the genes' number
-    score = F.col("_base") + F.aggregate("e", F.lit(0.0), lambda a, x: a + F.coalesce(F.get("_w", x["i"]), F.lit(0.0)) * x["d"])
-    return rows.withColumn("score", score).drop("_w", "_base")
+    """``rows`` (with e) and their score.  A task has the weights once, as an array by gene: a row never carries them."""
+    have = sorted((r["gene_idx"], r["w"], r["z0"]) for r in weights.collect())  # as many as genes
+    bias = next(w for i, w, _ in have if i == -1)
+    w = np.array([w for i, w, _ in have if i >= 0], float)
+    base = bias + sum(w * z0 for i, w, z0 in have if i >= 0)
+    rows = rows.drop("score")
+    shape = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch["e"]
+            at = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            entries = lists.flatten()
+            i, d = entries.field("i").to_numpy(), entries.field("d").to_numpy()
+            own = np.where(i < len(w), w[np.minimum(i, len(w) - 1)], 0.0) * d if len(w) else np.zeros(len(i))
+            score = base + np.bincount(at, own, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=shape.names)
+
+    return rows.mapInArrow(work, shape)
 
 
 def slope(loss: str, y: Column, score: Column) -> Column:

@@ -282,3 +282,13 @@ def test_numbers_as_text():
     assert text.numbers({"a": [0.5, (1, "x")], "b": {"c": 2.0}}) == {"a": ["0.50000", (1, "x")], "b": {"c": "2.00000"}}
     assert text.report({}, "T") == "T: no metrics" and text.one_line({"b": {"a": 0.5}, "c": 2}) == "b/a: 0.5000, c: 2"
     assert "s1  0.2500  nan" in text.report({"s1": {"a": 0.25}, "s2": {"b": 1.0}})
+
+
+def test_rows_never_carry_the_weights(spark):
+    """Scores by hand, genes beyond the weights and cells without counts included; no row is joined with an array of all genes."""
+    weights = spark.createDataFrame([(-1, 0.0, 0.5), (0, -0.5, 2.0), (1, 0.25, -1.0)], "gene_idx int, z0 double, w double")
+    rows = spark.createDataFrame([(1, [(0, 1.5), (1, 2.0)]), (2, []), (3, [(1, 1.0), (9, 7.0)])], "cell_id long, e array<struct<i:int,d:double>>")
+    found = sgd.scored(rows, weights)
+    base = 0.5 + 2.0 * -0.5 + -1.0 * 0.25
+    assert {r["cell_id"]: r["score"] for r in found.collect()} == pytest.approx({1: base + 3.0 - 2.0, 2: base, 3: base - 1.0})
+    assert found.columns == ["cell_id", "e", "score"] and "NestedLoopJoin" not in found._jdf.queryExecution().executedPlan().toString()
