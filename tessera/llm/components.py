@@ -41,6 +41,7 @@ def components(spark: SparkSession, links: DataFrame, a: str = "a", b: str = "b"
 def bucket_links(
     spark: SparkSession, banded: DataFrame, links: DataFrame | None, sure: Callable[[DataFrame], DataFrame],
     fits: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], direct: int = 0, finish: Callable[[DataFrame], DataFrame] | None = None,
+    settled: int = 4,
 ) -> DataFrame:
     """Links (a, b) that connect what ``links`` and all pairs of a bucket (key, h, ...) connect
     that ``fits`` (given both sides' columns) and ``sure`` (given pairs (a, b)) confirm.
@@ -50,7 +51,7 @@ def bucket_links(
     out of it; members stay, linked or not, as others may be like them only.  Buckets of one
     group are done.  Representatives are 1, 4, 16, ... of a bucket, those with most links
     first: so the text that many differing copies were made from comes second at the latest.
-    After two rounds, pairs that are at most ``direct`` (a number in proportion to the
+    After rounds of up to ``settled`` representatives (none: 0), pairs that are at most ``direct`` (a number in proportion to the
     rows) are all taken at once; with ``finish``, buckets left after the first are given to it, with
     their groups g and sizes m, for the links of all their pairs."""
     columns = [c for c in banded.columns if c != "key"]
@@ -97,7 +98,7 @@ def bucket_links(
         own = [*own[:1], banded]
         if finish is not None and reps > 1:
             return links.unionByName(finish(banded.join(mixed, "key")))
-        every = reps > 4 and left <= direct
+        every = reps > settled and left <= direct
         with common.passing(spark):
             found, chosen = one_round(links, banded, reps, every)
         own.append(found)

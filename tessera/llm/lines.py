@@ -8,12 +8,14 @@ a candidate pair counts if the edit similarity of the normalised lines, in words
 (so few bits apart, nearly all words are equal, and typos have made other words of the rest).  Of each connected group of lines the first place (by doc_id, then line) stays, the
 others leave their texts.
 
-All pairs of different normal forms within reach are settled: first each key's members with
-one of them, then, where members are still in different groups, all that are (``bucket_links``).
+All pairs of different normal forms within reach are settled (``close_links``).  Lines that are
+mostly a few frequent words have nearly one fingerprint, so pairs are also told apart by their
+lengths before their words are read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from itertools import combinations
 
@@ -27,6 +29,8 @@ REACH = 3
 ALIKE = 0.8
 #: Fingerprints that share a key by chance, about, up to which keys of fewer blocks are taken.
 CROWD = 4
+#: Members of a bucket up to which its pairs are tried at once.
+MANY = 128
 
 #: What separates words: ASCII but digits and letters; the lines are in lower case by then.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -122,6 +126,42 @@ def similar(x: Column, y: Column, least: float = ALIKE) -> Column:
     return (x == y) | ((F.abs(F.length(x) - F.length(y)) <= most) & out)
 
 
+def shortest(least: float = ALIKE) -> int:
+    """Words of the shortest line that a different one can be like: the longer one may have an edit."""
+    return next(n for n in range(1, 1 << 20) if n >= least * (m := next(m for m in range(n, 1 << 20) if int(m * (1 - least) + 1e-9))) - 1e-9)
+
+
+def close_links(spark: SparkSession, forms: DataFrame, sure: Callable[[DataFrame], DataFrame], n: int) -> DataFrame:
+    """Links (a, b) that connect all pairs of ``forms`` (h, fp, n) within reach that ``sure`` confirms.
+
+    Lines whose lengths alone put them below ``ALIKE`` are no pair.  Buckets of a key of up to ``MANY``
+    members are paired at once.  Of larger ones, all members are paired with one of them first; then, where a
+    bucket still has several groups, with each other (``bucket_links``)."""
+
+    def fits(x, y) -> Column:
+        short = F.least(x("n"), y("n")) >= F.greatest(x("n"), y("n")) * ALIKE - 1e-9
+        return short & (F.bit_count(x("fp").bitwiseXOR(y("fp"))) <= REACH)
+
+    def shared_by(keyed: DataFrame) -> DataFrame:
+        keyed = keyed.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1")
+        return common.written(spark, keyed.select("key", "h", "fp", "n", (F.col("m") > MANY).alias("many")), "line-shared")
+
+    side = lambda df, x: df.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("h", "fp", "n")])
+    fit = fits(lambda c: F.col(f"{c}_x"), lambda c: F.col(f"{c}_y"))
+    ends = [F.least("h_x", "h_y").alias("a"), F.greatest("h_x", "h_y").alias("b")]
+    shared = shared_by(forms.select("h", "fp", "n", F.explode(block_keys(F.col("fp"), n)).alias("key")))
+    few, many = shared.where("not many"), shared.where("many")
+    pairs = side(few, "x").join(side(few, "y"), "key").where((F.col("h_x") < F.col("h_y")) & fit).select(*ends)
+    crowded = not many.isEmpty()
+    if crowded:
+        heads = many.groupBy("key").agg(F.max_by(F.struct("h", "fp", "n"), F.bitwise_not("h")).alias("one")).select("key", "one.*")
+        pairs = pairs.union(side(heads, "x").join(side(many, "y"), "key").where((F.col("h_x") != F.col("h_y")) & fit).select(*ends))
+    links = common.written(spark, sure(common.written(spark, pairs.distinct(), "line-pairs")), "line-links")
+    if not crowded:
+        return links
+    return bucket_links(spark, many.drop("many"), links, sure, fits, direct=100 * n, settled=0)
+
+
 def line_groups(spark: SparkSession, docs: DataFrame, least: int = 1) -> tuple[DataFrame, DataFrame]:
     """The places of lines (doc_id, h, pos, k), and the roots (k, root) of lines that are
     linked to others; lines of fewer than ``least`` words have no part in it."""
@@ -131,9 +171,7 @@ def line_groups(spark: SparkSession, docs: DataFrame, least: int = 1) -> tuple[D
     forms = common.written(spark, prints.groupBy("form").agg(F.min("k").alias("k"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.count("*").alias("own")), "line-forms")
     same = prints.join(forms.where("own > 1").select("form", F.col("k").alias("a")), "form").where("k != a").select("a", F.col("k").alias("b"))
     n = forms.count()
-    keyed = forms.select(F.col("k").alias("h"), "fp", F.explode(block_keys(F.col("fp"), n)).alias("key"))
-    shared = keyed.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1").select("key", "h", "fp")
-    shared = common.written(spark, shared, "line-shared")
+    some = forms.where(F.col("n") >= shortest()).select(F.col("k").alias("h"), "fp", F.col("n").cast("int").alias("n"))
 
     def sure(pairs: DataFrame) -> DataFrame:
         """The pairs that are alike; the words of their lines, and of no others, are read."""
@@ -143,8 +181,7 @@ def line_groups(spark: SparkSession, docs: DataFrame, least: int = 1) -> tuple[D
         both = pairs.join(texts.select(F.col("k").alias("a"), F.col("marks").alias("x")), "a").join(texts.select(F.col("k").alias("b"), F.col("marks").alias("y")), "b")
         return both.where(similar(F.col("x"), F.col("y"))).select("a", "b")
 
-    close = lambda x, y: F.bit_count(x("fp").bitwiseXOR(y("fp"))) <= REACH
-    links = bucket_links(spark, shared, None, sure, close, direct=100 * n)
+    links = close_links(spark, some, sure, n)
     roots = components(spark, same.unionByName(links))
     roots = roots.union(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "k")
     if least > 1:

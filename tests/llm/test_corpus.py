@@ -227,6 +227,44 @@ def test_lines_of_every_kind(spark):
     assert got[1] == "\n" and got[3] == got[5] == "" and got[6] == "---"
 
 
+@pytest.mark.parametrize("many", [1, 4])
+def test_lines_of_crowded_keys(spark, monkeypatch, many):
+    """Lines of a few frequent words have one fingerprint; pairs in keys that many lines have are found, too."""
+    r = random.Random(12)
+    own = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(5, 9))) for _ in range(400)]
+    rows = []
+    for _ in range(40):
+        words = r.sample(own, r.randint(4, 24))
+        words = [*words, *["the"] * (len(words) + 2)]
+        r.shuffle(words)
+        rows.append(" ".join(words))
+        for _ in range(r.randint(0, 2)):
+            at = r.sample(range(len(words)), max(1, int(len(words) * r.choice((0.1, 0.2, 0.25)))))
+            rows.append(" ".join(r.choice(own) if k in at and r.random() < 0.7 else x for k, x in enumerate(words) if k not in at[: len(at) // 3]))
+    t = list(enumerate(rows))
+    monkeypatch.setattr(lines, "MANY", many)
+    got = {x["doc_id"]: x["text"] for x in lines.dedup_lines(spark, spark.createDataFrame(t, "doc_id long, text string").repartition(3)).collect()}
+    left = without_lines(t)
+    assert got == {k: left(k, x) for k, x in t} and 0 < sum(x == "" for x in got.values()) < len(t) - 39
+
+
+def test_pairs_of_lines_of_frequent_words(spark, monkeypatch):
+    """300 different lines of one fingerprint: only those of like lengths are tried."""
+    r = random.Random(13)
+    rows = [" ".join([*("".join(r.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(k)), *["the"] * (k + 2)]) for k in range(4, 304)]
+    tried, write = [], lines.common.written
+
+    def written(spark, df, name, *a, **b):
+        out = write(spark, df, name, *a, **b)
+        tried.append(out.count() if name.endswith("-pairs") else 0)
+        return out
+
+    monkeypatch.setattr(lines.common, "written", written)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {x["text"] for x in lines.dedup_lines(spark, docs).collect()} == set(rows)
+    assert 0 < sum(tried) < len(rows) * (len(rows) - 1) / 2 / 3
+
+
 def test_fingerprint_of_very_long_lines(spark, monkeypatch):
     r = random.Random(9)
     text = [" ".join(f"v{r.randrange(90)}" for _ in range(n)) for n in (10, 300, 1000)]
