@@ -47,7 +47,8 @@ def words_of(line: Column) -> Column:
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, h, pos, k, size, line) of every line with a visible character; h is the text's
     hash, k the line's, size its bytes."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))  # before the lines, not once for each of them
+    rows = docs.select("doc_id", "h", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
     return rows.where(F.btrim("line", F.lit(" \t\r\x0b\x0c")) != "").select("doc_id", "h", "pos", F.xxhash64("line").alias("k"), F.octet_length("line").alias("size"), "line")
 
 
@@ -210,10 +211,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, least: int = 1, removed: s
     gone = common.written(spark, gone, "line-gone")
     rows = common.boxed(docs, "doc_id", "text")
     out = rows.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left")
-    lines = F.split("text", "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    kept = F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i)), "\n")
-    out = out.withColumn("_lines", F.when(F.col("_gone").isNotNull(), lines)).withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
+    stay = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+    kept = lambda lines: F.array_join(F.transform(stay(lines), lambda i: F.get(lines, i)), "\n")
+    # A column of the lines would be put in for each use, so that a text were split again for each of its lines.
+    once = F.get(F.transform(F.array(F.split("text", "\n")), kept), F.lit(0))
+    out = out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(once))
     if removed is None:
         return common.unboxed(out, docs.columns, "doc_id", "text")
     n = F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone"))

@@ -265,6 +265,17 @@ def test_pairs_of_lines_of_frequent_words(spark, monkeypatch):
     assert 0 < sum(tried) < len(rows) * (len(rows) - 1) / 2 / 3
 
 
+def test_texts_are_cut_and_hashed_once(spark):
+    """Once a text, not again for each of its lines: by the plans, as times differ."""
+    docs = spark.createDataFrame([(1, "one two three\nfour\none two three"), (2, "four\nfive")], "doc_id long, text string")
+    out = lines.dedup_lines(spark, docs)
+    assert {(x["doc_id"], x["text"]) for x in out.collect()} == {(1, "one two three\nfour"), (2, "five")}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and "get(split(" not in plan
+    above = lines.lines_of(docs)._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+    assert "xxhash64(line" in above and "xxhash64(text" not in above
+
+
 def test_fingerprint_of_very_long_lines(spark, monkeypatch):
     r = random.Random(9)
     text = [" ".join(f"v{r.randrange(90)}" for _ in range(n)) for n in (10, 300, 1000)]
