@@ -8,17 +8,20 @@ set's tokens are in its union; opened groups are compared exactly.
 The bound is applied twice.  Two sets of a similarity of ``alike`` share at least k tokens among the
 rarest ones of each (its prefix: all but ceil(alike * size) - k, in one order of all tokens); of the
 smaller one, all but ceil(2 alike / (1 + alike) * size) - k do.  So the matrix that Spark joins has
-those short prefixes only, is asked by sets at least as large, and a pair (set, group) needs k tokens.  Where a
+those short prefixes only, is asked by sets at least as large, and a pair (set, group) needs k tokens.  A token
+that only sets of unlike sizes share is left out of it.  Where a
 group is opened, the whole union is counted.  The order is by frequency, from counts in a table of a
 fixed size (``CELLS``): a poor estimate makes more pairs, never fewer links.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,10 +34,16 @@ GROUP = 128
 #: Tokens that two prefixes share.
 SHARED = 3
 #: Cells of the table of token frequencies, and cells in one of its blocks.
-CELLS = 1 << 24
-BLOCK = 1 << 18
+CELLS = 1 << 22
+BLOCK = 1 << 16
+#: Levels of frequency for each doubling of it.
+LEVELS = 16
+#: The greatest frequency that is told from others.
+MOST = (1 << 16) - 1
 #: Tokens that a task holds before it hands them on.
 HELD = 1 << 20
+#: Sets in which a task meets a token up to which their sizes are looked at.
+REPEATS = 8
 #: Words that a Python worker remembers the hashes of.
 REMEMBERED = 200_000
 #: Odd numbers that give a word's place in a shingle its weight.
@@ -79,27 +88,9 @@ def _cell(h: np.ndarray, cells: int) -> np.ndarray:
     return (h >> np.uint64(65 - cells.bit_length())).astype(np.int64)
 
 
-def _packed(cells: np.ndarray, size: int) -> list[tuple[int, bytes]]:
-    """Cells (repeats included) by block, each as the gaps between them in order: a byte a gap, 255
-    going on to the next byte."""
-    cells = np.sort(cells)
-    block = cells // size
-    begin = np.flatnonzero(np.diff(block, prepend=-1))
-    gaps = np.diff(cells, prepend=0)
-    gaps[begin] = cells[begin] - block[begin] * size
-    out = []
-    for lo, hi in zip(begin, np.append(begin[1:], len(cells)), strict=True):
-        own = gaps[lo:hi]
-        long = own // 255
-        part = np.full(int(long.sum()) + len(own), 255, np.uint8)
-        part[np.cumsum(long + 1) - 1] = own % 255
-        out.append((int(block[lo]), part.tobytes()))
-    return out
-
-
-def _cells(part: bytes) -> np.ndarray:
-    gaps = np.frombuffer(part, np.uint8)
-    return np.cumsum(gaps, dtype=np.int64)[gaps != 255]
+def size_class(n: int, percent: int) -> int:
+    """Classes of set sizes, 0 to 127: two sets of a similarity of ``percent`` are in the same or in neighbouring ones."""
+    return min(127, int(np.log(n) / np.log(max(1.2, 101 / percent))))  # a hundredth more than needed, for rounding
 
 
 def measured(rows: DataFrame, k: int, cells: int) -> DataFrame:
@@ -111,16 +102,7 @@ def measured(rows: DataFrame, k: int, cells: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        seen: list[np.ndarray] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            blocks = _packed(_cell(np.concatenate(seen), cells), min(BLOCK, cells)) if seen else []
-            seen.clear()
-            for at in range(0, len(blocks), 64):
-                some = blocks[at : at + 64]
-                own = [pa.array([b for b, _ in some], pa.int32()), pa.array([x for _, x in some], pa.binary())]
-                yield pa.RecordBatch.from_arrays([*[pa.nulls(len(some), t) for t in types[:7]], *own], names=names)
-
+        seen = np.zeros(cells, np.uint32)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -129,16 +111,17 @@ def measured(rows: DataFrame, k: int, cells: int) -> DataFrame:
                 m = np.array([[*x[:2], *[0] * (2 - len(x[:2]))] for x in sets], np.uint64).view(np.int64)
                 own = [part["uid"], part["doc_id"], pa.array([len(x) for x in sets], pa.int64()), *[pa.array(np.ascontiguousarray(v)) for v in (h[:, 0], h[:, 1], m[:, 0], m[:, 1])]]
                 yield pa.RecordBatch.from_arrays([*own, *[pa.nulls(len(sets), t) for t in types[7:]]], names=names)
-                seen += sets
-                if sum(map(len, seen)) > HELD:
-                    yield from flush()
-        yield from flush()
+                np.add.at(seen, _cell(np.concatenate(sets), cells), 1)
+        counts = np.minimum(seen, MOST).astype("<u2").reshape(-1, min(BLOCK, cells))
+        some = np.flatnonzero(counts.any(axis=1))
+        own = [pa.array(some, pa.int32()), pa.array([zlib.compress(counts[b].tobytes(), 1) for b in some], pa.binary())]
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(len(some), t) for t in types[:7]], *own], names=names)
 
     return rows.select("uid", "doc_id", "text").mapInArrow(work, "uid long, doc_id long, n long, h1 long, h2 long, m1 long, m2 long, block int, counts binary")
 
 
 def frequencies(spark: SparkSession, marks: DataFrame, cells: int) -> np.ndarray:
-    """The table of token frequencies of all rows, counted up to 65,535; its size doesn't grow."""
+    """The table of token frequencies of all rows, as levels (a byte) of their logarithms; its size doesn't grow."""
 
     size = min(BLOCK, cells)
 
@@ -146,21 +129,22 @@ def frequencies(spark: SparkSession, marks: DataFrame, cells: int) -> np.ndarray
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for b, part in zip(batch["block"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-                np.add.at(total.setdefault(b, np.zeros(size, np.uint32)), _cells(part), 1)
+                total.setdefault(b, np.zeros(size, np.int64))
+                total[b] += np.frombuffer(zlib.decompress(part), "<u2")
         for b, own in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([np.minimum(own, 65_535).astype("<u2").tobytes()], pa.binary())], names=["block", "counts"])
+            level = (LEVELS * np.log2(np.clip(own, 1, MOST))).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["block", "levels"])
 
     parts = marks.where("block is not null").select("block", "counts").repartition(common.tasks(spark), "block")
-    out = np.zeros((-(-cells // size), size), np.uint16)
-    for row in parts.mapInArrow(add, "block int, counts binary").collect():
-        out[row.block] = np.frombuffer(row.counts, "<u2")
+    out = np.zeros((cells // size, size), np.uint8)
+    for row in parts.mapInArrow(add, "block int, levels binary").collect():
+        out[row.block] = np.frombuffer(row.levels, np.uint8)
     return out.reshape(-1)
 
 
-def prefixes(spark: SparkSession, rows: DataFrame, table: np.ndarray, k: int, percent: int, shared: int) -> DataFrame:
+def prefixes(rows: DataFrame, held: Broadcast, k: int, percent: int, shared: int) -> DataFrame:
     """(uid, n, short, tokens): the tokens of each set's prefix, rarest first; the first ``short`` are those of the
-    matrix.  Sets too small to be like a different one have no row."""
-    held = spark.sparkContext.broadcast(table)
+matrix.  Sets too small to be like a different one have no row.  ``held``: the table of frequencies."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = held.value
@@ -184,13 +168,33 @@ def prefixes(spark: SparkSession, rows: DataFrame, table: np.ndarray, k: int, pe
     return rows.select("uid", "text").mapInArrow(work, "uid long, n long, short long, tokens array<long>")
 
 
-def shared_tokens(spark: SparkSession, prefixed: DataFrame, buckets: int, held: int = HELD) -> DataFrame:
-    """(token, node, short) of rows (node, short, tokens): every token that two nodes have, with each of them, and
-    whether it is among a node's first ``short`` ones.
-
-    Most tokens are of one node.  A task tells apart those that it has met twice; of each other, and one
-    mark for each of those, a bucket of tokens gets one entry, as packed arrays.  So a token in
-    very many nodes comes to its bucket once a task."""
+def partners(t: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Which entries of tokens t meet another of the same token that they may be linked to.  n: 256 * node + 2 * size's
+    class + whether the token is of the short prefix, as the smaller one's must be; or -1, a mark for nodes handed on before."""
+    marked = np.isin(t, t[n < 0])
+    kind = np.where(n < 0, -2, n >> 1 & 127)
+    order = np.lexsort((kind, t))
+    t, kind, short = t[order], kind[order], (n[order] & 1).astype(np.int64)
+    new = np.ones(len(t), bool)
+    new[1:] = (t[1:] != t[:-1]) | (kind[1:] != kind[:-1])
+    begin = np.flatnonzero(new)
+    run = np.cumsum(new) - 1
+    many, shorts = np.diff(np.append(begin, len(t))), np.add.reduceat(short, begin) if len(t) else begin
+    next_ = (t[begin][1:] == t[begin][:-1]) & (kind[begin][1:] == kind[begin][:-1] + 1)  # the run after is of the class above
+    above, below = np.append(next_, False), np.insert(next_ & (shorts[:-1] > 0), 0, False)[: len(begin)]
+    in_class = (many[run] > 1) & (shorts[run] > 0)
+    out = np.zeros(len(t), bool)
+    out[order] = in_class | below[run] | above[run] & (short > 0)
+    return (out | marked) & (n >= 0)
+
+
+def shared_tokens(spark: SparkSession, prefixed: DataFrame, buckets: int, percent: int, held: int = HELD, repeats: int = REPEATS) -> DataFrame:
+    """(token, node, short) of rows (node, n, short, tokens): every token that two nodes have whose sizes allow a link,
+    the smaller one among its first ``short`` ones, with each of those nodes, and whether it is among its first ones.
+
+    Most tokens are of one node, and most of the others of nodes of unlike sizes.  Entries come packed to a bucket of
+    tokens, which tells those apart.  Nodes of a token that a task has met more than ``repeats`` times are handed on at
+    once, and the bucket gets one mark for them.  So a token in very many nodes comes to its bucket a few times a task."""
     names = ["bucket", "tokens", "nodes", "token", "node"]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,13 +208,13 @@ def shared_tokens(spark: SparkSession, prefixed: DataFrame, buckets: int, held:
             order = np.argsort(t, kind="stable")
             t, n = t[order], n[order]
             new = np.diff(t, prepend=~t[:1]) != 0
-            begin = np.flatnonzero(new)
-            twice = np.repeat(np.diff(np.append(begin, len(t))) > 1, np.diff(np.append(begin, len(t))))
-            for at in range(0, int(twice.sum()), 50_000):
-                x, y = t[twice][at : at + 50_000].view(np.int64), n[twice][at : at + 50_000]
+            long = np.diff(np.append(np.flatnonzero(new), len(t)))
+            often = np.repeat(long > repeats, long)
+            for at in range(0, int(often.sum()), 50_000):
+                x, y = t[often][at : at + 50_000].view(np.int64), n[often][at : at + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.int32()), *[pa.nulls(len(x), pa.binary())] * 2, pa.array(x), pa.array(y)], names=names)
-            n = np.where(twice, -1, n)[begin]
-            t = t[begin]
+            n = np.where(often, -1, n)[new | ~often]
+            t = t[new | ~often]
             b = (t >> np.uint64(32)).astype(np.int64) * buckets >> 32
             cut = [*np.flatnonzero(np.diff(b, prepend=-1)), len(t)]
             rows = [(int(b[lo]), t[lo:hi].tobytes(), n[lo:hi].tobytes()) for lo, hi in zip(cut, cut[1:], strict=False)]
@@ -226,7 +230,8 @@ def shared_tokens(spark: SparkSession, prefixed: DataFrame, buckets: int, held:
                 long = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
                 place = np.arange(int(long.sum())) - np.repeat(np.cumsum(long) - long, long)
                 node = np.repeat(part["node"].to_numpy(zero_copy_only=False), long)
-                nodes.append(2 * node + (place < np.repeat(part["short"].to_numpy(zero_copy_only=False), long)))
+                kind = np.repeat(np.array([2 * size_class(n, percent) for n in part["n"].to_pylist()], np.int64), long)
+                nodes.append((node << 8) + kind + (place < np.repeat(part["short"].to_numpy(zero_copy_only=False), long)))
                 if sum(map(len, tokens)) > held:
                     yield from flush()
         if tokens:
@@ -238,10 +243,7 @@ def shared_tokens(spark: SparkSession, prefixed: DataFrame, buckets: int, held:
 
         def settle() -> Iterator[pa.RecordBatch]:
             t, n = (np.concatenate([np.frombuffer(x[k], dt) for x in own]) for k, dt in ((0, np.uint64), (1, np.int64)))
-            order = np.argsort(t, kind="stable")
-            t, n = t[order], n[order]
-            same = np.diff(t) == 0
-            met = (np.append(same, False) | np.insert(same, 0, False)) & (n >= 0) if len(t) else np.zeros(0, bool)
+            met = partners(t, n)
             t, n = t[met].view(np.int64), n[met]
             for at in range(0, len(t), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(t[at : at + 50_000]), pa.array(n[at : at + 50_000])], names=["token", "node"])
@@ -256,11 +258,13 @@ def shared_tokens(spark: SparkSession, prefixed: DataFrame, buckets: int, held:
         if own:
             yield from settle()
 
-    packed = prefixed.select("node", "short", "tokens").mapInArrow(pack, "bucket int, tokens binary, nodes binary, token long, node long")
+    packed = prefixed.select("node", "n", "short", "tokens").mapInArrow(pack, "bucket int, tokens binary, nodes binary, token long, node long")
     packed = common.written(spark, packed, "ngram-packed")
     met = packed.where("bucket is not null").select("bucket", "tokens", "nodes").repartition(common.tasks(spark), "bucket").sortWithinPartitions("bucket")
     found = packed.where("token is not null").select("token", "node").unionByName(met.mapInArrow(merge, "token long, node long"))
-    return found.select("token", F.shiftright("node", 1).alias("node"), (F.col("node") % 2 == 1).alias("short"))
+    found = common.written(spark, found.select("token", F.shiftright("node", 8).alias("node"), (F.col("node") % 2 == 1).alias("short")), "ngram-shared")
+    common.dropped(spark, packed)
+    return found
 
 
 def grouped(spark: SparkSession, nodes: DataFrame, size: int) -> DataFrame:
@@ -277,7 +281,7 @@ def grouped(spark: SparkSession, nodes: DataFrame, size: int) -> DataFrame:
 
 def _opened(held: list, members: int, percent: int) -> tuple[list[int], list[int]]:
     """Links of a group's members and the sets asked of it; ``held``: (asked, node, label, set), members first."""
-    sets = [np.frombuffer(x[3], np.uint64) for x in held]
+    sets = [x[3] for x in held]
     ends: tuple[list[int], list[int]] = ([], [])
     union = np.unique(np.concatenate(sets[:members]))
     asked = []
@@ -313,7 +317,7 @@ def similar_sets(spark: SparkSession, rows: DataFrame, k: int = 4, percent: int
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for gid, part, asked, node, label, s in zip(*(batch[c].to_pylist() for c in ("gid", "part", "asked", "node", "label", "s")), strict=True):
+            for gid, part, asked, node, label, text in zip(*(batch[c].to_pylist() for c in ("gid", "part", "asked", "node", "label", "text")), strict=True):
                 if (gid, part) != now or len(held) >= members + 4 * size and asked:
                     if len(held) > 1:
                         yield settle()
@@ -321,36 +325,33 @@ def similar_sets(spark: SparkSession, rows: DataFrame, k: int = 4, percent: int
                         held, now, members = [], (gid, part), 0
                     else:
                         del held[members:]
-                held.append((asked, node, label, s))
+                held.append((asked, node, label, shingle_set(text, k)))
                 members += not asked
         if len(held) > 1:
             yield settle()
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                yield pa.RecordBatch.from_arrays([part["uid"], pa.array([shingle_set(x, k).tobytes() for x in part["text"].to_pylist()], pa.binary())], names=["node", "s"])
-
     marks = common.written(spark, measured(rows, k, cells), "ngram-marks")
-    table = frequencies(spark, marks, cells)
+    held = spark.sparkContext.broadcast(frequencies(spark, marks, cells))
     marks = marks.where("uid is not null").select("uid", "doc_id", "n", "h1", "h2", "m1", "m2")
     nodes = marks.where("n > 0").groupBy("h1", "h2").agg(F.min("uid").alias("node"), F.min("doc_id").alias("first"), F.count("*").alias("own"), *[F.first(c).alias(c) for c in ("n", "m1", "m2")])
     nodes = common.written(spark, nodes, "ngram-nodes")
     able = nodes.where(100 * F.col("n") >= percent * (F.col("n") + 1))  # a smaller set is like equal ones only
     groups = common.written(spark, grouped(spark, able.select("node", "n", "m1", "m2"), size), "ngram-groups")
-    prefixed = prefixes(spark, rows, table, k, percent, shared).withColumnRenamed("uid", "node").join(groups.select("node"), "node")
-    prefixed = common.written(spark, prefixed.select("node", "short", "tokens"), "ngram-prefixes")
+    repeated = nodes.where("own > 1").select("h1", "h2", "node")
+    copies = common.written(spark, marks.where("n > 0").join(common.small_side(repeated), ["h1", "h2"]).where("uid != node").select(F.col("uid").alias("node")), "ngram-copies")
+    prefixed = prefixes(rows, held, k, percent, shared).withColumnRenamed("uid", "node").join(common.small_side(copies, 1_000_000), "node", "left_anti")
     n_tokens = nodes.agg(F.sum("n")).first()[0] or 0
     buckets = max(2 * common.tasks(spark), n_tokens * (100 - percent) // (100 * HELD) + 1)
-    both = shared_tokens(spark, prefixed, buckets).join(groups, "node").select("token", "node", "short", "gid", "n")
-    both = common.written(spark, both, "ngram-posts")
+    shared_by = shared_tokens(spark, prefixed, buckets, percent)
+    held.destroy()
+    both = common.written(spark, shared_by.join(groups, "node").select("token", "node", "short", "gid", "n"), "ngram-posts")
+    common.dropped(spark, shared_by)
     many = groups.groupBy("gid").agg(F.count("*").alias("m")).where("m > 1")
     several = groups.join(many, "gid", "left_semi")
     wanted = both.groupBy("node").agg(F.count("*").alias("c")).where(F.col("c") >= shared).select("node").union(several.select("node")).distinct()
     wanted = common.written(spark, wanted.select(F.col("node").alias("uid")), "ngram-wanted")
-    sets = rows.select("uid", "text").join(common.small_side(wanted, 1_000_000), "uid", "left_semi").mapInArrow(sets_of, "node long, s binary")
-    sets = common.written(spark, sets, "ngram-sets")
+    texts = rows.select("uid", "text").join(common.small_side(wanted, 1_000_000), "uid", "left_semi")
+    texts = common.written(spark, texts.withColumnRenamed("uid", "node"), "ngram-texts")
 
     def links_of(members: DataFrame, asked: DataFrame | None = None) -> DataFrame:
         """Links in groups (node, gid, label), or of sets asked of them (node, gid, label)."""
@@ -360,9 +361,9 @@ def similar_sets(spark: SparkSession, rows: DataFrame, k: int = 4, percent: int
             own = members.join(parts, "gid").select("gid", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("asked"), "node", "label")
             asked = asked.join(parts, "gid").select("gid", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.lit(1).alias("asked"), "node", "label")
             own = own.unionByName(asked)
-        # sets are wide, so that they are dealt out once, by group, if what asks for them is few
-        own = sets.join(common.small_side(common.written(spark, own, "ngram-asking")), "node").repartition(common.tasks(spark), "gid", "part").sortWithinPartitions("gid", "part", "asked")
-        found = own.select("gid", "part", "asked", "node", "label", "s").mapInArrow(opened, "a long, b long")
+        # texts are wide (their sets are wider still), so that they are dealt out once, by group, if what asks for them is few
+        own = texts.join(common.small_side(common.written(spark, own, "ngram-asking")), "node").repartition(common.tasks(spark), "gid", "part").sortWithinPartitions("gid", "part", "asked")
+        found = own.select("gid", "part", "asked", "node", "label", "text").mapInArrow(opened, "a long, b long")
         return common.written(spark, found, "ngram-found")
 
     def labelled(df: DataFrame, roots: DataFrame) -> DataFrame:

@@ -74,6 +74,33 @@ def test_op11_finds_every_link(spark, size, cells):
     assert 20 < len({c for _, _, c in want}) < len(rows) - 60
 
 
+@pytest.mark.parametrize("repeats", [1, 8])
+def test_tokens_of_sets_of_unlike_sizes_are_left_out(spark, repeats):
+    """A token stays with sets whose sizes allow a link, the smaller one having it in front."""
+    rows = [
+        (1, 100, 1, [7, 8]), (2, 110, 1, [7, 9]),  # alike in size
+        (3, 100, 2, [20, 21]), (4, 300, 2, [20, 21]),  # not
+        (5, 100, 0, [30]), (6, 118, 1, [30]),  # the smaller one hasn't it in front
+        (7, 100, 1, [40]), (8, 5000, 1, [40]), (9, 104, 0, [40]),
+    ]
+    docs = spark.createDataFrame(rows, "node long, n long, short long, tokens array<long>").coalesce(1)
+    got = {(r["token"], r["node"], r["short"]) for r in tokengroups.shared_tokens(spark, docs, 4, 85, repeats=repeats).collect()}
+    if repeats == 1:  # handed on at once
+        assert got == {(t, i, j < short) for i, _, short, ts in rows for j, t in enumerate(ts) if t not in (8, 9)}
+    else:
+        assert got == {(7, 1, True), (7, 2, True), (40, 7, True), (40, 9, False)}
+
+
+def test_op11_of_equal_sets_and_common_tokens(spark):
+    """Copies of one text, near copies of it, and a token of very many sets."""
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, base) for i in range(40)] + [(100 + i, base + f" x{i}") for i in range(40)]
+    rows += [(200 + i, "a b c d " + " ".join(f"u{i}v{j}" for j in range(5 + 3 * i))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted([tuple(r) for r in tokengroups.similar_groups(spark, docs, size=4, cells=1 << 10).select("doc_id", "n_shingles", "component_id").collect()], key=str)
+    assert got == joined(rows)
+
+
 def fails(text):
     words = WORD.findall(text)
     return {
