@@ -269,13 +269,16 @@ def shared_tokens(spark: SparkSession, prefixed: DataFrame, buckets: int, percen
 
 def grouped(spark: SparkSession, nodes: DataFrame, size: int) -> DataFrame:
     """(node, gid, n) of sets (node, n, m1, m2): those of one least token are a group; if more than ``size``
-    are, those of the same two, dealt out by hash where these are too many still."""
+    are, they are dealt out to as few groups as hold them, by a hash of the second least, or by their own where
+    those of the same two are too many still."""
     of = lambda df, by, name: df.groupBy(*by).agg(F.count("*").alias(name)).where(F.col(name) > size)
     large = common.written(spark, of(nodes, ["m1"], "c1"), "ngram-large")
     wide = nodes.join(large, "m1", "left")
     second = common.written(spark, of(wide.where("c1 is not null"), ["m1", "m2"], "c2"), "ngram-large-second")
     wide = wide.join(second, ["m1", "m2"], "left")
-    inner = F.when(F.col("c1").isNotNull(), F.struct("m2", F.when(F.col("c2").isNotNull(), F.pmod(F.xxhash64("node"), F.ceil(F.col("c2") / size))).alias("part")))
+    part = lambda by, c: F.pmod(F.xxhash64(by), F.ceil(F.col(c) / size))
+    inner = F.when(F.col("c2").isNotNull(), F.struct(F.col("m2").alias("m2"), part("node", "c2").alias("part")))
+    inner = inner.when(F.col("c1").isNotNull(), F.struct(F.lit(None).cast("long").alias("m2"), part("m2", "c1").alias("part")))
     return wide.select("node", F.xxhash64("m1", inner["m2"], inner["part"]).alias("gid"), "n")
 
 

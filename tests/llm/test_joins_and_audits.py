@@ -101,6 +101,19 @@ def test_op11_of_equal_sets_and_common_tokens(spark):
     assert got == joined(rows)
 
 
+def test_groups_of_one_least_token_are_as_few_as_hold_them(spark):
+    rows = [(i, 50, 7, i) for i in range(400)] + [(400 + i, 50, 8, 1) for i in range(100)] + [(500, 50, 9, 1)]
+    got = tokengroups.grouped(spark, spark.createDataFrame(rows, "node long, n long, m1 long, m2 long"), 40).collect()
+    least = {i: m1 for i, _, m1, _ in rows}
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r["gid"]].append(r["node"])
+    assert sorted(x for own in by.values() for x in own) == list(range(501))
+    assert all(len({least[x] for x in own}) == 1 for own in by.values())
+    count = collections.Counter(least[own[0]] for own in by.values())
+    assert count[7] <= 10 and 2 <= count[8] <= 3 and count[9] == 1 and max(map(len, by.values())) < 80
+
+
 def fails(text):
     words = WORD.findall(text)
     return {
