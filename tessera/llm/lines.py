@@ -36,8 +36,8 @@ MANY = 128
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Edit distances up to which a pair is tried before the next, costlier one.
 TRIES = (8, 32, 128, 512, 2048, 8192, 1 << 15, 1 << 20, 1 << 30)
-#: Words of a line whose counts share a sum, before those of a longer line are added up.
-CHUNK = 1 << 17
+#: Words of a line whose counts share a sum (127 at most), before those of a longer line are added up.
+CHUNK = 127
 
 
 def words_of(line: Column) -> Column:
@@ -46,47 +46,41 @@ def words_of(line: Column) -> Column:
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, h, pos, k, size, line) of every line with a visible character; h is the text's
-    hash, k the line's, size its bytes."""
+    hash, k the line's."""
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))  # before the lines, not once for each of them
     rows = docs.select("doc_id", "h", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
-    return rows.where(F.btrim("line", F.lit(" \t\r\x0b\x0c")) != "").select("doc_id", "h", "pos", F.xxhash64("line").alias("k"), F.octet_length("line").alias("size"), "line")
+    return rows.where(F.btrim("line", F.lit(" \t\r\x0b\x0c")) != "").select("doc_id", "h", "pos", F.xxhash64("line").alias("k"), "line")
 
 
 def simhash(rows: DataFrame) -> DataFrame:
-    """(k, fp, n, form) of the distinct lines of rows (k, size, line): bit by bit the majority
+    """(k, fp, n, form) of the distinct lines of rows (k, line): bit by bit the majority
     of the words' hashes, the number of words, and a hash of the normal form (the words with
     their places).
 
-    Three bits' counts share a sum (lanes of 22, 22 and 20 bits) for ``CHUNK`` words; only lines
-    that may be longer, if any, are summed up in parts whose lanes are then added up apart."""
+    Eight bits' counts share a sum (lanes of 8 bits) for ``CHUNK`` words, in the task that reads the
+    line, so that sums are dealt out and not lines; those of lines that may be longer are added up apart."""
     h = F.xxhash64("word")
-    lane = 1 | 1 << 22 | 1 << 44
-    sums = [F.sum(F.shiftrightunsigned(h, j).bitwiseAND(F.lit(lane))).alias(f"s{j}") for j in range(22)]
-    form = F.bit_xor(F.xxhash64("word", "place")).alias("form")
-    def words(some: DataFrame) -> DataFrame:
-        distinct = some.select("k", "line").groupBy("k").agg(F.first("line").alias("line"))
-        return distinct.select("k", F.posexplode(words_of(F.col("line"))).alias("place", "word"))
-
-    # A lane of twice a sum, less n + 1, plus a bit above both: that bit stays if 2 * count > n.
-    above = 1 << 21 | 1 << 43 | 1 << 62
+    chunk = min(CHUNK, 127)
+    each = lambda width: sum(1 << at for at in range(0, 64, width))
+    sums = [F.sum(F.shiftrightunsigned(h, j).bitwiseAND(F.lit(each(8)))).alias(f"s{j}") for j in range(8)]
+    numbered = rows.select("k", "line", F.monotonically_increasing_id().alias("row"))
+    words = numbered.select("k", "row", F.posexplode(words_of(F.col("line"))).alias("place", "word"))
+    parts = words.groupBy("k", "row", F.floor(F.col("place") / chunk).alias("part")).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("word", "place")).alias("form"), *sums)
+    whole = F.col("n") + chunk * F.col("part") < chunk  # one condition: a part of it would be tried before the sums, and these made twice
+    either = lambda a, b: a.bitwiseOR(b)
 
-    def three(j: int) -> Column:
-        v = F.col("above") + F.shiftleft(F.col(f"s{j}"), 1)
-        bits = F.shiftrightunsigned(v, 21).bitwiseAND(F.lit(1 | 1 << 22)).bitwiseOR(F.shiftleft(F.shiftrightunsigned(v, 62), 44))
-        return F.shiftleft(bits, j)
+    def four(j: int, odd: int) -> Column:
+        """Every other lane, with room for its carry: that is set if 2 * count > n."""
+        v = F.shiftrightunsigned(F.col(f"s{j}"), 8 * odd).bitwiseAND(F.lit(255 * each(16))) + F.col("above")
+        return F.shiftleft(F.shiftrightunsigned(v, 8).bitwiseAND(F.lit(each(16))), j + 8 * odd)
 
-    either = lambda a, b: a.bitwiseOR(b)
-    short = words(rows.where(F.col("size") < 2 * CHUNK)).groupBy("k").agg(F.count("*").alias("n"), form, *sums)
-    short = short.withColumn("above", F.lit(above) - (F.col("n") + 1) * F.lit(lane))
-    short = short.select("k", reduce(either, [three(j) for j in range(22)]).alias("fp"), "n", "form")
-    big = rows.where(F.col("size") >= 2 * CHUNK)
-    if big.isEmpty():
-        return short
-    count = lambda at: F.shiftrightunsigned(F.col(f"s{at % 22}"), at // 22 * 22).bitwiseAND(F.lit((1 << 22) - 1))
-    parts = words(big).groupBy("k", F.floor(F.col("place") / CHUNK).alias("part")).agg(F.count("*").alias("n"), form, *sums)
-    long = parts.groupBy("k").agg(F.sum("n").alias("n"), F.bit_xor("form").alias("form"), *[F.sum(count(at)).alias(f"c{at}") for at in range(64)])
+    short = parts.where(whole).withColumn("above", (255 - F.floor(F.col("n") / 2)) * F.lit(each(16)))
+    short = short.select("k", reduce(either, [four(j, odd) for j in range(8) for odd in (0, 1)]).alias("fp"), "n", "form")
+    count = lambda at: F.shiftrightunsigned(F.col(f"s{at % 8}"), at // 8 * 8).bitwiseAND(F.lit(255))
+    long = parts.where(~whole).groupBy("k", "row").agg(F.sum("n").alias("n"), F.bit_xor("form").alias("form"), *[F.sum(count(at)).alias(f"c{at}") for at in range(64)])
     bits = [F.when(2 * F.col(f"c{at}") > F.col("n"), F.lit((1 << at) - (1 << 64 if at == 63 else 0))).otherwise(F.lit(0)).cast("long") for at in range(64)]
-    return short.unionByName(long.select("k", reduce(either, bits).alias("fp"), "n", "form"))
+    every = short.unionByName(long.select("k", reduce(either, bits).alias("fp"), "n", "form"))
+    return every.groupBy("k").agg(*[F.first(c).alias(c) for c in ("fp", "n", "form")])
 
 
 def block_keys(fp: Column, rows: int, reach: int = REACH, crowd: int = CROWD) -> Column:
