@@ -30,7 +30,7 @@ from .components import components
 from .simhash import SEED, block_links
 
 #: Sets in a group, about, and sets that are asked of an opened group at a time.
-GROUP = 128
+GROUP = 256
 #: Tokens that two prefixes share.
 SHARED = 3
 #: Cells of the table of token frequencies, and cells in one of its blocks.
