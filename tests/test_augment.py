@@ -134,3 +134,14 @@ def test_sums_of_augmented_rows_are_those_of_the_dense_rows(spark, monkeypatch):
         assert np.allclose([r["total"], r["squares"], r["most"], r["clean"], r["placed"]], [x.sum(), (x * x).sum(), x.max(), sum(clean), (x * np.arange(1, 31)).sum()], atol=1e-9)
     bare = augment.sums(augment.rows(counts, cells, stats.limit(0), 0.2, 3, 2), stats.limit(0), 0.05, 3, 2).collect()
     assert [(r["total"], r["most"]) for r in bare] == [(0.0, None)] * 53
+
+
+def test_noise_is_added_in_place():
+    """To each value its own, at both ends of the drawn numbers too, in room that is used again."""
+    u, v = np.array([0, 1, 77, 2**32 - 1] * 2, np.uint32), np.array([0, 2**31, 2**32 - 1, 5] * 2, np.uint32)
+    x, spare = np.arange(8.0), np.full((2, 8), np.nan)
+    for _ in range(2):
+        augment.add_normal(x, u, v, 0.05, *spare)
+    for i in range(8):
+        e = math.sqrt(-2 * math.log((int(u[i]) + 1) / 2**32)) * math.cos(2 * math.pi * int(v[i]) / 2**32)
+        assert x[i] == pytest.approx(i + 2 * 0.05 * e, abs=1e-13)
